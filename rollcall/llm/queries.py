@@ -6,15 +6,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .common import table
+from .decontaminate import decontamination_report
 from .jaccard_join import jaccard_components
+from .language import language_report
+from .packing import pack
+from .quality import quality_report
+from .quotes import reply_order
+from .secrets import report, scan_versions
+from .toxicity import toxicity_report
+from .url_filter import judge_urls
+from .warc import warc_report
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = scan_versions(table(spark, sf_dir, "documents"))
+    return report(findings)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(table(spark, sf_dir, "conversations"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_benchmark_decontamination,
+        op3_chat_formatting,
+        op4_warc,
+        op5_language_id,
+        op6_ngram_jaccard_join,
+        op7_packing,
+        op8_url_filters,
+        op9_quality_rules,
+        op10_toxicity,
+    )
 }
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the tests hold the others against brute-force versions or held-out labels.
+ORACLE: dict[str, str] = oracle.SQL

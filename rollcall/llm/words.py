@@ -1,6 +1,6 @@
 """Vectorised word and shingle hashing over batches of whole texts (numpy, used inside tasks).
 
-Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` after A-Z are lower-cased. Hashes are 64-bit and
+Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased unless told otherwise. Hashes are 64-bit and
 depend on nothing but the bytes, so every executor computes the same values.
 """
 
@@ -31,11 +31,12 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, in order, and for each text the index of its first word (one more at the end)."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     firsts = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    buf = np.frombuffer(b"\n".join([b"", *raw, b""]).lower(), np.uint8)[1:]
+    joined = b"\n".join([b"", *raw, b""])
+    buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)[1:]
     word = ~_SPACE[buf]
     starts = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
     if not len(starts):
