@@ -84,7 +84,7 @@ def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmar
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, score = shared.value, None
+        model, score = KernelModel(*shared.value), None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
@@ -105,7 +105,7 @@ def held_out(mod: int = 4, at: int = 2) -> Column:
 
 def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; ``und`` with score 0 if the text is null or has no letter, or nothing could be learned."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared), f"doc_id {kind}, lang_pred string, score double")
 
@@ -120,7 +120,7 @@ def language_report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``); all columns stay."""
     model = learn(docs.filter(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
     cols = docs.columns
     flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
     shape = f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double"

@@ -29,7 +29,7 @@ CLASSES = ("lower", "upper", "digit", "space", "period", "mark", "symbol", "othe
 #: Guards: characters and words that a text needs before its histogram is judged.
 LEAST_CHARS, LEAST_WORDS = 200, 40
 #: Largest distances (0 to 1) to the nearest language reference.
-MOST_CHAR, MOST_WORD = 0.45, 0.75
+MOST_CHAR, MOST_WORD = 0.30, 0.60
 
 
 def _class_table() -> np.ndarray:

@@ -117,14 +117,14 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        weights, bias = shared.value
         for batch in batches:
             texts, out = [t or "" for t in batch.column(1).to_pylist()], []
             for a, b in batches_of(texts):
                 rows, cols = gram_buckets(texts[a:b], WIDTHS, BITS)
-                hit = np.flatnonzero(model.weights[cols])
+                hit = np.flatnonzero(weights[cols])
                 pair = np.unique((rows[hit] << BITS) | cols[hit])
-                z = np.bincount(pair >> BITS, model.weights[pair & ((1 << BITS) - 1)], b - a) + model.bias
+                z = np.bincount(pair >> BITS, weights[pair & ((1 << BITS) - 1)], b - a) + bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             value = np.round(np.concatenate(out) if out else np.zeros(0), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
@@ -134,7 +134,7 @@ def _score(shared):
 
 def score(docs: DataFrame, model: RatioModel) -> DataFrame:
     """(doc_id, score) for every row; null and empty texts get the score of no n-gram at all."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
