@@ -51,10 +51,8 @@ def path_parts(col: Column) -> Column:
 
 def platform_of(url: Column) -> Column:
     """The platform of a URL by its base domain, null for other hosts."""
-    base, out = base_domain(host_of(url)), F.lit(None).cast("string")
-    for host, name in PLATFORMS.items():
-        out = F.when(base == host, name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in PLATFORMS.items() for x in pair])
+    return F.try_element_at(known, base_domain(host_of(url)))
 
 
 def canonical_social(df: DataFrame, url: str = "url", strict: bool = True) -> DataFrame:
@@ -62,7 +60,8 @@ def canonical_social(df: DataFrame, url: str = "url", strict: bool = True) -> Da
 
     ``strict`` also refuses numeric ids of six digits or more, people and group pages, short slugs and personal profiles.
     """
-    p, part = platform_of(F.col(url)), path_parts(F.col(url))
+    df = df.withColumns({"platform": platform_of(F.col(url)), "_part": path_parts(F.col(url))})
+    p, part = F.col("platform"), F.col("_part")
     at = lambda i: F.coalesce(F.get(part, F.lit(i)), F.lit(""))
     first, second = at(0), at(1)
     named = F.when((first == "pages") & (F.size(part) >= 3), second).otherwise(first)
@@ -87,7 +86,7 @@ def canonical_social(df: DataFrame, url: str = "url", strict: bool = True) -> Da
         .when(F.col("platform") == "donation", F.concat(F.lit("https://www.helloasso.com/associations/"), s))
         .otherwise(F.col(url))
     )
-    return df.withColumns({"platform": p, "slug": slug}).filter("slug IS NOT NULL").withColumn("page", page)
+    return df.withColumn("slug", slug).filter("slug IS NOT NULL").withColumn("page", page).drop("_part")
 
 
 def domain_mentions(df: DataFrame, id_: str, *texts: str) -> DataFrame:

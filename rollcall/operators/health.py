@@ -59,7 +59,7 @@ def due_by_age(df: DataFrame, at: str, now: Column, days: int = 3) -> DataFrame:
 
 def due_for_score(df: DataFrame, scored: str, *inputs: str) -> DataFrame:
     """Rows never scored, or scored before the latest of the input times (FLT-16)."""
-    latest = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in inputs])
+    latest = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(c), F.lit(0)) for c in inputs])
     return df.filter(F.col(scored).isNull() | (F.col(scored) < latest))
 
 

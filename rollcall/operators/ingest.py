@@ -86,8 +86,9 @@ def correct_category(df: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def trusted_address(trusted: Column, forwarded: Column, peer: Column) -> Column:
     """The trusted header, else the last forwarded entry, else the peer, else ``?`` (PRJ-25)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda x: x != "")
-    return F.coalesce(F.nullif(F.trim(trusted), F.lit("")), F.try_element_at(parts, F.lit(-1)), F.nullif(F.trim(peer), F.lit("")), F.lit("?"))
+    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
+    return F.coalesce(F.nullif(F.trim(trusted), F.lit("")), last, F.nullif(F.trim(peer), F.lit("")), F.lit("?"))
 
 
 def visitor_id(ip: Column, agent: Column, day: Column, salt: str) -> Column:

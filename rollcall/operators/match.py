@@ -64,7 +64,7 @@ def type_candidates(entities: DataFrame, results: DataFrame, hosts: Hosts = Host
     """
     who = entities.select("id", F.array_except(tokens(F.col("name"), stop), tokens(F.col("city"), stop)).alias("own"), tokens(F.col("city"), stop).alias("place"))
     r = results.filter("url IS NOT NULL AND url <> ''").join(who, "id").withColumns({"host": host_of(F.col("url")), "platform": platform_of(F.col("url"))})
-    social = canonical_social(r.filter("platform IS NOT NULL").drop("platform"))
+    social = canonical_social(r.filter("platform IS NOT NULL"))
     social = social.withColumn("match_type", match_type(F.col("own"), F.col("place"), F.col("slug"), F.col("title"), F.col("rank"), stop)).filter("match_type IS NOT NULL")
     social = top_k(social, ["id", "platform", "page"], [F.col("rank")], 1)
     none = lambda t: F.lit(None).cast(t)

@@ -42,7 +42,7 @@ FROM (SELECT l_partkey, l_linenumber, min(l_orderkey) AS l_orderkey, min(l_suppk
     "verdicts": """
 SELECT o_custkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'website' WHEN 1 THEN 'facebook' ELSE 'instagram' END AS platform,
   concat('https://u', cast(o_orderkey % 7 AS string), '.org') AS url, o_orderkey AS position,
-  (cast(o_totalprice AS bigint) % 1001) / 1e3 AS confidence, CASE o_orderstatus WHEN 'O' THEN 'keep' WHEN 'F' THEN 'quarantine' ELSE 'drop' END AS verdict,
+  (cast(floor(o_totalprice) AS bigint) % 1001) / 1e3 AS confidence, CASE o_orderstatus WHEN 'O' THEN 'keep' WHEN 'F' THEN 'quarantine' ELSE 'drop' END AS verdict,
   o_orderkey % 41 = 0 AS trusted, CASE o_orderkey % 5 WHEN 0 THEN 'slug' WHEN 1 THEN 'title' WHEN 2 THEN 'top1' WHEN 3 THEN 'fallback' ELSE 'odd' END AS match_type, cast(o_orderkey % 8 AS int) AS site_score
 FROM orders""",
     "probes": """
@@ -50,7 +50,7 @@ SELECT user_id AS id, CASE event_id % 2 WHEN 0 THEN 'website' ELSE 'donation' EN
   event_id AS seq, cast(floor(epoch_s) AS bigint) AS checked_at, CASE event_type WHEN 'error' THEN 'dead' WHEN 'signup' THEN 'blocked' ELSE 'alive' END AS status,
   CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 404 END WHEN 'signup' THEN 403 ELSE 200 END AS http_code
 FROM {events_s} e""",
-    "marks": "SELECT event_id AS seq, user_id AS client, cast(floor(epoch_s) AS bigint) AS at, event_type AS kind, value FROM {events_s} e",
+    "marks": "SELECT event_id AS seq, user_id AS client, cast(floor(epoch_s) AS bigint) AS secs, event_type AS kind, value FROM {events_s} e",
 }
 
 

@@ -76,7 +76,7 @@ def cities(spark, sf):
     return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.norm_city(c).alias("key"), text.clean_city(c).alias("shown"))
 
 
-@query("PRJ-9", f"SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(text)), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM documents WHERE lang = 'en'")
+@query("PRJ-9", f"SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(text, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM documents WHERE lang = 'en'")
 def name_keys(spark, sf):
     return read(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), text.name_key(F.col("text")).alias("name_key"))
 
@@ -167,9 +167,9 @@ def domains(spark, sf):
     return urls.domain_mentions(view(spark, sf, "results"), "id", "body", "title")
 
 
-@query("PRJ-24", duck("marks") + "SELECT seq AS id, sha256(concat_ws('|', cast(client AS string), kind, cast(at // 86400 AS string), 'salt'))[1:16] AS visitor FROM marks")
+@query("PRJ-24", duck("marks") + "SELECT seq AS id, sha256(concat_ws('|', cast(client AS string), kind, cast(secs // 86400 AS string), 'salt'))[1:16] AS visitor FROM marks")
 def visitors(spark, sf):
-    return view(spark, sf, "marks").select(F.col("seq").alias("id"), ingest.visitor_id(F.col("client").cast("string"), F.col("kind"), F.floor(F.col("at") / 86400).cast("string"), "salt").alias("visitor"))
+    return view(spark, sf, "marks").select(F.col("seq").alias("id"), ingest.visitor_id(F.col("client").cast("string"), F.col("kind"), F.floor(F.col("secs") / 86400).cast("string"), "salt").alias("visitor"))
 
 
 @query("PRJ-25", duck("marks") + "SELECT seq AS id, CASE WHEN seq % 4 = 0 THEN 't' || client WHEN seq % 4 = 1 THEN 'f' || client WHEN seq % 4 = 2 THEN 'p' || client ELSE '?' END AS addr FROM marks")
@@ -297,7 +297,7 @@ def single(spark, sf):
     return single_platform(registry(spark, sf), "facebook", "web_targeted").select("id")
 
 
-@query("FLT-18", duck("marks") + "SELECT client AS id, count(*) FILTER (WHERE at >= 1705000000) AS n FROM marks GROUP BY client")
+@query("FLT-18", duck("marks") + "SELECT client AS id, count(*) FILTER (WHERE secs >= 1705000000) AS n FROM marks GROUP BY client")
 def upcoming_events(spark, sf):
-    arr = view(spark, sf, "marks").groupBy(F.col("client").alias("id")).agg(F.collect_list(F.struct(F.col("at").alias("start"))).alias("ev"))
+    arr = view(spark, sf, "marks").groupBy(F.col("client").alias("id")).agg(F.collect_list(F.struct(F.col("secs").alias("start"))).alias("ev"))
     return arr.select("id", F.size(upcoming(F.col("ev"), F.lit(1705000000))).cast("long").alias("n"))

@@ -217,7 +217,7 @@ def families(spark, sf):
 @query("STR-2")
 def limited(spark, sf):
     """The batch twin of the rate-limit stream, on all events."""
-    m = view(spark, sf, "marks").select("client", "seq", F.col("at").cast("double").alias("at"))
+    m = view(spark, sf, "marks").select("client", "seq", F.col("secs").cast("double").alias("at"))
     return rate_limit(m, 6, 3600.0)
 
 

@@ -37,19 +37,19 @@ def progress(spark, sf):
     return stats.progress(registry(spark, sf))
 
 
-WORK = f", work AS (SELECT department, count(*) AS n FROM registry WHERE lng IS NOT NULL AND (NOT discovered OR {' OR '.join(f'({w})' for w in PENDING.values())}) AND id % 25 >= 4 GROUP BY department HAVING count(*) > 20), head AS (SELECT coalesce(min(position), (SELECT max(position) FROM territories)) AS at FROM territories JOIN work USING (department))"
+WORK = f", work AS (SELECT department, count(*) AS n FROM registry WHERE lng IS NOT NULL AND (NOT discovered OR {' OR '.join(f'({w})' for w in PENDING.values())}) AND id % 25 >= 4 GROUP BY department HAVING count(*) > 20), head AS (SELECT coalesce(min(position), (SELECT max(position) FROM territories)) AS place FROM territories JOIN work USING (department))"
 
 
 def active(spark, sf):
     return stats.active_territory(registry(spark, sf).filter("id % 25 >= 4"), view(spark, sf, "territories"))
 
 
-@query("AGG-5", duck("registry", "territories") + WORK + " SELECT max(CASE WHEN position = at THEN department END) AS active, max(CASE WHEN position = at + 1 THEN department END) AS next, coalesce(string_agg(CASE WHEN position < at THEN department END, ',' ORDER BY department), '') AS done FROM territories, head")
+@query("AGG-5", duck("registry", "territories") + WORK + " SELECT max(CASE WHEN position = place THEN department END) AS active, max(CASE WHEN position = place + 1 THEN department END) AS next, coalesce(string_agg(CASE WHEN position < place THEN department END, ',' ORDER BY department), '') AS done FROM territories, head")
 def active_territory(spark, sf):
     return active(spark, sf).select("active", "next", F.array_join("done", ",").alias("done"))
 
 
-@query("JN-18", duck("registry", "territories") + WORK + " SELECT department, CASE WHEN position = at THEN 'active' WHEN position < at THEN 'done' ELSE 'waiting' END AS state FROM territories, head")
+@query("JN-18", duck("registry", "territories") + WORK + " SELECT department, CASE WHEN position = place THEN 'active' WHEN position < place THEN 'done' ELSE 'waiting' END AS state FROM territories, head")
 def states(spark, sf):
     return stats.territory_states(view(spark, sf, "territories"), active(spark, sf))
 
@@ -103,9 +103,9 @@ def tiers(spark, sf):
 T = 1_705_000_000
 
 
-@query("AGG-14", duck("marks") + f"SELECT n, span_s, span_s / (n - 1) AS s_per_row, 60e0 / (span_s / (n - 1)) AS rows_per_min, span_s / (n - 1) * greatest(1000 - n, 0) AS eta_s FROM (SELECT count(*) AS n, max(at) - min(at) AS span_s FROM marks WHERE at > {T} - 7200 AND at <= {T})")
+@query("AGG-14", duck("marks") + f"SELECT n, span_s, span_s / (n - 1) AS s_per_row, 60e0 / (span_s / (n - 1)) AS rows_per_min, span_s / (n - 1) * greatest(1000 - n, 0) AS eta_s FROM (SELECT count(*) AS n, max(secs) - min(secs) AS span_s FROM marks WHERE secs > {T} - 7200 AND secs <= {T})")
 def throughput(spark, sf):
-    return stats.throughput(view(spark, sf, "marks"), F.lit(T), F.lit(1000))
+    return stats.throughput(view(spark, sf, "marks"), F.lit(T), F.lit(1000), at="secs")
 
 
 @query("AGG-15", duck("registry") + "SELECT department, CAST(floor(avg(lat) * 1e6 + 0.5) AS BIGINT) AS lat, CAST(floor(avg(lng) * 1e6 + 0.5) AS BIGINT) AS lng FROM registry WHERE lng IS NOT NULL GROUP BY department")
@@ -137,7 +137,7 @@ def total(spark, sf):
 
 @query("AGG-19", "SELECT event_type AS status, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS day, count(*) AS n FROM events GROUP BY ALL")
 def report(spark, sf):
-    e = view(spark, sf, "marks").select(F.col("kind").alias("status"), F.floor(F.col("at") / 86400).cast("long").alias("day"))
+    e = view(spark, sf, "marks").select(F.col("kind").alias("status"), F.floor(F.col("secs") / 86400).cast("long").alias("day"))
     return stats.run_report(e, "status", "day")
 
 
