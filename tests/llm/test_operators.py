@@ -1,0 +1,375 @@
+"""Small fixtures against brute force; nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from rollcall.llm import packing, signature_tree, url_filter, warc
+from rollcall.llm.decontaminate import clean_documents, cut_spans, decontamination_report
+from rollcall.llm.jaccard_join import jaccard_components, keep_one
+from rollcall.llm.language import keep_identified, language_report
+from rollcall.llm.quality import quality_report
+from rollcall.llm.quotes import reply_order
+from rollcall.llm.secrets import RULES, RuleSet, redact, report, scan_versions
+from rollcall.llm.toxicity import toxicity_report
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls string, key int, row int, spans int"
+
+
+def documents(spark, texts, lang="en"):
+    """Rows with ids from 0; a (id, text) pair keeps its id; columns that operators also use inside come along."""
+    pairs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame([(i, t, lang, f"s{i % 3}" if i else None, len(t or ""), "c", 1, 2, 3) for i, t in pairs], DOCS)
+
+
+def table(df):
+    return {r[0]: r for r in df.collect()}
+
+
+# 1
+
+
+def spans_by_hand(text):
+    out = []
+    assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for order, (kind, pattern, group, least) in enumerate((("assign", assign, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))):
+        out += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    return [x for _, _, x in sorted(out)]
+
+
+SECRETS = ["password=abcdefgh1 é", None, "", "ünï token : 'ABCDEFGH' " + "a1" * 20, "AKIA" + "A" * 12 + " AKIAAB", "password=secret=short password:secret:abcdefghijk", "toKen=12345678 paſsword=12345678", "x" * 200_000 + " secret='" + "0123456789abcdef" * 3]
+
+
+def test_secrets(spark):
+    docs = documents(spark, [*SECRETS, SECRETS[0], (3, SECRETS[3])])
+    found, ledger = scan_versions(docs)
+    got = report(found).collect()
+    assert len(got) == 10 and ledger.count() == 7  # one blob each, null as the empty one
+    for r in got:
+        want = spans_by_hand((SECRETS + [SECRETS[0]])[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(r.spans.split(",")) | {""}
+    assert report(scan_versions(docs.limit(0))[0]).count() == 0
+
+
+def test_ledger_is_incremental(spark):
+    docs = documents(spark, SECRETS)
+    _, ledger = scan_versions(docs.limit(3))
+    more = documents(spark, [*SECRETS, "new secret=abcdefghij"])
+    found, after = scan_versions(more, ledger=ledger)
+    assert found.count() == 9 and after.count() == 8
+    other = RuleSet(RULES[:2])
+    assert other.version != RuleSet().version
+    assert scan_versions(docs, ledger=ledger, rules=other)[1].filter(f"rules = '{other.version}'").count() == 7
+
+
+def test_redact(spark):
+    docs = documents(spark, [*SECRETS, "no such thing"])
+    out = table(redact(docs))
+    assert redact(docs).columns == docs.columns and len(out) == 9
+    assert out[8].text == "no such thing" and out[1].text is None and out[0].text == "[secret] é"
+    assert all("[secret]" in out[i].text and not spans_by_hand(out[i].text) for i in (0, 3, 4, 5, 7))
+    assert out[0].n_chars == len(out[0].text)
+
+
+# 2
+
+
+def hits_by_hand(text, items, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, ids = words(text), set(), set()
+    for item, t in items:
+        b = words(t)
+        n = min(size, len(b))
+        wins = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1):
+            if n and tuple(w[i : i + n]) in wins:
+                hit |= set(range(i, i + n))
+                ids.add(item)
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination(spark):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["alpha", "Beta", "gamma", "É", "é", "delta1", "o"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 5, 9, 10, 11, 30, 30])] + [(77, None), (100, "The É was"), (9, "odd")]
+    texts = [None, "", "-- !!", *(" ".join(word() for _ in range(rnd.randint(1, 60))) for _ in range(40))]
+    texts += [f"{texts[5]}, {items[k][1].upper()}... {texts[6]}" for k in (4, 5, 6, 7, 8)] + [items[8][1] * 3, "x " * 30_000 + items[9][1]]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, n string")
+    docs = documents(spark, texts)
+    for r in decontamination_report(docs, bench).collect():
+        assert tuple(r)[1:] == hits_by_hand(texts[r.doc_id], items), r.doc_id
+    kept = {r.doc_id for r in clean_documents(docs, bench).collect()}
+    assert kept == {i for i, t in enumerate(texts) if not hits_by_hand(t, items)[4]}
+    long = spark.createDataFrame([(1, items[8][1])], "item_id long, text string")
+    cut = table(cut_spans(docs, long))
+    assert all(hits_by_hand(cut[i].text, [(1, items[8][1])])[1] == 0 or hits_by_hand(texts[i], [(1, items[8][1])])[1] > hits_by_hand(cut[i].text, [(1, items[8][1])])[1] for i in cut)
+    assert cut[3].text == texts[3] and cut_spans(docs, long).columns == docs.columns
+    assert decontamination_report(docs, bench.limit(0)).filter("contaminated").count() == 0
+    assert decontamination_report(docs.limit(0), bench).count() == 0
+
+
+# 3
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nHow  do I fly?"), (1, 1, "assistant", "With wings.\nOr a plane."), (1, 2, "user", "> how do i fly?\nI meant cheaply."), (1, 3, "assistant", "> > How do I fly?\n> I meant cheaply.\nBy bus"), (1, 4, "user", "> Or a plane.\nWhich?"), (1, 5, "user", "thanks"),
+        (2, 0, "user", None), (2, 1, "x", ""), (2, 1, "x", ""), (3, 7, "a", "> never said"), (None, 1, "a", "b"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): r for r in reply_order(df).collect()}
+    assert len(out) == 9
+    assert [out[1, t].reply_to for t in range(6)] == [None, 0, 0, 2, 1, 4]
+    assert [out[1, t].depth for t in range(6)] == [0, 1, 1, 2, 2, 3]
+    assert [out[1, t].position for t in range(6)] == [1, 2, 5, 6, 3, 4]
+    assert out[1, 3].text == "By bus" and (out[1, 3].n_quotes, out[1, 3].n_linked) == (2, 2)
+    assert out[3, 7].n_quotes == 1 and out[3, 7].n_linked == 0 and out[3, 7].text == "" and out[2, 0].text == ""
+    assert reply_order(df.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_warc(spark):
+    big = "é" * 700
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "u\nv", "small"), (5, "x", "small"), (6, "y", ""), (7, "z", "\0" * 300_000), (2, "http://b/", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.warc_report(pages).collect()
+    assert len(out) == 8
+    html = {i: (h or "").encode() for i, _, h in rows}
+    for r in out:
+        assert (r.payload_bytes, r.payload_digest) == (len(html[r.page_id]), hashlib.sha1(html[r.page_id]).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id == 1 else ("response", None))
+    assert warc.warc_report(pages.limit(0)).count() == 0
+
+
+def test_archive_has_a_leading_dictionary_and_single_records():
+    records = [warc.record(i, "u", f"<p>common words {i}</p>".encode() * 9, "d", None, "2024-01-01T00:00:00Z") for i in range(200)]
+    data = warc.archive(records)
+    assert data[:4] == bytes.fromhex("5d2a4d18")
+    assert [f["WARC-Record-ID"] for f, _ in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(200)]
+    assert len(data) < sum(map(len, records)) / 3
+
+
+# 5
+
+
+def test_language(spark):
+    rnd = random.Random(1)
+    words = {"aa": "the of and house river stone".split(), "bb": "der und das haus fluss stein".split()}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randint(3, 40))), lang) for i, lang in enumerate(["aa", "bb"] * 150)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 !", "aa"), (903, "und das " * 30_000, None), (1, rows[1][1], "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_report(docs).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (900, 901, 902)) and out[903].lang_pred == "bb"
+    held = [i for i, _, _ in rows[:300] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i in out if out[i].held_out} == {i for i in out if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(out[i].lang_pred == rows[i][2] for i in held) >= 0.98 * len(held)
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert language_report(docs.limit(0)).count() == 0
+
+
+# 6
+
+
+def components_by_hand(texts, width, num, den):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and both * den >= num * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def near_copies(seed):
+    rnd = random.Random(seed)
+    base = [[f"w{rnd.randint(0, 400)}" for _ in range(n)] for n in (3, 8, 20, 60, 200, 1000)]
+    texts = [None, "", " \n", "one", "ONE", "one two", "Same Same same", "É b c", "é b c"]
+    for b in base:
+        for _ in range(12):
+            c = list(b)
+            for _ in range(rnd.choice([0, 0, 1, 1, 2, 4, 9])):
+                c[rnd.randrange(len(c))] = f"v{rnd.randint(0, 9)}"
+            texts.append("  ".join(c[rnd.choice([0, 0, 1, 3]) :]).upper() if rnd.random() < 0.3 else " ".join(c))
+    return texts
+
+
+@pytest.mark.parametrize(("width", "num", "den", "bin_tokens"), [(3, 9, 10, 4_000_000), (5, 4, 5, 4_000_000), (3, 9, 10, 500)])
+def test_jaccard_components(spark, width, num, den, bin_tokens):
+    texts = near_copies(7)
+    want = components_by_hand(texts, width, num, den)
+    got = jaccard_components(documents(spark, texts), width, num, den, bin_tokens).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, *w) for i, w in enumerate(want)]
+
+
+def test_keep_one(spark):
+    docs = documents(spark, ["a b c d e f", "A b c d e f", "other text here is it", None, "", (1, "A b c d e f")])
+    out = keep_one(docs, width=5, num=4, den=5)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
+    assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_signature_tree_loses_nothing():
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 2**63, 3000, dtype=np.uint64)
+    base = [np.unique(rnd.choice(pool, n)) for n in rnd.integers(5, 200, 30)]
+    sets = [np.unique(np.concatenate([b[rnd.random(len(b)) > 0.04], rnd.choice(pool, 1)])) for b in base for _ in range(12)]
+    tree, linked = signature_tree.SignatureTree(sets, max(map(len, sets))), signature_tree.Linked(len(sets))
+    list(signature_tree.traverse(tree, tree, True, 9, 10, linked, 0))
+    want = signature_tree.Linked(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 10 >= 9 * (len(sets[i]) + len(sets[j]) - both):
+                want.join(i, j)
+    assert [linked.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
+# 7
+
+
+def check_packing(out, texts, size):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = True
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    by_doc, by_seq = {}, {}
+    for r in out:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(ids)
+    for i, rows in by_doc.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids[i])
+            assert r.ids_crc32 == zlib.crc32(ids[i][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[i])
+    total = sum(map(len, ids.values()))
+    assert sorted(by_seq) == list(range(-(-total // size)))
+    for w, rows in by_seq.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == (size if w < len(by_seq) - 1 else total - size * w)
+    return by_seq
+
+
+def test_packing(spark):
+    rnd = random.Random(2)
+    texts = {i: " ".join(rnd.choice(["hello", "world", "été", "naïve's", "12,5"]) for _ in range(rnd.randint(0, 300))) for i in range(60)}
+    texts |= {60: None, 61: "", 62: "long " * 30_000, 63: "<|endoftext|>  two\n\n\tgaps "}
+    docs = documents(spark, list(texts.items())).repartition(5)
+    by_seq = check_packing(packing.pack(docs, 256).collect(), texts, 256)
+    assert len(by_seq) > 100
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_packing_keeps_target_shares(spark):
+    texts = {i: "word " * 400 for i in range(60)}
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in texts.items()], "doc_id long, text string, source string")
+    out = packing.pack(docs, 512, weights={"a": 0.75, "b": 0.25}).collect()
+    by_seq = check_packing(out, texts, 512)
+    for w in range(20):
+        assert abs(sum(r.length for r in by_seq[w] if r.doc_id % 2 == 0) - 384) <= 1
+
+
+def test_closed_form_is_round_robin():
+    plan = packing.phases([1000, 333, 77], 64)
+    for p in plan:
+        for w in range(p.windows):
+            x, y = w * 64, min((w + 1) * 64, p.tokens)
+            got = [p.had(s, y) - p.had(s, x) for s in range(3)]
+            assert sum(got) == y - x and min(got) >= 0
+            assert all(abs(p.had(s, y) - y * t / 1410) < 1 for s, t in enumerate([1000, 333, 77]))  # deficits stay under a token
+
+
+# 8
+
+
+def test_cascade_is_exact():
+    rnd = np.random.default_rng(1)
+    a, b = rnd.integers(0, 2**63, (2, 20_000), dtype=np.uint64)
+    for share in (0.0, 0.01, 0.5, 1.0):
+        listed = rnd.random(len(a)) < share
+        levels = url_filter.build_cascade(a, b, listed)
+        assert (url_filter.in_cascade(levels, a, b) == listed).all()
+
+
+def test_judge_urls(spark, monkeypatch):
+    urls = [None, "", "no scheme", "http://A.Example.com/en/12?x", "https://a.example.com/en/7/", "http://a.example.com/de/1", "http://x.net/de/8", "http://Q.example.net/de/8", "http://q.example.net/fr", "ftp://org/es/#a", "http://notorg/es/", "http://b.org?/es/", "http://q.example.net/fr"]
+    pages = spark.createDataFrame([(i, u, "r", True) for i, u in enumerate(urls)], "page_id long, url string, row string, listed boolean")
+    want = [("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/12", "com/en/", "block"), ("a.example.com", "/en/7/", "example.com/en/7", "allow"), ("a.example.com", "/de/1", None, "block"), ("x.net", "/de/8", "net/de/", "allow"), ("q.example.net", "/de/8", "example.net/de/8", "block"), ("q.example.net", "/fr", None, "block"), ("org", "/es/", "org/es/", "block"), ("notorg", "/es/", None, "allow"), ("b.org", "", None, "allow"), ("q.example.net", "/fr", None, "block")]
+    for limit in (64 << 20, 0):  # broadcast, then dealt to shards
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+        assert [got[i] for i in range(len(urls))] == want
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+# 9
+
+
+def quality_by_hand(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen = {}
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    rep = {j for v in seen.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    lines, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w)
+
+
+def test_quality(spark):
+    rnd = random.Random(4)
+    clean = [" ".join(rnd.choice(["the", "river", "runs", "of", "Stone", "and", "green", "hills", "it", "was"]) + f"{rnd.choice('abcdefgh')}x" for _ in range(120)) + "." for _ in range(30)]
+    texts = [None, "", "a b\na b\n\n\nc", "x y z v w " * 3, "A B a b A B a b A B a b c", "$$ ## " * 2000, *clean]
+    out = table(quality_report(documents(spark, texts)))
+    for i, t in enumerate(texts):
+        assert tuple(out[i])[1:7] == quality_by_hand(t)
+    assert all(out[i].kept for i in range(6, len(texts)))
+    odd = " ".join(f"##{i}$$" for i in range(400))
+    assert not table(quality_report(documents(spark, [*clean, odd])))[30].kept
+    assert quality_report(documents(spark, texts).limit(0)).count() == 0
+
+
+# 10
+
+
+def test_toxicity(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40)] + (["wretched fool"] if i % 4 == 0 else [])) for i in range(400)] + [None, "", "y" * 100_000]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(0, 1), (7777, 1), (1, None)], "doc_id long, toxic int")
+    out = table(toxicity_report(docs, labels))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(out) == 403 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values())
+    assert sum(out[i].predicted == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
+    assert {r.score for r in toxicity_report(docs, labels.limit(0)).collect()} == {0.5}
+    assert toxicity_report(docs.limit(0), labels).count() == 0
