@@ -67,9 +67,9 @@ class _Names(HTMLParser):
 
     BLOCKS = re.compile("association|asso|club|structure", re.I)
 
-    def __init__(self):
+    def __init__(self, headings: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
-        self.stack, self.found = [], []
+        self.stack, self.found, self.headings = [], [], headings
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -112,23 +112,23 @@ class _Names(HTMLParser):
             self.found += [("table", r[col]) for r in x["rows"][1:] if len(r) > col]
         elif x["tag"] == "li":
             self.found.append(("list", re.split(r"\s[–—-]\s", text)[0].strip()))
-        elif x["tag"] in ("h2", "h3") or x["tag"] in ("h4", "strong", "b", "a") and any(y["block"] for y in self.stack):
-            self.found.append(("heading" if x["tag"] in ("h2", "h3") else "block", text))
+        elif x["tag"] in self.headings or x["tag"] in ("h4", "strong", "b", "a") and any(y["block"] for y in self.stack):
+            self.found.append(("heading" if x["tag"] in self.headings else "block", text))
 
 
-def org_names(html: str | None) -> list[tuple[str, str]]:
-    p = _Names()
+def org_names(html: str | None, headings: tuple[str, ...] = ("h2", "h3")) -> list[tuple[str, str]]:
+    p = _Names(headings)
     p.feed(html or "")
     p.close()
     return [(kind, t) for kind, t in p.found if t]
 
 
-def extract_org_names(pages: DataFrame, check=looks_like_org) -> DataFrame:
+def extract_org_names(pages: DataFrame, check=looks_like_org, headings: tuple[str, ...] = ("h2", "h3")) -> DataFrame:
     """(page_id, url, pos, place, name, name_key): candidate names of each page, the first of each key; ``check`` decides what looks like one (PRJ-22)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, u, pos, place, t) for i, u, h in zip(f["page_id"], f["url"], f["html"]) for pos, (place, t) in enumerate(org_names(h))]
+            rows = [(i, u, pos, place, t) for i, u, h in zip(f["page_id"], f["url"], f["html"]) for pos, (place, t) in enumerate(org_names(h, headings))]
             yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "place", "name"])
 
     kind = dict(pages.dtypes)["page_id"]

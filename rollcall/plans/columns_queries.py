@@ -159,7 +159,7 @@ def page_texts(spark, sf):
 
 @query("PRJ-22")
 def page_names(spark, sf):
-    return pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120))
+    return pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",))
 
 
 @query("PRJ-23", duck("results") + "SELECT DISTINCT id, lower(unnest(regexp_extract_all(body || ' ' || title, '(?i)\\b([a-z0-9][a-z0-9-]{1,40}\\.(?:fr|com|org|net|bzh|eu|info))\\b', 1))) AS domain FROM results")

@@ -223,6 +223,6 @@ def limited(spark, sf):
 
 @query("DEC-21")
 def crossed(spark, sf):
-    names = pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120)).withColumn("department", F.substring("name_key", 1, 1))
+    names = pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",)).withColumn("department", F.substring("name_key", 1, 1))
     reg = view(spark, sf, "registry").select("id", "name", F.upper(F.substring("name", 1, 1)).alias("department"))
     return pages.cross_reference(names, reg, "department")
