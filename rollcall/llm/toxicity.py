@@ -19,7 +19,7 @@ from .language import batches_of, held_out
 
 WIDTHS, BITS = range(3, 7), 20
 #: Bounds of the fit: labelled documents per class, and features kept.
-SAMPLE_PER_CLASS, FEATURES = 4000, 20_000
+SAMPLE_PER_CLASS, FEATURES = 4000, 3000
 
 
 @dataclass
@@ -66,7 +66,7 @@ def _kept(shared):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, alpha: float = 1.0, l2: float = 0.02, steps: int = 300) -> RatioModel:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, alpha: float = 1.0, l2: float = 1.0, steps: int = 300) -> RatioModel:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): of each class the ``per_class`` labelled documents of least hash."""
     none = RatioModel(np.zeros(1 << BITS, np.float32), 0.0)
     lab = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     for step in range(1, steps + 1):  # Adam on the full sample
         z = np.bincount(row, x * coef[col], len(rows)) + bias
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(col, x * err[row], len(ratio)) + l2 * coef / len(rows) * 100
+        g = np.bincount(col, x * err[row], len(ratio)) + l2 * coef / len(rows)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
