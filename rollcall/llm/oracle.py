@@ -1,5 +1,9 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+import re
+
+from .secrets import RULES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = rf"""
@@ -42,4 +46,46 @@ listed AS (SELECT host, coalesce(max(f.verdict = 'block'), false) AS blocked FRO
 SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM fit JOIN listed USING (host)
 """
 
-SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op4_warc": OP4, "op8_url_filters": OP8}
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the lengths of the stretches between matches and of the matches add up to the offsets."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS a, length(hit[i]) AS len
+FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS gap, regexp_extract_all(t, '{p}') AS hit, regexp_extract_all(t, '{p}', {group}) AS part, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d) WHERE length(part[i]) >= {least}"""
+
+
+def _op1() -> str:
+    kinds = []
+    for order, r in enumerate(RULES):
+        pattern, group = r.pattern, r.group
+        if r.flags:  # ASCII letters in either case; RE2's own flag folds others too
+            head, _, tail = pattern.partition(")")
+            pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + tail
+        if group == 0:
+            pattern, group = f"({pattern})", 1
+        kinds.append(_spans(r.kind, order, pattern, group, r.least))
+    count = lambda k: f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}"
+    span = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len AS BIGINT)"
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(kinds)}),
+g AS (SELECT doc_id, {', '.join(map(count, ('assign', 'access', 'hex')))}, string_agg({span}, ',' ORDER BY a, o) FILTER ({base}) AS base, string_agg({span}, ',' ORDER BY a, o) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+SQL: dict[str, str] = {"op1_secret_scans": _op1(), "op2_benchmark_decontamination": OP2, "op4_warc": OP4, "op6_ngram_jaccard_join": OP6, "op8_url_filters": OP8}
