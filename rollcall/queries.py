@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .plans import columns_queries, decision_queries, join_queries, stats_queries  # noqa: E402, F401
+from .plans import columns_queries, decision_queries, join_queries, stats_queries, stream_queries  # noqa: E402, F401
