@@ -94,7 +94,8 @@ def global_position(df: DataFrame, order: list[str], name: str = "position") ->
 
     Rows are dealt by range; each partition numbers its own rows and adds the rows of the partitions before it.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a given number of partitions is not coalesced at run time, so both uses below see the same ones
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     marked = dealt.withColumn("_id", F.monotonically_increasing_id())
     part, at = F.shiftright("_id", 33).cast("long"), F.col("_id").bitwiseAND(2**33 - 1)
     marked = marked.withColumns({"_part": part, "_at": at}).drop("_id")
