@@ -1,0 +1,98 @@
+"""Hand-made boundary rows of the registry operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollcall.functions import geo, text, urls
+from rollcall.operators import decide, ingest, listing, merge, pages, search
+from rollcall.sources import registry as sinks
+
+
+def values(df):
+    return [r[0] for r in df.collect()]
+
+
+def test_departments(spark):
+    df = spark.createDataFrame([(p,) for p in ("20199", "20200", "97100", "98800", "4400", "44x00", " 44000 ", "", None)], "p string")
+    assert values(df.select(geo.department_of(F.col("p")))) == ["2A", "2B", "971", "988", None, None, "44", None, None]
+
+
+def test_dissolved(spark):
+    rows = [("1", "a", "0001-01-01"), ("2", "a", "1900-12-31"), ("3", "a", "1901-01-01"), ("4", "a", " "), ("5", " ", None), (None, "a", None)]
+    df = spark.createDataFrame(rows, "id string, name string, dissolved string")
+    assert [r.id for r in ingest.valid_rows(df).collect()] == ["1", "2", "4"]
+
+
+def test_null_island(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 0.0, 0.0), (3, 1.0, 1.0), (4, 1.0001, 0.0)], "id int, lng double, lat double")
+    assert [r.id for r in listing.map_points(df).collect()] == [4]
+
+
+def test_bad_boxes():
+    for bad in ("1,2,3", "a,b,c,d", "5,0,1,1", "nan,0,1,1"):
+        with pytest.raises(ValueError):
+            geo.in_box(bad)
+
+
+def test_whole_words_are_ascii(spark):
+    df = spark.createDataFrame([("le soin",), ("soiné",), ("besoin",), ("soin_x",)], "t string")
+    got = values(df.select(ingest.classify(F.col("t"), [("care", [], ["soin"])], "other")))
+    assert got == ["care", "care", "other", "other"]
+    assert ingest.rule_pattern(["a.b"]) == r"a\.b"
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("Les Amis de l'Étang  (club)",)], "t string")
+    r = df.select(text.name_key(F.col("t")), text.name_norm(F.col("t")), text.tokens(F.col("t")), text.slugify(F.col("t"))).first()
+    assert tuple(r) == ("AMIS L ETANG", "amis etang", ["amis", "etang"], "les-amis-de-l-etang-club")
+
+
+def test_social_pages(spark):
+    rows = ["https://www.facebook.com/people/x/1", "https://facebook.com/1234567", "https://fb.com/abc", "https://facebook.com/pages/Nice-Club/99", "https://m.facebook.com/NiceClub?x", "https://youtube.com/watch?v=1", "https://www.youtube.com/@chan", "https://linkedin.com/in/me", "https://linkedin.com/school/s1", "https://tiktok.com/@handle/video/1", "https://x.com/intent", "https://x.com/me", "https://www.helloasso.com/associations/a-b/x", "not a url", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "id int, url string")
+    got = {r.id: (r.platform, r.slug) for r in urls.canonical_social(df).collect()}
+    assert got == {3: ("facebook", "Nice-Club"), 4: ("facebook", "NiceClub"), 6: ("youtube", "chan"), 8: ("linkedin", "s1"), 9: ("tiktok", "handle"), 11: ("twitter", "me"), 12: ("donation", "a-b")}
+    assert 1 in {r.id for r in urls.canonical_social(df, strict=False).collect()}
+
+
+def test_upsert_keeps_places_and_is_idempotent(spark):
+    base = spark.createDataFrame([("R1", "old", 1.0, 2.0, "draft", "manual", "ev", 5), ("R2", "b", 3.0, 4.0, "published", "registry", "x", 5)], "ext_id string, name string, lng double, lat double, status string, source string, evidence string, updated_at long")
+    batch = spark.createDataFrame([("R1", "first", 9.0, 9.0, 0), ("R1", "new", None, None, 1), ("R3", "c", 5.0, 6.0, 2)], "ext_id string, name string, lng double, lat double, position int")
+    once = merge.upsert(base, batch, F.lit(7).cast("long"))
+    rows = {r.ext_id: tuple(r)[1:] for r in once.collect()}
+    assert rows == {"R1": ("new", 1.0, 2.0, "draft", "manual", "ev", 7), "R2": ("b", 3.0, 4.0, "published", "registry", "x", 5), "R3": ("c", 5.0, 6.0, "published", "registry", None, 7)}
+    twice = merge.upsert(once, batch, F.lit(7).cast("long"))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+
+
+def test_verdict_folds(spark):
+    rows = [(1, "facebook", "a", 1, 0.1, "drop", False), (1, "facebook", "b", 2, 0.2, "keep", False), (1, "facebook", "c", 3, 0.3, "keep", False), (2, "facebook", "d", 1, 0.1, "drop", False), (2, "facebook", "e", 2, 0.2, "quarantine", False), (3, "donation", "f", 1, 0.1, "drop", True), (3, "donation", "g", 2, 0.1, "drop", True)]
+    df = spark.createDataFrame(rows, "id int, platform string, url string, position int, confidence double, verdict string, trusted boolean")
+    assert {r.id: (r.url, r.confidence) for r in decide.verdict_per_platform(df).collect()} == {1: ("b", 0.2), 2: ("e", 0.2), 3: ("g", 1.0)}
+
+
+def test_verdict_text(spark):
+    df = spark.createDataFrame([('x {"verdict": "Keep", "confidence": 7} y',), ("nothing",), ('{"verdict": "odd", "confidence": "NaN"}',), (None,)], "response string")
+    assert [(r.verdict, r.confidence) for r in decide.parse_verdicts(df).collect()] == [("keep", 1.0), ("quarantine", 0.0), ("quarantine", 0.0), ("quarantine", 0.0)]
+
+
+def test_page_jobs(spark):
+    html = "<title>T</title><nav><ul><li>Club nav</li></ul></nav><p>Body  text</p><table><tr><th>Ville</th><th>Nom</th></tr><tr><td>X</td><td>Club des Amis</td></tr></table><ul><li>Union sportive - foot</li><li>CLUB DES AMIS</li></ul><h2>Amicale laïque</h2><div class=asso><b>Comité des fêtes</b></div>"
+    df = spark.createDataFrame([(1, "u", html), (2, "v", None)], "page_id long, url string, html string")
+    out = {r.page_id: (r.text, r.error) for r in pages.page_text(df).collect()}
+    assert out[1][0].startswith("T - Body text") and "nav" not in out[1][0] and out[2] == (None, "empty")
+    assert {r.name for r in pages.extract_org_names(df).collect()} == {"Club des Amis", "Union sportive", "Amicale laïque", "Comité des fêtes"}
+
+
+def test_suggest_allows_typos(spark):
+    docs = spark.createDataFrame([(1, "d", "c", "association sportive"), (2, "d", "c", "assocation club")], "id long, department string, category string, name string")
+    index = search.build_index(docs.withColumns({"city": F.lit(""), "tags": F.array().cast("array<string>"), "description": F.lit("")}))
+    assert [r.id for r in search.suggest(index, "association").collect()] == [1, 2]
+    assert [r.id for r in search.suggest(index, "spo").collect()] == [1]
+
+
+def test_register_file(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_bytes('id;titre;objet\n 1 ; "A; b" ;x\n2;short\n\n3;"q ""x""";y;extra\n'.encode())
+    rows = sinks.read_registry(spark, str(p)).collect()
+    assert [(r.id, r.titre) for r in rows] == [("1", "A; b"), ("2", "short"), ("3", 'q "x"')]
