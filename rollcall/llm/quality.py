@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
-from .words import chunks, word_hashes
+from .words import text_chunks, word_hashes
 
 # Common function words of four languages, a parameter of the operator.
 COMMON_WORDS = (
@@ -77,10 +77,9 @@ def _features(common: tuple[str, ...]):
         order = np.argsort(known)
         sorted_ = known[order]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list] = [[] for _ in range(7)]
-            for a, b in chunks(texts):
-                part = texts[a:b]
+            for _, _, texts in text_chunks(batch.column(1)):
+                part = [t or "" for t in texts]
                 exact, _ = word_hashes(part, lower=False)
                 low, firsts = word_hashes(part)
                 at = np.minimum(np.searchsorted(sorted_, low), len(sorted_) - 1)
@@ -89,7 +88,8 @@ def _features(common: tuple[str, ...]):
                     words = t.encode("utf-8", "surrogatepass").split()
                     code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
                     chars = np.bincount(_TABLE[code[code < 128]], minlength=len(CLASSES))
-                    wide = sum(map(str.isalpha, (c for c in t if c > "\x7f"))) if chars.sum() < len(t) else 0
+                    kinds, times = np.unique(code[code >= 128], return_counts=True)
+                    wide = sum(int(n) for c, n in zip(kinds, times) if chr(c).isalpha())
                     chars[CLASSES.index("letter")] += wide
                     chars[CLASSES.index("rest")] += len(t) - int(chars.sum())
                     blank = int(((code == 32) | ((code >= 9) & (code <= 13))).sum())
@@ -102,19 +102,60 @@ def _features(common: tuple[str, ...]):
     return run
 
 
-def shares(hist: Column) -> Column:
-    total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(hist, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+def shares(hist: np.ndarray) -> np.ndarray:
+    """Rows of counts as rows of shares; an empty row stays 0."""
+    return hist / np.maximum(hist.sum(1, keepdims=True), 1)
 
 
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance (base 2, 0 to 1) of two histograms of shares."""
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon distance (base 2, 0 to 1) of each row of p to the histogram q."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, right = np.where(p > 0, p * np.log2(p / m), 0.0), np.where(q > 0, q * np.log2(q / m), 0.0)
+    return np.sqrt(np.maximum((left + right).sum(1) / 2, 0.0))
 
-    def term(x, m):
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    each = F.zip_with(p, q, lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(-1, width).astype(np.float64)
+
+
+def _guarded(chars: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return (n_words >= LEAST_WORDS) & (chars.sum(1) >= LEAST_CHARS)
+
+
+def _sums(width: int):
+    """Partial sums of each language's shares, in units of 2^-30 so that their order does not matter; place -1 counts the documents."""
+
+    def run(batches):
+        for batch in batches:
+            lang = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
+            chars, words = _matrix(batch.column("chars"), len(CLASSES)), _matrix(batch.column("words"), width)
+            ok = _guarded(chars, batch.column("n_words").to_numpy())
+            both = np.concatenate([shares(chars), shares(words)], axis=1)
+            for name in sorted(set(lang[ok])):
+                mine = np.floor(both[ok & (lang == name)] * 2.0**30).astype(np.int64)
+                value = np.append(mine.sum(0), len(mine))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value)), pa.array([*range(len(value) - 1), -1], pa.int32()), pa.array(value)], ["lang", "place", "value"])
+
+    return run
+
+
+def _distances(shared, width: int):
+    def run(batches):
+        refs = shared.value
+        for batch in batches:
+            chars, words = _matrix(batch.column("chars"), len(CLASSES)), _matrix(batch.column("words"), width)
+            ok = _guarded(chars, batch.column("n_words").to_numpy()) & bool(refs)
+            out = []
+            for hist, k in ((chars, 0), (words, 1)):
+                part = shares(hist[ok])
+                near = np.full(len(ok), np.nan)
+                if refs:
+                    near[ok] = np.min([jensen_shannon(part, r[k]) for r in refs], axis=0)
+                out.append(pa.array(np.round(near, 6), mask=~ok))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:7], *out], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"])
+
+    return run
 
 
 def features(docs: DataFrame, common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
@@ -123,14 +164,15 @@ def features(docs: DataFrame, common: tuple[str, ...] = COMMON_WORDS) -> DataFra
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_features(common), shape)
 
 
-def references(feats: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(lang, character-class shares, common-word shares): the means over all documents of the language that pass the guards, null languages as one."""
-    sized = feats.filter((F.size("chars") > 0) & (F.col("n_words") >= LEAST_WORDS)).select(F.coalesce("lang", F.lit("")).alias("lang"), shares(F.col("chars")).alias("c"), shares(F.col("words")).alias("w"))
-    kinds = [("c", len(CLASSES)), ("w", len(COMMON_WORDS) + 1)]
-    # 50 bits behind the point: sums of integers do not depend on the order of the rows
-    exact = [F.sum((F.col(k)[i] * 2.0**30).cast("long")).alias(f"{k}{i}") for k, n in kinds for i in range(n)]
-    rows = sized.groupBy("lang").agg(F.count("*").alias("n"), *exact).orderBy("lang").collect()
-    return [(r["lang"], *([r[f"{k}{i}"] / 2.0**30 / r["n"] for i in range(n)] for k, n in kinds)) for r in rows]
+def references(feats: DataFrame, width: int = len(COMMON_WORDS) + 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(character-class shares, common-word shares) of each language, null as one of its own: the means over all its documents that pass the guards."""
+    rows = feats.select("lang", "n_words", "chars", "words").mapInArrow(_sums(width), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value")).collect()
+    out = []
+    for lang in sorted({r[0] for r in rows}):
+        got = {r[1]: r[2] for r in rows if r[0] == lang}
+        mean = np.array([got[i] for i in range(len(CLASSES) + width)]) / 2.0**30 / got[-1]
+        out.append((mean[: len(CLASSES)], mean[len(CLASSES) :]))
+    return out
 
 
 def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: float = MOST_WORD) -> DataFrame:
@@ -139,11 +181,10 @@ def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: flo
     Null texts have no words and fail the base; repeated rows each keep their row; columns other than doc_id, text and lang are ignored.
     The number of languages is that of distinct ``lang`` values, each with one reference row on the driver.
     """
-    feats = staged(features(docs), shared_dir(docs.sparkSession), "features")
-    refs = references(feats)
-    near = lambda hist, k: F.round(F.least(F.lit(9.0), F.lit(9.0), *[jensen_shannon(shares(F.col(hist)), F.array(*map(F.lit, r[k]))) for r in refs]), 6)
-    guarded = (F.col("n_words") >= LEAST_WORDS) & (F.aggregate("chars", F.lit(0), lambda a, x: a + x) >= LEAST_CHARS) & F.lit(bool(refs))
+    feats, width = staged(features(docs), shared_dir(docs.sparkSession), "features"), len(COMMON_WORDS) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(references(feats, width))
+    shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double"
+    out = feats.mapInArrow(_distances(shared, width), shape)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = feats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), guarded.alias("guarded"), F.when(guarded, near("chars", 1)).alias("char_distance"), F.when(guarded, near("words", 2)).alias("word_distance"))
-    strange = F.col("guarded") & ((F.col("char_distance") > most_char) | (F.col("word_distance") > most_word))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    strange = F.coalesce((F.col("char_distance") > most_char) | (F.col("word_distance") > most_word), F.lit(False))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), "char_distance", "word_distance")

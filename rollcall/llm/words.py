@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -68,14 +70,14 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[tuple[int, np.
             yield 0, np.zeros(0, np.uint64)
 
 
-def chunks(texts: list[str | None], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``size`` characters together; a longer text is a range of its own."""
+def text_chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges (from, to, texts) of whole texts of about ``size`` bytes together; a longer text is a range of its own. Only one range is turned into Python strings at a time."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > size:
-            yield start, i
+    for i, n in enumerate(length):
+        if i > start and held + n > size:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, held = i, 0
-        held += n + 1
-    if held:
-        yield start, len(texts)
+        held += int(n)
+    if len(length):
+        yield start, len(length), column.slice(start).to_pylist()
