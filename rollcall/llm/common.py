@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to so many rows (of a few numbers each); beyond it the join is shuffled.
@@ -28,6 +28,13 @@ def staged(df: DataFrame, at: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python at most ``rows`` at a time, so that a task holds a few megabytes of them on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on a bigint ``key`` whose hot values may hold a third of ``left``.
 
@@ -58,7 +65,7 @@ def components(edges: DataFrame, at: str, name: str, rounds: int = 60) -> DataFr
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = skew_join(large, least, "a").select("b", "m").filter("b <> m").union(least.select("a", "m")).distinct()
         pairs = staged(small.toDF("a", "b"), at, f"{name}-{k}")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
@@ -68,6 +75,18 @@ def components(edges: DataFrame, at: str, name: str, rounds: int = 60) -> DataFr
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(own)
 
 
+def few_per(df: DataFrame, by: str, k: int, seed: int) -> DataFrame:
+    """The ``k`` rows of least hash of doc_id for each value of ``by``, with the hash as ``h``: a bounded sample that depends on the ids alone.
+
+    The counts thin the rows to about twice as many before they are ranked, so no task ranks a whole class.
+    """
+    n = df.groupBy(by).agg(F.count("*").alias("_n"))
+    n = F.broadcast(n) if bounded(n) else n
+    thin = df.join(n, by).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).filter(F.pmod("h", F.lit(2**30)) * F.col("_n") < (2 * k + 100) * 2**30)
+    w = Window.partitionBy(by).orderBy(F.pmod("h", F.lit(2**30)), "doc_id")
+    return thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

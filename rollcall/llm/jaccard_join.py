@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, components, shared_dir, skew_join, staged
+from .common import BROADCAST_ROWS, bounded, components, shared_dir, skew_join, staged, text_batches
 from .signature_tree import Linked, SignatureTree, needed_difference, size_bands, traverse
-from .words import chunks, mix, shingle_sets
+from .words import mix, shingle_sets, text_chunks
 
 _U = np.uint64
 SAMPLE_DOCS = 4000
@@ -39,12 +39,11 @@ def _digest(tokens: np.ndarray) -> int:
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            n, cls = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for a, b in chunks(texts):
-                for i, (_, s) in zip(range(a, b), shingle_sets(texts[a:b], width)):
+            n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, b, texts in text_chunks(batch.column(1)):
+                for i, (_, s) in zip(range(a, b), shingle_sets(texts, width)):
                     n[i], cls[i] = len(s), _digest(s)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
 
     return run
 
@@ -52,9 +51,8 @@ def _classes(width: int):
 def _sampled(width: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                for _, s in shingle_sets(texts[a:b], width):
+            for _, _, texts in text_chunks(batch.column(0)):
+                for _, s in shingle_sets(texts, width):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
 
     return run
@@ -102,10 +100,10 @@ def _keys(width: int, num: int, den: int, frequent):
         ends = size_bands(1 << 31)
         common = frequent.value
         for batch in batches:
-            texts, seen = batch.column(0).to_pylist(), set()
-            for a, b in chunks(texts):
+            seen = set()
+            for _, _, texts in text_chunks(batch.column(0)):
                 keys, owners = [], []
-                for _, s in shingle_sets(texts[a:b], width):
+                for _, s in shingle_sets(texts, width):
                     if len(s) and (c := _digest(s)) not in seen:
                         seen.add(c)
                         keys.append(segment_keys(s, common, ends, num, den))
@@ -133,12 +131,16 @@ def _stars(batches):
 
 
 def _sets(width: int):
+    """Rows (text, cls, ...) become (..., cls, tokens); a row whose text is not of the class (it repeats a doc_id) goes."""
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                sets = [s for _, s in shingle_sets(texts[a:b], width)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
+            cls = batch.column(1).to_numpy()
+            for a, b, texts in text_chunks(batch.column(0)):
+                sets = [s for _, s in shingle_sets(texts, width)]
+                own = [i for i, s in enumerate(sets) if _digest(s) == cls[a + i]]
+                part = batch.slice(a, b - a).take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([sets[i].tobytes() for i in own], pa.binary())], [*batch.schema.names[1:], "tokens"])
 
     return run
 
@@ -175,6 +177,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     Links are never lost; sets are compared by 64-bit token hashes.
     """
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
+    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = staged(docs.mapInArrow(_classes(width), "doc_id long, n_shingles long, cls long"), at, "classes")
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
@@ -184,30 +187,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
 
     least = each.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"))
     members = staged(cand.join(least, "cls"), at, "members")
-    fetch = members.select(F.col("first").alias("doc_id"))
-    small = bounded(fetch, BROADCAST_ROWS)
-    texts = docs.join(F.broadcast(fetch) if small else fetch, "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "cls long, tokens binary").dropDuplicates(["cls"])
-    sets = sets.join(F.broadcast(members) if small else members, "cls")
-
     # bins: small components share one by hash; a large one is cut by size band and hash into parts that meet in pairs
     size = members.groupBy("comp").agg(F.sum("n").alias("held"))
     total = size.agg(F.sum("held")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // bin_tokens) + 1)
-    ways = F.ceil(F.col("held") / (bin_tokens // 2))
-    size = size.withColumn("ways", F.when(F.col("held") > bin_tokens, ways).otherwise(1))
-    parts = skew_join(sets, size, "comp").withColumn("part", F.when(F.col("ways") > 1, F.floor(F.log(1.2, F.col("n").cast("double"))) * 65536 + F.pmod(F.xxhash64("cls"), "ways")).otherwise(F.lit(0)).cast("long"))
-    single = parts.filter("ways = 1").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "comp", "cls", "part", "tokens")
-    cut = parts.filter("ways > 1")
+    ways = F.when(F.col("held") > bin_tokens, F.ceil(F.col("held") / (bin_tokens // 2))).otherwise(1)
+    parts = skew_join(members, size.withColumn("ways", ways), "comp")
+    part = F.floor(F.log(1.2, F.col("n").cast("double"))) * 65536 + F.pmod(F.xxhash64("cls"), "ways")
+    parts = parts.withColumn("part", F.when(F.col("ways") > 1, part).otherwise(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    single = parts.filter("ways = 1").select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), zero.alias("low"), zero.alias("high"))
+    cut = staged(parts.filter("ways > 1"), at, "cut")
     nodes = cut.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = nodes.alias("x"), nodes.alias("y")
     meets = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.part") <= F.col("y.part")) & (den * F.col("x.hi") >= num * F.col("y.lo")) & (den * F.col("y.hi") >= num * F.col("x.lo")))
     meets = meets.select(F.col("x.comp").alias("comp"), F.col("x.part").alias("low"), F.col("y.part").alias("high"))
     by_part = meets.select("comp", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
-    double = cut.join(by_part, ["comp", "part"]).select(F.lit(-1).cast("long").alias("bin"), "low", "high", "comp", "cls", "part", "tokens")
-    both = single.union(double)
+    double = cut.join(by_part, ["comp", "part"]).select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.lit(-1).cast("long").alias("bin"), "low", "high")
+    # the token sets of candidates alone, straight to their bins
+    where = staged(single.union(double), at, "where")
+    texts = docs.join(F.broadcast(where) if bounded(where, BROADCAST_ROWS) else where, "doc_id").select("text", "cls", "comp", "part", "bin", "low", "high")
+    sets = texts.mapInArrow(_sets(width), "cls long, comp long, part long, bin long, low long, high long, tokens binary")
     key = [F.col("bin"), F.when(F.col("bin") < 0, F.col("comp")).otherwise(0), F.col("low"), F.col("high")]
-    links = both.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).applyInPandas(_links(num, den), "a long, b long")
+    links = sets.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).applyInPandas(_links(num, den), "a long, b long")
 
     comp = components(links, at, "links").withColumnsRenamed({"node": "cls"})
     linked = comp.join(least, "cls", "inner")
@@ -222,5 +224,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat a doc_id count as copies (one stays); rows without a doc_id go.
     """
-    keep = jaccard_components(docs, **how).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = staged(jaccard_components(docs, **how).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), shared_dir(docs.sparkSession), "keep")
+    ids = keep.select("doc_id")
+    out = docs.join(F.broadcast(ids) if bounded(ids) else ids, "doc_id", "left_semi")
+    return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])

@@ -130,7 +130,7 @@ def needed_difference(high: int, num: int, den: int) -> int:
     return high * (den - num) // num
 
 
-def size_bands(top: int, ratio: float = 1.3) -> np.ndarray:
+def size_bands(top: int, ratio: float = 1.5) -> np.ndarray:
     """Upper ends of the size bands."""
     ends = [1]
     while ends[-1] < top:
