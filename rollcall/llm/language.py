@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_per, text_batches
 from .grams import presence
 
 WIDTHS, BITS = range(1, 4), 14
@@ -40,7 +42,7 @@ class KernelModel:
         return score
 
 
-def batches_of(texts: list[str], most: int = 96, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def batches_of(texts: list[str], most: int = 96, chars: int = 250_000) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, t in enumerate(texts):
         if i > start and (i - start >= most or held + len(t) > chars):
@@ -61,9 +63,8 @@ def _bits(batches):
 
 def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmark: int = LANDMARKS_PER_LANGUAGE, ridge: float = 0.1) -> KernelModel:
     """The model from labelled rows (doc_id, text, lang): of each language the ``per_language`` documents of least hash. Their presence bits, 2 KB each, are all that comes to the driver."""
-    ranked = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("doc_id").distinct()
+    text_batches(train.sparkSession)
+    few = few_per(train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", per_language, 5).select("doc_id").distinct()
     rows = train.filter("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(few), "doc_id").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "text").mapInArrow(_bits, "lang string, h long, bits binary").orderBy("lang", "h", "bits").collect()
     languages = sorted({r[0] for r in rows})
     if not rows:
@@ -83,10 +84,12 @@ def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmar
 
 
 def _predict(shared):
+    """Rows (row) become (row, lang_pred, score): a struct that has the text goes through as it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, score = KernelModel(*shared.value), None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = pc.struct_field(batch.column(0), "text").cast(pa.string()).to_pylist()
             known = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
             lang, value = ["und"] * len(texts), [0.0] * len(texts)
             score = score or model.scorer()
@@ -94,7 +97,7 @@ def _predict(shared):
                 s = score(presence([texts[i] for i in known[a:b]], WIDTHS, BITS))
                 for i, j, top in zip(known[a:b], s.argmax(1), s.max(1)):
                     lang[i], value[i] = model.languages[j], round(min(1.0, max(0.0, (float(top) + 1) / 2)), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(lang), pa.array(value)], [batch.schema.names[0], *batch.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(value, pa.float64())], ["row", "lang_pred", "score"])
 
     return run
 
@@ -105,9 +108,14 @@ def held_out(mod: int = 4, at: int = 2) -> Column:
 
 def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; ``und`` with score 0 if the text is null or has no letter, or nothing could be learned."""
+    return _predicted(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+
+
+def _predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared), f"doc_id {kind}, lang_pred string, score double")
+    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return flat.mapInArrow(_predict(shared), f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -119,10 +127,5 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``); all columns stay."""
-    model = learn(docs.filter(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
-    cols = docs.columns
-    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
-    shape = f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    kept = flat.mapInArrow(_predict(shared), shape).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col("row")[c].alias(c) for c in cols])
+    kept = _predicted(docs, learn(docs.filter(~held_out()))).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_per, text_batches
 from .grams import gram_buckets
 from .language import batches_of, held_out
 
@@ -70,8 +71,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): of each class the ``per_class`` labelled documents of least hash."""
     none = RatioModel(np.zeros(1 << BITS, np.float32), 0.0)
     lab = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    w = Window.partitionBy("y").orderBy("h", "doc_id")
-    few = lab.withColumn("h", F.xxhash64("doc_id", F.lit(11))).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_class).select("doc_id", "y")
+    few = few_per(lab, "y", per_class, 11).select("doc_id", "y")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")
     seen = {r[0]: r[1] for r in few.groupBy("y").count().collect()}
     total = {r[0]: r[1] for r in lab.groupBy("y").count().collect()}
@@ -143,5 +143,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without labels of both classes every score is 0.5. Labels of unknown documents, null or other values are left out; of repeated labels the largest counts.
     """
+    text_batches(docs.sparkSession)
     model = learn(docs, labels.filter(~held_out(5, 0)))
     return score(docs, model).select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
