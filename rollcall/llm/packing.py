@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir, staged
+from .common import bounded, shared_dir, staged, text_batches
+from .words import text_chunks
 
 #: Sources below this share of the bytes go through one queue together; so the driver holds at most 512 queues.
 LEAST_SHARE = 512
@@ -30,7 +31,7 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS, _MARKS = "0-9A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 # Where a byte-level BPE cuts anyway: before a lone space that a word follows, between letters and marks, and around other white space.
 _SEGMENT = re.compile(f" ?[{_LETTERS}]+(?=[{_MARKS}{_WS}]|\\Z)|(?<=[{_LETTERS}])[{_MARKS}]+(?=[{_LETTERS}{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_CACHE = 600_000
+_CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -103,21 +104,15 @@ def _tokenise(path: str, end: int, queues: dict[str, int], rest: int):
         enc, pid, before = Encoder(path), TaskContext.get().partitionId(), {}
         last = np.array([end], enc.kind).tobytes()
         for batch in batches:
-            texts, sources = [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) < 4_000_000):
-                    held += len(texts[to])
-                    to += 1
-                ids = [x + last for x in enc.encode(texts[at:to])]
+            sources = batch.column(2).to_pylist()
+            for at, to, texts in text_chunks(batch.column(1), 2_000_000):
+                ids = [x + last for x in enc.encode([t or "" for t in texts])]
                 q = [queues.get(s, rest) for s in sources[at:to]]
                 n, off = [len(x) // enc.kind.itemsize for x in ids], []
                 for k, m in zip(q, n):
                     off.append(before.get(k, 0))
                     before[k] = off[-1] + m
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([pid] * len(n), pa.int32()), pa.array(q, pa.int32()), pa.array(off, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "pid", "queue", "off", "n", "ids"])
-                at = to
 
     return run
 
@@ -213,6 +208,7 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
     ``weights``: target share of the tokens by source, for at most ``LEAST_SHARE`` sources; the default is the corpus's own mixture.
     """
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
+    text_batches(spark)
     path = tokenizer or default_tokenizer()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"))
     if weights:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import shared_dir, staged, text_batches
 from .words import text_chunks, word_hashes
 
 # Common function words of four languages, a parameter of the operator.
@@ -159,6 +159,7 @@ def _distances(shared, width: int):
 
 
 def features(docs: DataFrame, common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+    text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     shape = f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_features(common), shape)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, skew_join, staged
+from .common import shared_dir, skew_join, staged, text_batches
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,7 @@ def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", led
     Null and empty texts have no spans; repeated rows each keep their row; columns other than path and text are ignored.
     """
     at = shared_dir(docs.sparkSession)
+    text_batches(docs.sparkSession)
     versions = docs.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text")).withColumn("blob", blob_of(F.col("text")))
     new = staged(update_ledger(versions, ledger, rules), at, "ledger")
     now = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "spans"))
