@@ -154,13 +154,14 @@ def _links(num: int, den: int):
             sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
             left = np.flatnonzero((g["part"] == g["low"]).to_numpy())
             right = np.flatnonzero((g["part"] != g["low"]).to_numpy())
+            if not len(left):
+                continue
             linked = Linked(len(ids))
             largest = max(map(len, sets))
             a = SignatureTree([sets[i] for i in left], largest)
-            if not len(right):
-                if g["low"].iloc[0] == g["high"].iloc[0]:
-                    out += [(ids[left[i]], ids[left[j]]) for i, j in traverse(a, a, True, num, den, linked, 0)]
-            else:
+            if not len(right) or g["own"].iloc[0]:
+                out += [(ids[left[i]], ids[left[j]]) for i, j in traverse(a, a, True, num, den, linked, 0)]
+            if len(right):
                 b = SignatureTree([sets[i] for i in right], largest)
                 out += [(ids[left[i]], ids[right[j]]) for i, j in traverse(a, b, False, num, den, linked, len(left))]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -191,23 +192,26 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     size = members.groupBy("comp").agg(F.sum("n").alias("held"))
     total = size.agg(F.sum("held")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // bin_tokens) + 1)
-    ways = F.when(F.col("held") > bin_tokens, F.ceil(F.col("held") / (bin_tokens // 2))).otherwise(1)
-    parts = skew_join(members, size.withColumn("ways", ways), "comp")
-    part = F.floor(F.log(1.2, F.col("n").cast("double"))) * 65536 + F.pmod(F.xxhash64("cls"), "ways")
-    parts = parts.withColumn("part", F.when(F.col("ways") > 1, part).otherwise(0).cast("long"))
+    parts = skew_join(members, size, "comp")
     zero = F.lit(0).cast("long")
-    single = parts.filter("ways = 1").select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), zero.alias("low"), zero.alias("high"))
-    cut = staged(parts.filter("ways > 1"), at, "cut")
+    single = parts.filter(F.col("held") <= bin_tokens).select(F.col("first").alias("doc_id"), "cls", "comp", zero.alias("part"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), zero.alias("low"), zero.alias("high"), zero.alias("own"))
+    large = parts.filter(F.col("held") > bin_tokens).withColumn("band", F.floor(F.log(den / num, F.col("n").cast("double"))).cast("long"))
+    large = staged(large, at, "large")
+    ways = large.groupBy("comp", "band").agg(F.ceil(F.sum("n") / (bin_tokens // 2)).alias("ways"))
+    cut = staged(large.join(ways, ["comp", "band"]).withColumn("part", F.col("band") * 65536 + F.pmod(F.xxhash64("cls"), "ways")), at, "cut")
     nodes = cut.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = nodes.alias("x"), nodes.alias("y")
     meets = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.part") <= F.col("y.part")) & (den * F.col("x.hi") >= num * F.col("y.lo")) & (den * F.col("y.hi") >= num * F.col("x.lo")))
-    meets = meets.select(F.col("x.comp").alias("comp"), F.col("x.part").alias("low"), F.col("y.part").alias("high"))
-    by_part = meets.select("comp", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
-    double = cut.join(by_part, ["comp", "part"]).select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.lit(-1).cast("long").alias("bin"), "low", "high")
+    meets = staged(meets.select(F.col("x.comp").alias("comp"), F.col("x.part").alias("low"), F.col("y.part").alias("high")), at, "meets")
+    # a part is traversed against itself where it meets its first other part; alone only if it meets none
+    other = meets.filter("low < high").groupBy("comp", "low").agg(F.min("high").alias("next"))
+    meets = meets.join(other, ["comp", "low"], "left").filter("low < high OR next IS NULL").withColumn("own", (F.col("next").isNull() | (F.col("high") == F.col("next"))).cast("long"))
+    by_part = meets.select("comp", "low", "high", "own", F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
+    double = cut.join(by_part, ["comp", "part"]).select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.lit(-1).cast("long").alias("bin"), "low", "high", "own")
     # the token sets of candidates alone, straight to their bins
     where = staged(single.union(double), at, "where")
-    texts = docs.join(F.broadcast(where) if bounded(where, BROADCAST_ROWS) else where, "doc_id").select("text", "cls", "comp", "part", "bin", "low", "high")
-    sets = texts.mapInArrow(_sets(width), "cls long, comp long, part long, bin long, low long, high long, tokens binary")
+    texts = docs.join(F.broadcast(where) if bounded(where, BROADCAST_ROWS) else where, "doc_id").select("text", "cls", "comp", "part", "bin", "low", "high", "own")
+    sets = texts.mapInArrow(_sets(width), "cls long, comp long, part long, bin long, low long, high long, own long, tokens binary")
     key = [F.col("bin"), F.when(F.col("bin") < 0, F.col("comp")).otherwise(0), F.col("low"), F.col("high")]
     links = sets.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).applyInPandas(_links(num, den), "a long, b long")
 
