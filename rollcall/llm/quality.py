@@ -1,7 +1,8 @@
 """Operator 9: quality rules by distribution divergence.
 
 Each text's histograms over character classes and over common words are held against language references, the means of the histograms
-of all documents of a language. Jensen-Shannon distance to the nearest reference decides; texts under the minimum lengths are not judged.
+of all documents of a language. Jensen-Shannon distance to the nearest reference decides, for words over the common words alone; the
+share that common words have in a text is held against that in its language. Texts under the minimum lengths are not judged.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ CLASSES = ("lower", "upper", "digit", "space", "period", "mark", "symbol", "othe
 LEAST_CHARS, LEAST_WORDS = 200, 40
 #: Largest distances (0 to 1) to the nearest language reference.
 MOST_CHAR, MOST_WORD = 0.30, 0.60
+#: Common words that a text needs before their mix is judged, and the least share of them as a part of the reference's share.
+LEAST_COMMON, LEAST_SHARE = 40, 0.35
 
 
 def _class_table() -> np.ndarray:
@@ -143,17 +146,26 @@ def _sums(width: int):
 def _distances(shared, width: int):
     def run(batches):
         refs = shared.value
+        names = {name: i for i, (name, _, _) in enumerate(refs)}
+        usual = np.array([1 - r[-1] for _, _, r in refs])
+        # without the last place, that of all other words; a reference without common words has no mix
+        mixes = [shares(r[None, :-1])[0] for _, _, r in refs if r[:-1].any()]
         for batch in batches:
             chars, words = _matrix(batch.column("chars"), len(CLASSES)), _matrix(batch.column("words"), width)
             ok = _guarded(chars, batch.column("n_words").to_numpy()) & bool(refs)
-            out = []
-            for hist, k in ((chars, 0), (words, 1)):
-                part = shares(hist[ok])
-                near = np.full(len(ok), np.nan)
-                if refs:
-                    near[ok] = np.min([jensen_shannon(part, r[k]) for r in refs], axis=0)
-                out.append(pa.array(np.round(near, 6), mask=~ok))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:7], *out], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"])
+            mixed = ok & (words[:, :-1].sum(1) >= LEAST_COMMON) & bool(mixes)
+            near, mix, part = (np.full(len(ok), np.nan) for _ in range(3))
+            if ok.any():
+                each = np.array([jensen_shannon(shares(chars[ok]), r) for _, r, _ in refs])
+                near[ok] = each.min(0)
+                # the share of the text's own language, of the nearest reference if it has none
+                own = np.array([names.get(x or "", -1) for x in batch.column("lang").to_pylist()])[ok]
+                want = usual[np.where(own >= 0, own, each.argmin(0))]
+                part[ok] = np.where(want > 0, (1 - shares(words[ok])[:, -1]) / np.where(want > 0, want, 1), 1.0)
+            if mixed.any():
+                mix[mixed] = np.min([jensen_shannon(shares(words[mixed][:, :-1]), m) for m in mixes], axis=0)
+            out = [pa.array(np.round(x, 6), mask=~m) for x, m in ((near, ok), (mix, mixed), (part, ok))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:7], *out], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "word_share"])
 
     return run
 
@@ -165,27 +177,28 @@ def features(docs: DataFrame, common: tuple[str, ...] = COMMON_WORDS) -> DataFra
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_features(common), shape)
 
 
-def references(feats: DataFrame, width: int = len(COMMON_WORDS) + 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(character-class shares, common-word shares) of each language, null as one of its own: the means over all its documents that pass the guards."""
+def references(feats: DataFrame, width: int = len(COMMON_WORDS) + 1) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, character-class shares, common-word shares) of each language, null as one of its own: the means over all its documents that pass the guards."""
     rows = feats.select("lang", "n_words", "chars", "words").mapInArrow(_sums(width), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value")).collect()
     out = []
     for lang in sorted({r[0] for r in rows}):
         got = {r[1]: r[2] for r in rows if r[0] == lang}
         mean = np.array([got[i] for i in range(len(CLASSES) + width)]) / 2.0**30 / got[-1]
-        out.append((mean[: len(CLASSES)], mean[len(CLASSES) :]))
+        out.append((lang, mean[: len(CLASSES)], mean[len(CLASSES) :]))
     return out
 
 
-def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: float = MOST_WORD) -> DataFrame:
+def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: float = MOST_WORD, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance) for every row.
 
-    Null texts have no words and fail the base; repeated rows each keep their row; columns other than doc_id, text and lang are ignored.
+    word_distance is that of the common words' mix, null for texts with fewer than LEAST_COMMON of them; a text whose share of common words is
+    under ``least_share`` of its language's is not kept. Null texts have no words and fail the base; repeated rows each keep their row; columns other than doc_id, text and lang are ignored.
     The number of languages is that of distinct ``lang`` values, each with one reference row on the driver.
     """
     feats, width = staged(features(docs), shared_dir(docs.sparkSession), "features"), len(COMMON_WORDS) + 1
     shared = docs.sparkSession.sparkContext.broadcast(references(feats, width))
-    shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double"
+    shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, word_share double"
     out = feats.mapInArrow(_distances(shared, width), shape)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    strange = F.coalesce((F.col("char_distance") > most_char) | (F.col("word_distance") > most_word), F.lit(False))
+    strange = F.coalesce((F.col("char_distance") > most_char) | F.coalesce(F.col("word_distance") > most_word, F.lit(False)) | (F.col("word_share") < least_share), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), "char_distance", "word_distance")

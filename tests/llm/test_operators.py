@@ -359,6 +359,20 @@ def test_quality(spark):
     assert quality_report(documents(spark, texts).limit(0)).count() == 0
 
 
+def prose(rnd, n, common="the of and to in a is that for it".split(), odd=0.75):
+    return " ".join(f"{rnd.choice('bcdfgh')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}{rnd.choice('aeiou')}n" if rnd.random() < odd else rnd.choice(common) for _ in range(n))
+
+
+def test_quality_judges_common_words(spark):
+    rnd = random.Random(6)
+    texts = [prose(rnd, rnd.choice([45, 120, 900])) for _ in range(40)]
+    texts += [prose(rnd, 300, odd=1), prose(rnd, 60, odd=1), prose(rnd, 400, odd=0.97), prose(rnd, 400, common=["had"])]
+    out = table(quality_report(documents(spark, texts)))
+    assert not any(out[i].base_failed for i in out) and all(out[i].char_distance < 0.2 for i in out)
+    assert [i for i in out if not out[i].kept] == [40, 41, 42, 43]
+    assert out[40].word_distance is None and out[43].word_distance > 0.6
+
+
 # 10
 
 
