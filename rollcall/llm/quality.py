@@ -1,7 +1,7 @@
 """Operator 9: quality rules by distribution divergence.
 
 Each text's histograms over character classes and over common words are held against language references, the means of the histograms
-of all documents of a language. Jensen-Shannon distance to the nearest reference decides, for words over the common words alone; the
+of the documents of a language that pass the base rules. Jensen-Shannon distance to the nearest reference decides, for words over the common words alone; the
 share that common words have in a text is held against that in its language. Texts under the minimum lengths are not judged.
 """
 
@@ -33,6 +33,9 @@ LEAST_CHARS, LEAST_WORDS = 200, 40
 MOST_CHAR, MOST_WORD = 0.30, 0.60
 #: Common words that a text needs before their mix is judged, and the least share of them as a part of the reference's share.
 LEAST_COMMON, LEAST_SHARE = 40, 0.35
+#: Documents (guarded, past the base rules) that a language needs for a reference, and values of ``lang`` that name no language.
+LEAST_DOCS = 20
+NO_LANGUAGE = ("", "und", "mis", "mul", "zxx")
 
 
 def _class_table() -> np.ndarray:
@@ -126,6 +129,11 @@ def _guarded(chars: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return (n_words >= LEAST_WORDS) & (chars.sum(1) >= LEAST_CHARS)
 
 
+def _base_failed(n_words, n_repeat_words):
+    """The base rules, on columns and on arrays."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
 def _sums(width: int):
     """Partial sums of each language's shares, in units of 2^-30 so that their order does not matter; place -1 counts the documents."""
 
@@ -133,7 +141,8 @@ def _sums(width: int):
         for batch in batches:
             lang = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
             chars, words = _matrix(batch.column("chars"), len(CLASSES)), _matrix(batch.column("words"), width)
-            ok = _guarded(chars, batch.column("n_words").to_numpy())
+            n_words = batch.column("n_words").to_numpy()
+            ok = _guarded(chars, n_words) & ~_base_failed(n_words, batch.column("n_repeat_words").to_numpy()) & ~np.isin(lang.astype(str), NO_LANGUAGE)
             both = np.concatenate([shares(chars), shares(words)], axis=1)
             for name in sorted(set(lang[ok])):
                 mine = np.floor(both[ok & (lang == name)] * 2.0**30).astype(np.int64)
@@ -178,11 +187,16 @@ def features(docs: DataFrame, common: tuple[str, ...] = COMMON_WORDS) -> DataFra
 
 
 def references(feats: DataFrame, width: int = len(COMMON_WORDS) + 1) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, character-class shares, common-word shares) of each language, null as one of its own: the means over all its documents that pass the guards."""
-    rows = feats.select("lang", "n_words", "chars", "words").mapInArrow(_sums(width), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value")).collect()
+    """(language, character-class shares, common-word shares) of each language: the means over all its documents that pass the guards and the base rules.
+
+    Null ``lang``, those of NO_LANGUAGE and languages with fewer than LEAST_DOCS such documents get none; their texts are held against the others'.
+    """
+    rows = feats.select("lang", "n_words", "n_repeat_words", "chars", "words").mapInArrow(_sums(width), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value")).collect()
     out = []
     for lang in sorted({r[0] for r in rows}):
         got = {r[1]: r[2] for r in rows if r[0] == lang}
+        if got[-1] < LEAST_DOCS:
+            continue
         mean = np.array([got[i] for i in range(len(CLASSES) + width)]) / 2.0**30 / got[-1]
         out.append((lang, mean[: len(CLASSES)], mean[len(CLASSES) :]))
     return out
@@ -193,12 +207,12 @@ def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: flo
 
     word_distance is that of the common words' mix, null for texts with fewer than LEAST_COMMON of them; a text whose share of common words is
     under ``least_share`` of its language's is not kept. Null texts have no words and fail the base; repeated rows each keep their row; columns other than doc_id, text and lang are ignored.
-    The number of languages is that of distinct ``lang`` values, each with one reference row on the driver.
+    Each distinct ``lang`` value with LEAST_DOCS documents or more has one reference row on the driver; without any reference nothing is judged.
     """
     feats, width = staged(features(docs), shared_dir(docs.sparkSession), "features"), len(COMMON_WORDS) + 1
     shared = docs.sparkSession.sparkContext.broadcast(references(feats, width))
     shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, word_share double"
     out = feats.mapInArrow(_distances(shared, width), shape)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
     strange = F.coalesce((F.col("char_distance") > most_char) | F.coalesce(F.col("word_distance") > most_word, F.lit(False)) | (F.col("word_share") < least_share), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), "char_distance", "word_distance")

@@ -369,10 +369,29 @@ def test_quality_judges_common_words(spark):
     texts += [prose(rnd, 300, odd=1), prose(rnd, 60, odd=1), prose(rnd, 400, odd=0.97), prose(rnd, 400, common=["had"])]
     out = table(quality_report(documents(spark, texts)))
     assert not any(out[i].base_failed for i in out) and all(out[i].char_distance < 0.2 for i in out)
-    assert [i for i in out if not out[i].kept] == [40, 41, 42, 43]
+    assert sorted(i for i in out if not out[i].kept) == [40, 41, 42, 43]
     assert out[40].word_distance is None and out[43].word_distance > 0.6
 
 
+@pytest.mark.parametrize(("lang", "n"), [(None, 60), ("und", 60), ("", 60), ("xx", 1), ("xx", 19)])
+def test_quality_takes_no_reference_from_junk(spark, lang, n):
+    rnd = random.Random(7)
+    clean = documents(spark, [prose(rnd, 200) for _ in range(40)])
+    junk = documents(spark, [(100 + i, " ".join(f"##{rnd.randrange(10**6)}$$" for _ in range(100))) for i in range(n)], lang)
+    # the same junk in a good language, and good texts without a reference of their own
+    more = documents(spark, [(300, " ".join(f"##{i}$$" for i in range(400)))]).union(documents(spark, [(301, prose(rnd, 200))], "few")).union(documents(spark, [(302, prose(rnd, 200))], "rare"))
+    out = table(quality_report(clean.union(junk).union(more)))
+    assert not any(r.base_failed for r in out.values()) and len(out) == 43 + n
+    assert sorted(i for i in out if out[i].kept) == [*range(40), 301, 302]
+
+
+def test_quality_references_pass_the_base_rules(spark):
+    rnd = random.Random(8)
+    junk = [f"##{i}$$ $$%% ## && || " * 100 for i in range(60)]
+    out = table(quality_report(documents(spark, [*[prose(rnd, 200) for _ in range(30)], *junk, " ".join(f"##{i}$$" for i in range(400))])))
+    assert all(out[i].base_failed for i in range(30, 90)) and sorted(i for i in out if out[i].kept) == [*range(30)]
+
+
 # 10
 
 
