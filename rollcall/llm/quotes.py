@@ -1,7 +1,7 @@
 """Operator 3 [native]: chat formatting by quotation linking.
 
 Lines that begin with ``>`` marks are quotes of a nesting level. Runs of equal level make a passage; its normalised form is hashed and
-joined to the messages of the same conversation, whole or by line, that came before. The nearest earlier author of a passage is the
+joined to the messages of the same conversation, by line, by neighbouring lines or whole, that came before. The nearest earlier author of a passage is the
 message that is answered; messages are then ordered by replies and given without their quotes.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import shared_dir, skew_join, staged
 
 
 def parse_lines(text: Column) -> Column:
@@ -35,21 +35,37 @@ def own_text(lines: Column) -> Column:
 
 
 def link_quotes(chats: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, line, passage, source_turn): every quoted line with words, linked to the nearest earlier turn whose own text has that line or is that text; null if none has."""
+    """(conv_id, turn, level, line, passage, source_turn): every quoted passage (neighbouring lines with words of one level), linked to the nearest earlier turn that holds it; null if none does.
+
+    A turn holds a passage if it equals one of its own lines, as many neighbouring own lines as the passage has, or a whole run of them (wrapped
+    in any way). Lines without words don't count.
+    """
     lines = chats.select("conv_id", "turn", F.posexplode(parse_lines(F.col("text"))).alias("line", "l")).select("conv_id", "turn", "line", F.col("l.level").alias("level"), normalise(F.col("l.body")).alias("body")).filter("body <> ''")
     w = Window.partitionBy("conv_id", "turn").orderBy("line")
     # a passage: neighbouring lines of one level
     runs = lines.withColumn("new", F.when(F.col("level") == F.lag("level", 1, -1).over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    passages = runs.groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ").alias("passage"))
+    passages = runs.groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ").alias("passage"))
     quoted = passages.filter("level > 0").withColumn("h", F.xxhash64("passage"))
     own = runs.filter("level = 0").select("conv_id", F.col("turn").alias("source_turn"), F.col("body").alias("original"))
     whole = passages.filter("level = 0").select("conv_id", F.col("turn").alias("source_turn"), F.col("passage").alias("original"))
-    known = own.union(whole).distinct().withColumn("h", F.xxhash64("original"))
+    known = own.union(whole).union(_neighbours(chats, quoted)).distinct().withColumn("h", F.xxhash64("original"))
     met = quoted.join(known, ["conv_id", "h"], "left")
     right = (F.col("original") == F.col("passage")) & (F.col("source_turn") < F.col("turn"))
     return met.groupBy("conv_id", "turn", "run", "level", "line", "passage").agg(F.max(F.when(right, F.col("source_turn"))).alias("source_turn")).drop("run")
 
 
+def _neighbours(chats: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, source_turn, original): neighbouring own lines of every message, of the sizes that passages of its conversation have.
+
+    The distinct sizes of a conversation add up to its quoted lines at most, so they are few beside the lines.
+    """
+    sizes = quoted.filter("size > 1").groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
+    mine = F.filter(F.transform(F.filter(parse_lines(F.col("text")), lambda x: x["level"] == 0), lambda x: normalise(x["body"])), lambda b: b != "")
+    each = skew_join(chats.select("conv_id", "turn", mine.alias("own")), sizes, "conv_id").select("conv_id", "turn", "own", F.explode("sizes").alias("size"))
+    begun = each.filter(F.size("own") >= F.col("size")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("own") - F.col("size") + 1)))
+    return begun.select("conv_id", F.col("turn").alias("source_turn"), F.array_join(F.slice("own", F.col("i"), F.col("size")), " ").alias("original"))
+
+
 def reply_order(chats: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, n_linked, reply_to, depth, position), one row per distinct (conv_id, turn).
 

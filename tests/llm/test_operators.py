@@ -133,6 +133,20 @@ def test_quotes(spark):
     assert reply_order(df.limit(0)).count() == 0
 
 
+def test_quotes_of_neighbouring_lines(spark):
+    said = [
+        "One  line\nand two\n\nand three\nand four", "First\n> One line\nlast", "> one line\n> and two\nA", "> and two\n>\n> and three\n> and four\nB", "> One line and two\n> and three\n> and four\nC",
+        "> One line\n> and three\nD", "> and three\n> and two\nE", "> first\n> last\nF", "> > and three\n> > and four\n> B\nG", "and two\nand three", "> and two\n> and three\nH", "> and three\n> and four\n> and five\nI",
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c in (1, 2) for t, x in enumerate(said)] + [(3, 0, "user", "> one line\n> and two")], "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): r for r in reply_order(df).collect()}
+    for c in (1, 2):
+        assert [out[c, t].reply_to for t in range(12)] == [None, 0, 0, 0, 0, 4, 5, 1, 3, 8, 9, 10]
+        assert [out[c, t].n_quotes for t in range(12)] == [0, 1, 1, 1, 1, 1, 1, 1, 2, 0, 1, 1]
+        assert [out[c, t].n_linked for t in range(12)] == [0, 1, 1, 1, 1, 0, 0, 1, 2, 0, 1, 0]
+    assert out[3, 0].n_quotes == 1 and out[3, 0].n_linked == 0
+
+
 # 4
 
 
