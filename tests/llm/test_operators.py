@@ -77,6 +77,13 @@ def test_redact(spark):
     assert out[0].n_chars == len(out[0].text)
 
 
+def test_redact_without_ids(spark):
+    rows = [(None, SECRETS[0]), (None, SECRETS[0]), (None, "no such thing"), (None, None), (7, SECRETS[0]), (7, SECRETS[3]), (7, SECRETS[3])]
+    got = [(r.doc_id, r.text) for r in redact(documents(spark, rows)).collect()]
+    assert len(got) == 7 and all(not spans_by_hand(t or "") for _, t in got)
+    assert sorted(t or "" for i, t in got if i is None) == ["", "[secret] é", "[secret] é", "no such thing"]
+
+
 # 2
 
 
