@@ -1,13 +1,15 @@
 """Operator 6: exact Jaccard join of documents on word shingles, by signature trees.
 
 1. Every whole text becomes the set of its distinct shingles; documents with equal sets form one class (its 64-bit digest).
-2. Candidate graph, lossless: for sets of a size band, tokens are dealt by hash to more segments than two linked sets can
-   differ in, so linked classes share an equal non-empty segment. Tokens that are frequent in a bounded sample of documents are
-   left out first (any fixed token set keeps the pigeonhole argument true); sets with too few segments left also give all
-   of theirs, then even the empty ones, among themselves. Equal segments give star edges, never all pairs.
+2. Candidate graph, lossless. A set of n tokens that is linked at all misses at most d = n (1 - t) of its tokens in its partner. So of any
+   fixed order of the tokens, the d + 1 first of one set and those of its partner have one in common. The order is: tokens of one class
+   alone, then rarer before more frequent ones. Tokens that only one class has lead nowhere: a class with more than d of them has no
+   partner, any other one gives its next tokens as keys, each with its size band. A fixed share of the tokens (those of small hash) is
+   enough for that; the few classes with d of those or fewer meet on all their tokens as well. Equal keys give star edges, never all pairs.
 3. Connected components of that graph bound where links can be. Each is cut into bins of bounded token counts, on which signature
    trees (OR-combined token bitmaps and size ranges) are traversed in pairs; only pairs that survive the overlap bound are checked
-   exactly, and pairs already connected are skipped. Bins of different size ranges never meet.
+   exactly, and pairs already connected are skipped. Parts of one large component meet only where their size ranges allow a link and
+   they have a key in common.
 4. Components of the links give the smallest reachable doc_id.
 """
 
@@ -21,14 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, components, shared_dir, skew_join, staged, text_batches
-from .signature_tree import Linked, SignatureTree, needed_difference, size_bands, traverse
+from .common import bounded, components, contract, dropped, packed, shared_dir, skew_join, staged, text_batches, unpacked
+from .signature_tree import Linked, SignatureTree, size_bands, traverse
 from .words import mix, shingle_sets, text_chunks
 
 _U = np.uint64
-SAMPLE_DOCS = 4000
-FREQUENT_TOKENS = 50_000
+#: The sample and the least count that say which tokens are frequent, and how many of them are kept: they change the cost, never the result.
+SAMPLE_DOCS, LEAST_SEEN, FREQUENT_TOKENS = 4000, 8, 50_000
+#: The share of all tokens that keys are made from, as a multiple of 1 - t (and half of them at most).
+SHARE = 2.25
 BIN_TOKENS = 4_000_000
+#: Classes of one token that are counted; a token of more counts as one of ``MANY``.
+COUNTED, MANY = 4096, 1 << 20
+_HEAD_SENT, _HEAD_SIZE, _HEAD_FREQUENT = -3, -2, -1
 
 
 def _digest(tokens: np.ndarray) -> int:
@@ -40,10 +47,10 @@ def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for a, b, texts in text_chunks(batch.column(1)):
+            for a, b, texts in text_chunks(batch.column(2)):
                 for i, (_, s) in zip(range(a, b), shingle_sets(texts, width)):
                     n[i], cls[i] = len(s), _digest(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls)], ["doc_id", "h", "n_shingles", "cls"])
 
     return run
 
@@ -58,58 +65,168 @@ def _sampled(width: int):
     return run
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Tokens of at least 0.2 % of a sample of SAMPLE_DOCS documents, the most frequent FREQUENT_TOKENS; which ones they are changes the cost, never the result."""
-    few = docs.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").select("doc_id").limit(SAMPLE_DOCS)
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of LEAST_SEEN documents or more of a sample, sorted, and the rank of each by its count there."""
+    few = docs.select(F.xxhash64("doc_id", F.lit(7)).alias("s"), "doc_id").distinct().orderBy("s", "doc_id").limit(SAMPLE_DOCS).select("doc_id")
     texts = docs.join(F.broadcast(few), "doc_id", "left_semi").select("text")
-    least = max(4, SAMPLE_DOCS // 500)
-    rows = texts.mapInArrow(_sampled(width), "token long").groupBy("token").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def segment_keys(tokens: np.ndarray, frequent: np.ndarray, ends: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of one set: linked sets have one in common."""
-    n = len(tokens)
-    rare = tokens
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        rare = tokens[frequent[at] != tokens]
-    out = []
-    low, high = np.searchsorted(ends, [-(-num * n // den), n])
-    for band in range(low, high + 1):
-        differ = needed_difference(int(ends[band]), num, den)
-        count = differ * (27 if num * 20 >= den * 17 else 30) // 25 + (3 if differ else 1)
-        key, full = _segments(rare, count, band * 8 + 1)
-        out.append(key[full])
-        if full.sum() <= differ:
-            key, full = _segments(tokens, count, band * 8 + 2)
-            out.append(key if full.sum() <= differ else key[full])
-    return np.concatenate(out)
-
-
-def _segments(tokens: np.ndarray, count: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    place = (tokens >> _U(32)) * _U(count) >> _U(32)
-    cut = np.searchsorted(place, np.arange(count + 1).astype(np.uint64))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens))))
-    key = mix(total[cut[1:]] - total[cut[:-1]] + mix(np.arange(count).astype(np.uint64) * _U(4096) + _U(salt)))
-    return key, cut[1:] > cut[:-1]
-
-
-def _keys(width: int, num: int, den: int, frequent):
+    rows = texts.mapInArrow(_sampled(width), "token long").groupBy("token").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).collect()
+    token = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], len(token) - 1 - order
+
+
+def most_missing(n: int, num: int, den: int) -> int:
+    """The most tokens of a set of n that a linked set can lack."""
+    return n * (den - num) // den
+
+
+def token_space(tokens: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The tokens that a class sends, by space: the fixed share of them, and all of them where those are too few. The top bit tells the spaces apart."""
+    cut = int(min(0.5, SHARE * (den - num) / den) * 2.0**64)
+    some = tokens[: np.searchsorted(tokens, _U(cut))]
+    return [some] if len(some) > most_missing(len(tokens), num, den) else [some, mix(tokens) | _U(1 << 63)]
+
+
+def _tokens(width: int, num: int, den: int, shared):
+    """Texts to rows (cls, kind, value): the tokens that are sent (kind 0), and what the class's head needs."""
+
     def run(batches):
-        ends = size_bands(1 << 31)
-        common = frequent.value
+        frequent, rank = shared.value
+        seen = set()
+
+        def rows(c, s):
+            for space, sent in enumerate(token_space(s, num, den)):
+                own = sent if space == 0 else s
+                at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+                often = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+                yield np.zeros(int((~often).sum()), np.int32), sent[~often].view(np.int64)
+                yield np.array([_HEAD_SENT - 3 * space, _HEAD_SIZE - 3 * space], np.int32), np.array([int((~often).sum()), len(s)])
+                yield np.full(int(often.sum()), _HEAD_FREQUENT - 3 * space, np.int32), rank[at[often]]
+
         for batch in batches:
-            seen = set()
             for _, _, texts in text_chunks(batch.column(0)):
-                keys, owners = [], []
+                out = []
                 for _, s in shingle_sets(texts, width):
                     if len(s) and (c := _digest(s)) not in seen:
                         seen.add(c)
-                        keys.append(segment_keys(s, common, ends, num, den))
-                        owners.append(np.full(len(keys[-1]), c, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "cls"])
+                        out += [(np.full(len(k), c, np.int64), k, v) for k, v in rows(c, s)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["cls", "kind", "value"])
+
+    return run
+
+
+def _record(parts) -> pa.RecordBatch:
+    c, k, v = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(k.astype(np.int32)), pa.array(v.astype(np.int64))], ["cls", "kind", "value"])
+
+
+def _shared_tokens(batches):
+    """Rows sorted by kind, value and class: heads go through; a token gets its number of classes as kind, or goes if it has one class alone."""
+    token, held, many = None, [], False
+
+    def closed():
+        return [(np.array(held), np.full(len(held), len(held)), np.full(len(held), token))] if not many and len(held) > 1 else []
+
+    for batch in batches:
+        c, k, t = (batch.column(i).to_numpy() for i in range(3))
+        heads = int(np.searchsorted(k, 0))
+        out = [(c[:heads], k[:heads], t[:heads])] if heads else []
+        c, t = c[heads:], t[heads:]
+        if len(t):
+            new = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+            c, t = c[new], t[new]
+            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            size = np.diff(np.append(first, len(t)))
+            # the first and the last token may go on in other batches; those between are whole
+            for i in sorted({0, len(first) - 1}):
+                own = c[first[i] : first[i] + size[i]].tolist()
+                if t[first[i]] != token:
+                    out += closed()
+                    token, held, many = t[first[i]], [], False
+                elif own[0] == held[-1]:
+                    own = own[1:]
+                if not own:
+                    continue
+                if many or len(held) + len(own) > COUNTED:
+                    own = own if many else held + own
+                    out.append((np.array(own), np.full(len(own), MANY), np.full(len(own), token)))
+                    held, many = own[-1:], True
+                else:
+                    held += own
+            inner = np.arange(1, len(first) - 1)
+            inner = inner[size[inner] > 1] if len(inner) else inner
+            if len(inner):
+                n = size[inner]
+                at = np.repeat(first[inner] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                out.append((c[at], np.repeat(np.where(n > COUNTED, MANY, n), n), t[at]))
+        if out:
+            yield _record(out)
+    if out := closed():
+        yield _record(out)
+
+
+def class_keys(kind: np.ndarray, value: np.ndarray, ends: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The keys of one class from its head and its shared tokens, sorted by kind and value: linked classes have one in common."""
+    out = []
+    for space in (0, 1):
+        head = kind == _HEAD_SIZE - 3 * space
+        if not head.any():
+            continue
+        n, sent = int(value[head][0]), int(value[kind == _HEAD_SENT - 3 * space][0])
+        tokens = value[(kind > 0) & ((value < 0) == (space == 1))]
+        more = most_missing(n, num, den) + 1 - (sent - len(tokens))
+        if more <= 0:
+            continue
+        often = np.unique(value[kind == _HEAD_FREQUENT - 3 * space]).view(np.uint64)
+        first = np.concatenate([tokens.view(np.uint64), mix(often + _U(1 << 40))])[:more]
+        low, high = np.searchsorted(ends, [-(-num * n // den), n])
+        out += [mix(first + mix(np.array([band * 2 + space + 1], np.uint64))) for band in range(low, high + 1)]
+    return out
+
+
+def _combined(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    """(key, a, b): each key once with its first owner as a and b; an edge (a, b) from that one to each other owner."""
+    order = np.lexsort((owners, keys))
+    k, c = keys[order], owners[order]
+    first = np.concatenate(([True], k[1:] != k[:-1]))
+    lead = c[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+    other = lead != c
+    a, b = np.unique(np.stack([lead[other], c[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+    key = np.concatenate([k[first].view(np.int64), np.zeros(len(a), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([c[first], a])), pa.array(np.concatenate([c[first], b]))], ["key", "a", "b"])
+
+
+def _prefixes(num: int, den: int, block: int = 400_000):
+    """Rows sorted by class, kind and value become keys and edges; equal keys meet within a task first, so a key goes on once a block."""
+
+    def run(batches):
+        ends = size_bands(1 << 31)
+        left = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        keys, owners, held = [], [], 0
+
+        def take(c, k, v):
+            nonlocal held
+            cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True])))
+            for i, j in zip(cut[:-1], cut[1:]):
+                for x in class_keys(k[i:j], v[i:j], ends, num, den):
+                    keys.append(x)
+                    owners.append(np.full(len(x), c[i]))
+                    held += len(x)
+
+        for batch in batches:
+            left = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(left)]
+            end = int(np.searchsorted(left[0], left[0][-1])) if len(left[0]) else 0
+            if end:
+                take(*(x[:end] for x in left))
+                left = [x[end:] for x in left]
+            if held >= block:
+                yield _combined(np.concatenate(keys), np.concatenate(owners))
+                keys, owners, held = [], [], 0
+        if len(left[0]):
+            take(*left)
+        if held:
+            yield _combined(np.concatenate(keys), np.concatenate(owners))
 
     return run
 
@@ -130,15 +247,36 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
 
+def candidates(docs: DataFrame, at: str, width: int, num: int, den: int) -> DataFrame:
+    """(cls, comp) of every class that may have a link: linked classes are in one component."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+    rows = "cls long, kind int, value long"
+    sent = docs.select("text").mapInArrow(_tokens(width, num, den, shared), rows)
+    met = sent.repartition(F.when(F.col("kind") < 0, F.col("cls")).otherwise(F.col("value"))).sortWithinPartitions("kind", "value", "cls").mapInArrow(_shared_tokens, rows)
+    keys = met.repartition("cls").sortWithinPartitions("cls", "kind", "value").mapInArrow(_prefixes(num, den), "key long, a long, b long")
+    keys = staged(keys, at, "keys")
+    stars = keys.filter("a = b").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda rows: contract(_stars(rows)), "a long, b long")
+    local = keys.filter("a <> b").select("a", "b").mapInArrow(contract, "a long, b long")
+    out = components(stars.union(local), at, "cand").withColumnsRenamed({"node": "cls"})
+    dropped(docs.sparkSession, at, "keys")
+    return out
+
+
 def _sets(width: int):
-    """Rows (text, cls, ...) become (..., cls, tokens); a row whose text is not of the class (it repeats a doc_id) goes."""
+    """Rows (text, cls, ...) become (..., cls, tokens), each class and place once a task; a row whose text is not of the class goes."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
             cls = batch.column(1).to_numpy()
+            place = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
             for a, b, texts in text_chunks(batch.column(0)):
                 sets = [s for _, s in shingle_sets(texts, width)]
-                own = [i for i, s in enumerate(sets) if _digest(s) == cls[a + i]]
+                own = []
+                for i, s in enumerate(sets):
+                    if place[a + i] not in seen and _digest(s) == cls[a + i]:
+                        seen.add(place[a + i])
+                        own.append(i)
                 part = batch.slice(a, b - a).take(pa.array(own, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([sets[i].tobytes() for i in own], pa.binary())], [*batch.schema.names[1:], "tokens"])
 
@@ -149,7 +287,7 @@ def _links(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """One bin of whole components, or two parts of one large component."""
         out = []
-        for _, g in pdf.groupby("comp", sort=False):
+        for _, g in pdf.drop_duplicates(["comp", "part", "cls"]).groupby("comp", sort=False):
             ids = g["cls"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
             left = np.flatnonzero((g["part"] == g["low"]).to_numpy())
@@ -169,36 +307,23 @@ def _links(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, bin_tokens: int = BIN_TOKENS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id bigint, text string; more columns are ignored).
+_SPOT = "comp long, part long, bin long, low long, high long, own long"
 
-    Documents link when the Jaccard similarity of their sets of ``width``-word shingles is at least num/den; component_id is the
-    smallest doc_id reachable. Null or wordless texts have an empty set and link with nothing: component_id is their doc_id.
-    Repeated doc_ids link like any other rows; a null doc_id keeps its row (component_id is the smallest non-null id, if any).
-    Links are never lost; sets are compared by 64-bit token hashes.
-    """
-    spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
-    text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = staged(docs.mapInArrow(_classes(width), "doc_id long, n_shingles long, cls long"), at, "classes")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    keys = docs.select("text").mapInArrow(_keys(width, num, den, frequent), "key long, cls long")
-    stars = keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_stars, "a long, b long")
-    cand = staged(components(stars, at, "cand").withColumnsRenamed({"node": "cls"}), at, "candidates")
-
-    least = each.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"))
-    members = staged(cand.join(least, "cls"), at, "members")
-    # bins: small components share one by hash; a large one is cut by size band and hash into parts that meet in pairs
+
+def _bins(members: DataFrame, at: str, num: int, den: int, bin_tokens: int) -> DataFrame:
+    """(doc_id, h, cls, comp, part, bin, low, high, own): where each class is compared. Small components share a bin; parts of a large one meet in pairs."""
+    spark = members.sparkSession
     size = members.groupBy("comp").agg(F.sum("n").alias("held"))
     total = size.agg(F.sum("held")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // bin_tokens) + 1)
     parts = skew_join(members, size, "comp")
     zero = F.lit(0).cast("long")
-    single = parts.filter(F.col("held") <= bin_tokens).select(F.col("first").alias("doc_id"), "cls", "comp", zero.alias("part"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), zero.alias("low"), zero.alias("high"), zero.alias("own"))
-    large = parts.filter(F.col("held") > bin_tokens).withColumn("band", F.floor(F.log(den / num, F.col("n").cast("double"))).cast("long"))
-    large = staged(large, at, "large")
+    single = parts.filter(F.col("held") <= bin_tokens).select("doc_id", "h", "cls", "comp", zero.alias("part"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), zero.alias("low"), zero.alias("high"), zero.alias("own"))
+    large = staged(parts.filter(F.col("held") > bin_tokens).withColumn("band", F.floor(F.log(den / num, F.col("n").cast("double"))).cast("long")), at, "large")
+    if large.isEmpty():
+        return single
     ways = large.groupBy("comp", "band").agg(F.ceil(F.sum("n") / (bin_tokens // 2)).alias("ways"))
-    cut = staged(large.join(ways, ["comp", "band"]).withColumn("part", F.col("band") * 65536 + F.pmod(F.xxhash64("cls"), "ways")), at, "cut")
+    cut = staged(large.join(F.broadcast(ways) if bounded(ways) else ways, ["comp", "band"]).withColumn("part", F.col("band") * 2**40 + F.pmod(F.xxhash64("cls"), "ways")), at, "cut")
     nodes = cut.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = nodes.alias("x"), nodes.alias("y")
     meets = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.part") <= F.col("y.part")) & (den * F.col("x.hi") >= num * F.col("y.lo")) & (den * F.col("y.hi") >= num * F.col("x.lo")))
@@ -207,15 +332,40 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     other = meets.filter("low < high").groupBy("comp", "low").agg(F.min("high").alias("next"))
     meets = meets.join(other, ["comp", "low"], "left").filter("low < high OR next IS NULL").withColumn("own", (F.col("next").isNull() | (F.col("high") == F.col("next"))).cast("long"))
     by_part = meets.select("comp", "low", "high", "own", F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
-    double = cut.join(by_part, ["comp", "part"]).select(F.col("first").alias("doc_id"), "cls", "comp", "part", F.lit(-1).cast("long").alias("bin"), "low", "high", "own")
+    double = cut.join(by_part, ["comp", "part"]).select("doc_id", "h", "cls", "comp", "part", F.lit(-1).cast("long").alias("bin"), "low", "high", "own")
+    return single.union(double)
+
+
+def linked_classes(docs: DataFrame, width: int, num: int, den: int, bin_tokens: int, at: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): (doc_id, h, n_shingles, cls) of every row of ``docs``, h being the hash of its text, and (cls, comp) of the classes that have a link to another."""
+    text_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    each = staged(docs.mapInArrow(_classes(width), "doc_id long, h long, n_shingles long, cls long"), at, "classes")
+    cand = candidates(docs, at, width, num, den)
+    least = each.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n"))
+    members = staged(skew_join(cand, least, "cls").select("cls", "comp", "n", "first.doc_id", "first.h"), at, "members")
     # the token sets of candidates alone, straight to their bins
-    where = staged(single.union(double), at, "where")
-    texts = docs.join(F.broadcast(where) if bounded(where, BROADCAST_ROWS) else where, "doc_id").select("text", "cls", "comp", "part", "bin", "low", "high", "own")
-    sets = texts.mapInArrow(_sets(width), "cls long, comp long, part long, bin long, low long, high long, own long, tokens binary")
+    where = staged(_bins(members, at, num, den, bin_tokens), at, "where")
+    side = (F.broadcast(where) if bounded(where, 120) else where).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    texts = docs.join(side, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cls", "comp", "part", "bin", "low", "high", "own")
+    sets = texts.mapInArrow(_sets(width), f"cls long, {_SPOT}, tokens binary")
     key = [F.col("bin"), F.when(F.col("bin") < 0, F.col("comp")).otherwise(0), F.col("low"), F.col("high")]
     links = sets.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).applyInPandas(_links(num, den), "a long, b long")
-
     comp = components(links, at, "links").withColumnsRenamed({"node": "cls"})
+    dropped(docs.sparkSession, at, "members", "where", "large", "cut", "meets")
+    return each, comp
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, bin_tokens: int = BIN_TOKENS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id bigint, text string; more columns are ignored).
+
+    Documents link when the Jaccard similarity of their sets of ``width``-word shingles is at least num/den; component_id is the
+    smallest doc_id reachable. Null or wordless texts have an empty set and link with nothing: component_id is their doc_id.
+    Repeated doc_ids link like any other rows; a null doc_id keeps its row (component_id is the smallest non-null id, if any).
+    Links are never lost; sets are compared by 64-bit token hashes.
+    """
+    each, comp = linked_classes(docs, width, num, den, bin_tokens, shared_dir(docs.sparkSession))
+    least = each.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     linked = comp.join(least, "cls", "inner")
     first = linked.groupBy("comp").agg(F.min("first").alias("component"))
     of_class = least.join(skew_join(linked.select("cls", "comp"), first, "comp"), "cls", "left").select("cls", F.coalesce("component", "first").alias("component_id"))
@@ -223,12 +373,27 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     return out.union(each.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; all columns stay.
+def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bin_tokens: int = BIN_TOKENS) -> DataFrame:
+    """``docs`` with one row of each component; all columns stay.
 
-    Rows that repeat a doc_id count as copies (one stays); rows without a doc_id go.
+    That of the smallest doc_id stays (a null one comes last; then the text of smallest hash). Rows are told apart by doc_id and text, so
+    rows without a doc_id, and different texts under one doc_id, are judged by their texts like any others; of rows that repeat both one
+    stays. Texts without words are no copies of each other: their rows all stay.
     """
-    keep = staged(jaccard_components(docs, **how).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), shared_dir(docs.sparkSession), "keep")
-    ids = keep.select("doc_id")
-    out = docs.join(F.broadcast(ids) if bounded(ids) else ids, "doc_id", "left_semi")
-    return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    at = shared_dir(docs.sparkSession)
+    each, comp = linked_classes(docs, width, num, den, bin_tokens, at)
+    rows = skew_join(each.filter("n_shingles > 0"), comp, "cls", "left").select("doc_id", "h", F.coalesce("comp", "cls").alias("comp"))
+    alike = rows.groupBy("comp", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    more = skew_join(alike, first, "comp").select("doc_id", "h", "n", stays.alias("stays")).filter("n > 1 OR NOT stays")
+    more = staged(more.select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), F.col("stays").alias("again")), at, "copies")
+    flat = packed(docs, doc_id=F.col("doc_id").cast("long"), h=F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("h") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    out = unpacked(flat.join(F.broadcast(more) if bounded(more, 80) else more, same, "left_anti"), docs.columns)
+    again = more.filter("again")
+    if again.isEmpty():
+        return out
+    # rows that repeat one that stays
+    own = flat.join(F.broadcast(again) if bounded(again, 80) else again, same, "left_semi")
+    return out.union(unpacked(own.dropDuplicates(["doc_id", "h"]), docs.columns))

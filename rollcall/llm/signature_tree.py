@@ -125,11 +125,6 @@ def _leaves(left, right, m, n, own, num, den, linked, shift):
             yield i, j
 
 
-def needed_difference(high: int, num: int, den: int) -> int:
-    """The most tokens by which two sets can differ, the smaller of size ``high`` at most, with Jaccard >= num/den."""
-    return high * (den - num) // num
-
-
 def size_bands(top: int, ratio: float = 1.5) -> np.ndarray:
     """Upper ends of the size bands."""
     ends = [1]
