@@ -16,12 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_per, text_batches
+from .common import few_per, packed, text_batches, unpacked
 from .grams import presence
 
 WIDTHS, BITS = range(1, 4), 14
-#: Bounds of the fit: labelled documents and landmarks per language.
-SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
+#: Bounds of the fit: labelled documents and landmarks per language, and of all languages together; beyond that the languages get fewer
+#: each, LEAST_SAMPLE documents and one landmark at least, the most frequent languages first.
+SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, SAMPLE, LANDMARKS, LEAST_SAMPLE = 400, 32, 6400, 640, 10
 
 
 @dataclass
@@ -61,28 +62,51 @@ def _bits(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
 
-def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmark: int = LANDMARKS_PER_LANGUAGE, ridge: float = 0.1) -> KernelModel:
-    """The model from labelled rows (doc_id, text, lang): of each language the ``per_language`` documents of least hash. Their presence bits, 2 KB each, are all that comes to the driver."""
-    text_batches(train.sparkSession)
-    few = few_per(train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", per_language, 5).select("doc_id").distinct()
-    rows = train.filter("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(few), "doc_id").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "text").mapInArrow(_bits, "lang string, h long, bits binary").orderBy("lang", "h", "bits").collect()
-    languages = sorted({r[0] for r in rows})
-    if not rows:
-        return KernelModel([], np.zeros((1, (1 << BITS) // 8), np.uint8), np.zeros((1, 0)))
-    packed = np.stack([np.frombuffer(bytes(r[2]), np.uint8) for r in rows])
-    which = np.concatenate([[i for i, r in enumerate(rows) if r[0] == lang][:per_landmark] for lang in languages]).astype(int)
-    x = np.unpackbits(packed, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    k = (x @ x[which].T).astype(np.float64)
+def shares(languages: int, per_language: int, per_landmark: int) -> tuple[int, int]:
+    """Documents and landmarks that each of so many languages gets within the bounds of the fit."""
+    return min(per_language, max(LEAST_SAMPLE, SAMPLE // max(languages, 1))), min(per_landmark, max(1, LANDMARKS // max(languages, 1)))
+
+
+def kernel(packed: np.ndarray, landmarks: np.ndarray, rows: int = 128) -> np.ndarray:
+    """k(x, y) of every row of packed presence bits with every landmark, a block of rows at a time."""
+    right = np.unpackbits(landmarks, axis=1).astype(np.float32)
+    right = (right / np.sqrt(np.maximum(right.sum(1, keepdims=True), 1))).T
+    out = np.zeros((len(packed), len(landmarks)))
+    for i in range(0, len(packed), rows):
+        x = np.unpackbits(packed[i : i + rows], axis=1).astype(np.float32)
+        out[i : i + rows] = (x @ right) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return out
+
+
+def fit(packed: np.ndarray, lang: np.ndarray, per_landmark: int, ridge: float) -> KernelModel:
+    """One-versus-rest kernel ridge regression on Nyström features; rows are weighted so that each language weighs the same."""
+    languages = sorted(set(lang))
+    which = np.concatenate([np.flatnonzero(lang == name)[:per_landmark] for name in languages])
+    k = kernel(packed, packed[which])
     val, vec = np.linalg.eigh(k[which] + 1e-6 * np.eye(len(which)))
     white = vec / np.sqrt(np.maximum(val, 1e-6))  # Nyström: kernel rows times this are the features
     z = k @ white
-    y = np.array([[1.0 if r[0] == lang else -1.0 for lang in languages] for r in rows])
-    weight = np.array([1.0 / sum(q[0] == r[0] for q in rows) for r in rows]) * len(rows) / len(languages)
+    y = np.where(lang[:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
+    weight = len(lang) / len(languages) / (y > 0).sum(0)[np.searchsorted(np.array(languages), lang.astype(str))]
     solved = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
     return KernelModel(languages, packed[which], white @ solved)
 
 
+def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmark: int = LANDMARKS_PER_LANGUAGE, ridge: float = 0.1) -> KernelModel:
+    """The model from labelled rows (doc_id, text, lang): of each language the ``per_language`` documents of least hash, within the bounds
+    of the fit. Their presence bits, 2 KB each, are all that comes to the driver."""
+    text_batches(train.sparkSession)
+    train = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    known = [r[0] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(SAMPLE // LEAST_SAMPLE, LANDMARKS)).collect()]
+    if not known:
+        return KernelModel([], np.zeros((1, (1 << BITS) // 8), np.uint8), np.zeros((1, 0)))
+    per_language, per_landmark = shares(len(known), per_language, per_landmark)
+    train = train.filter(F.col("lang").isin(known))
+    few = few_per(train.select("doc_id", "lang"), "lang", per_language, 5).select("doc_id").distinct()
+    rows = train.join(F.broadcast(few), "doc_id").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "text").mapInArrow(_bits, "lang string, h long, bits binary").orderBy("lang", "h", "bits").collect()
+    return fit(np.stack([np.frombuffer(bytes(r[2]), np.uint8) for r in rows]), np.array([r[0] for r in rows], object), per_landmark, ridge)
+
+
 def _predict(shared):
     """Rows (row) become (row, lang_pred, score): a struct that has the text goes through as it is."""
 
@@ -114,7 +138,7 @@ def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
 def _predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
-    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    flat = packed(docs)
     return flat.mapInArrow(_predict(shared), f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -126,6 +150,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``); all columns stay."""
+    """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``); all columns stay, whatever they are called."""
     kept = _predicted(docs, learn(docs.filter(~held_out()))).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return unpacked(kept, docs.columns)
