@@ -2,7 +2,7 @@
 
 Every version (path, text) is content-addressed by the SHA-256 of its text. The ledger is a table of (blob, rules version,
 findings); only blobs that it does not hold under the current rules version are scanned, each once however many paths have it,
-and the findings are joined back to all paths. The ledger is written as a table, so a later run starts from it.
+and the findings are joined back to all paths. The ledger is a table that is kept and appended to, so a later run starts from it.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, skew_join, staged, text_batches
+from .common import bounded, packed, shared_dir, staged, text_batches, unpacked
 
 
 @dataclass(frozen=True)
@@ -79,31 +80,51 @@ def blob_of(text: Column) -> Column:
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: RuleSet = RuleSet()) -> DataFrame:
-    """Ledger rows (blob, rules, spans) for the blobs of ``versions`` (blob, text) that ``ledger`` lacks under these rules."""
+    """Ledger rows (blob, rules, spans) for the blobs of ``versions`` (blob, text) that ``ledger`` lacks under these rules.
+
+    Seen pairs go before the texts are dealt, by a broadcast of their blobs while a count allows it.
+    """
     blobs = versions.select("blob", F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
         seen = ledger.filter(F.col("rules") == rules.version).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
+        blobs = blobs.join(F.broadcast(seen) if bounded(seen, 160) else seen, "blob", "left_anti")
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     return blobs.mapInArrow(_scan(rules.rules), f"blob string, spans {SPANS}").select("blob", F.lit(rules.version).alias("rules"), "spans")
 
 
-def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: RuleSet = RuleSet()) -> tuple[DataFrame, DataFrame]:
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``; none before the first run."""
+    try:
+        return spark.read.parquet(path).select("blob", "rules", "spans")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | str | None = None, rules: RuleSet = RuleSet()) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): one findings row (path, blob, spans) for every row of ``docs``, and the ledger with the new blobs added.
 
-    Null and empty texts have no spans; repeated rows each keep their row; columns other than path and text are ignored.
+    ``ledger`` is the table of an earlier run, or the path of a kept one: its rows are read (none before the first run) and the new ones
+    are appended, so that the next run scans what it has not seen. Null and empty texts have no spans; repeated rows each keep their row;
+    columns other than path and text are ignored.
     """
-    at = shared_dir(docs.sparkSession)
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
     versions = docs.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text")).withColumn("blob", blob_of(F.col("text")))
-    new = staged(update_ledger(versions, ledger, rules), at, "ledger")
-    now = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "spans"))
-    # blobs without findings need no row on the right
+    kept = ledger if isinstance(ledger, str) else None
+    old = read_ledger(spark, kept) if kept else ledger
+    new = staged(update_ledger(versions, old, rules), shared_dir(spark), "ledger")
+    now = new if old is None else new.unionByName(old.select("blob", "rules", "spans"))
+    # blobs without findings need no row on the right; the derived key lets a hot blob be split
     hits = now.filter((F.col("rules") == rules.version) & (F.size("spans") > 0)).select(F.xxhash64("blob").alias("b"), F.col("blob").alias("found"), "spans")
-    left = versions.select("path", "blob", F.xxhash64("blob").alias("b"))
-    joined = skew_join(left, hits, "b", "left")
-    right = F.col("blob") == F.col("found")
-    return joined.select("path", "blob", F.when(right, F.col("spans")).otherwise(F.array().cast(SPANS)).alias("spans")), now
+    left = versions.select("path", "blob")
+    same = (F.xxhash64("blob") == F.col("b")) & (F.col("blob") == F.col("found"))
+    joined = left.join(F.broadcast(hits) if bounded(hits, 400) else hits, same, "left")
+    findings = joined.select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    if kept:
+        new.write.mode("append").parquet(kept)
+    return findings, now
 
 
 def _digest(spans: Column) -> Column:
@@ -123,19 +144,25 @@ def report(findings: DataFrame, base: tuple[str, ...] = ("assign", "access", "he
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rules: RuleSet = RuleSet()) -> DataFrame:
-    """``docs`` with every span (overlapping ones as one) replaced by ``mark`` and n_chars, where there is such a column, counted anew; all rows stay."""
+    """``docs`` with every span (overlapping ones as one) replaced by ``mark`` and n_chars, where there is such a column, counted anew.
+
+    All rows and columns stay, whatever the other columns are called. Findings are joined by content, whatever the ids: they are few and
+    are broadcast where a count says so, then the texts stay where they are.
+    """
     _, ledger = scan_versions(docs, rules=rules)
-    # by content alone, whatever the ids; the ledger has one row a blob
-    part = F.pmod(F.xxhash64("_blob"), F.lit(1021)).alias("_k2")
-    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).select("*", part)
-    out = docs.withColumn("_blob", blob_of(F.col("text"))).select("*", part).join(hits, ["_blob", "_k2"], "left")
+    found = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("found"), "spans")
+    rows = packed(docs, blob=blob_of(F.col("text").cast("string")))
+    out = rows.join(F.broadcast(found) if bounded(found, 400) else found, F.col("blob") == F.col("found"), "left")
+    text = F.col("row.text")
     # (text so far, end of the last span): each span copies the stretch before it and leaves the mark
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["done"].alias("done"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(
-        F.struct(F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("done"), s["end"].alias("at"))
+        F.struct(F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("done"), s["end"].alias("at"))
     )
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = out.select("row", F.when(F.col("spans").isNull(), text).otherwise(clean).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out
+        length = F.when(F.col("text").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("text"))
+        new["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **new)
