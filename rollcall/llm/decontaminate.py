@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, bounded
+from .common import BROADCAST_BYTES, ascii_lower, bounded, packed, shared_dir, staged, unpacked
 
 # Fixed value: the separators of the contract, upper case counted as letters because it is lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,16 +28,26 @@ def windows(bench: DataFrame, size: int = 10) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, size))).alias("win")).distinct().withColumn("n", F.size("win"))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells the texts under one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def hits(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, n_words, found): for every document the verified occurrences as (start, n, item_id) structs, start counted in words."""
-    # (n, block hash) -> the windows that have the block, at which place
-    win = windows(bench, size).withColumn("g", F.floor((F.col("n") + 1) / 2).cast("int"))
-    block = win.select("n", "g", "win", "item_id", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("g"))).alias("place"))
-    block = block.select(F.col("n").alias("bn"), F.xxhash64("n", F.slice("win", F.col("place") + 1, F.col("g"))).alias("h"), F.struct("place", F.array_join("win", " ").alias("win"), "item_id").alias("at"))
+    """(doc_id, text_hash, n_rows, n_words, found), one row per distinct doc_id and text, n_rows of them in ``docs``.
+
+    found: the verified occurrences as (start, n, item_id) structs, start counted in words. The broadcast holds block hashes, and hash and
+    place of the windows that have the block; a window that stands around a block by its hash is held against the window's own words.
+    """
+    win = windows(bench, size).withColumn("id", F.xxhash64("n", "win"))
+    items = win.select(F.col("n").alias("wn"), "id", F.array_join("win", " ").alias("words"), "item_id")
+    g = F.floor((F.col("n") + 1) / 2).cast("int")
+    block = win.select("n", "win", "id").distinct().select("n", "win", "id", F.explode(F.sequence(F.lit(0), F.col("n") - g)).alias("place"))
+    block = block.select(F.col("n").alias("bn"), F.xxhash64("n", F.slice("win", F.col("place") + 1, g)).alias("h"), F.struct("place", "id").alias("at"))
     block = block.groupBy("bn", "h").agg(F.collect_list("at").alias("at"))
     lengths = sorted(r[0] for r in win.select("n").distinct().collect())  # at most ``size`` of them
 
-    w = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("w"))
+    w = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), words_of(F.col("text").cast("string")).alias("w"))
     head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("h"), F.size("w").cast("string").alias("context")))
 
     def blocks(n: int) -> Column:
@@ -51,18 +61,22 @@ def hits(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
         many = F.floor(F.size("w") / g).cast("int")
         return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), one)).otherwise(F.array().cast("array<struct<pos:int,n:int,h:bigint,context:string>>"))
 
-    probe = w.select("doc_id", F.inline(F.concat(head, *(blocks(n) for n in lengths))))
-    side = F.broadcast(block) if bounded(block, BROADCAST_ROWS) else block
+    probe = w.select("doc_id", "text_hash", F.inline(F.concat(head, *(blocks(n) for n in lengths))))
+    side = F.broadcast(block) if (block.agg(F.sum(F.size("at") * 32 + 64)).first()[0] or 0) <= BROADCAST_BYTES else block
     met = probe.join(side, (probe.n == side.bn) & (probe.h == side.h), "left").filter("pos < 0 OR at IS NOT NULL")
-    # verify: the window must stand in the words around the block
+    # verify: the window must stand in the words around the block, first by hash, then word for word
     context = F.split("context", " ")
     before = F.least(F.col("pos"), F.col("n") - F.floor((F.col("n") + 1) / 2)).cast("int")
-    stands = lambda a: (a["place"] <= before) & (F.array_join(F.slice(context, before - a["place"] + 1, F.col("n")), " ") == a["win"])
-    start = lambda a: F.struct((F.col("pos") - a["place"]).alias("start"), F.col("n").alias("n"), a["item_id"].alias("item_id"))
-    none = F.array().cast(f"array<struct<start:int,n:int,item_id:{dict(bench.dtypes)['item_id']}>>")
-    rows = met.select("doc_id", F.when(F.col("pos") < 0, F.col("context").cast("long")).alias("n_words"), F.when(F.col("pos") < 0, none).otherwise(F.transform(F.filter("at", stands), start)).alias("found"))
-    rows = rows.filter((F.col("n_words").isNotNull()) | (F.size("found") > 0))
-    return rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    around = lambda a: F.slice(context, before - a["place"] + 1, F.col("n"))
+    stands = lambda a: (a["place"] <= before) & (F.size(around(a)) == F.col("n")) & (F.xxhash64("n", around(a)) == a["id"])
+    one = lambda a: F.struct((F.col("pos") - a["place"]).alias("start"), a["id"].alias("id"), F.array_join(around(a), " ").alias("words"))
+    start = F.when(F.col("pos") >= 0, F.transform(F.filter("at", stands), one))
+    rows = met.select("doc_id", "text_hash", "n", F.when(F.col("pos") < 0, F.col("context").cast("long")).alias("n_words"), F.explode_outer(start).alias("f")).filter("n_words IS NOT NULL OR f IS NOT NULL")
+    rows = rows.select("doc_id", "text_hash", "n", "n_words", "f.start", F.coalesce("f.id", "text_hash").alias("id"), "f.words")
+    few = F.broadcast(items) if bounded(items, 400) else items
+    own = rows.alias("r").join(few.alias("i"), (F.col("r.id") == F.col("i.id")) & (F.col("r.n") == F.col("i.wn")) & (F.col("r.words") == F.col("i.words")), "left")
+    found = F.collect_list(F.when(F.col("start").isNotNull() & F.col("wn").isNotNull(), F.struct("start", "n", "item_id")))
+    return own.groupBy("doc_id", "text_hash").agg(F.count("n_words").alias("n_rows"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(found)).alias("found"))
 
 
 def spans(found: Column) -> Column:
@@ -86,28 +100,36 @@ def n_hit(found: Column) -> Column:
 
 
 def decontamination_report(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per distinct doc_id.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
-    Null and empty texts have no words and no hits; an empty benchmark hits nothing; rows that repeat a doc_id give one row (the most
-    words, all their hits); extra columns are ignored.
+    Null and empty texts have no words and no hits; an empty benchmark hits nothing; different texts under one doc_id, or under none, are
+    judged each, repeated rows each keep their row; extra columns are ignored. A long text is probed whole, block by block.
     """
     h = hits(docs, bench, size)
     items = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"].cast("string"))))
-    return h.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("found")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("found") > 0).alias("contaminated"))
+    out = h.select("n_rows", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit(F.col("found")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("found") > 0).alias("contaminated"))
+    return out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).drop("row", "n_rows")
+
+
+def _joined(docs: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """The packed rows of ``docs`` joined with some (doc_id, text_hash, ...) of ``hits``, staged; broadcast where a count says so."""
+    few = staged(few.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), shared_dir(docs.sparkSession), "found")
+    rows = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), text_hash=text_hash(F.col("text")))
+    return rows.join(F.broadcast(few) if bounded(few, 160) else few, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), how)
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold any benchmark window; all columns stay, rows without doc_id too."""
-    bad = decontamination_report(docs, bench, size).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without the rows whose text holds any benchmark window; all columns stay, rows without doc_id are judged like any other."""
+    bad = hits(docs, bench, size).filter(F.size("found") > 0).select("doc_id", "text_hash")
+    return unpacked(_joined(docs, bad, "left_anti"), docs.columns)
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` with the benchmark passages taken out of ``text``; the other texts stay as they are.
+    """``docs`` with the benchmark passages taken out of ``text``; the other texts, rows and columns stay as they are.
 
     A passage goes with its separators up to the next word.
     """
-    found = hits(docs, bench, size).filter(F.size("found") > 0).select("doc_id", spans(F.col("found")).alias("_cut"))
+    found = hits(docs, bench, size).filter(F.size("found") > 0).select("doc_id", "text_hash", spans(F.col("found")).alias("cut"))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
-    kept = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("_cut", lambda c: (i >= c["from"]) & (i < c["to"]))), "")
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("cut", lambda c: (i >= c["from"]) & (i < c["to"]))), "")
+    return unpacked(_joined(docs, found, "left"), docs.columns, text=F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept))
