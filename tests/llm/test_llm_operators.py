@@ -57,12 +57,19 @@ def test_secrets(spark):
     assert report(scan_versions(docs.limit(0))[0]).count() == 0
 
 
-def test_ledger_is_incremental(spark):
+def test_ledger_is_incremental(spark, tmp_path):
     docs = documents(spark, SECRETS)
     _, ledger = scan_versions(docs.limit(3))
     more = documents(spark, [*SECRETS, "new secret=abcdefghij"])
     found, after = scan_versions(more, ledger=ledger)
     assert found.count() == 9 and after.count() == 8
+    # kept at a path: the second run appends what the first has not seen
+    kept = f"{tmp_path}/ledger"
+    scan_versions(docs.limit(3), ledger=kept)
+    found, _ = scan_versions(more, ledger=kept)
+    rows = spark.read.parquet(kept)
+    assert rows.count() == rows.select("blob", "rules").distinct().count() == 8
+    assert sorted(map(repr, report(found).collect())) == sorted(map(repr, report(scan_versions(more)[0]).collect()))
     other = RuleSet(RULES[:2])
     assert other.version != RuleSet().version
     assert scan_versions(docs, ledger=ledger, rules=other)[1].filter(f"rules = '{other.version}'").count() == 7
@@ -117,6 +124,13 @@ def test_decontamination(spark):
     cut = table(cut_spans(docs, long))
     assert all(hits_by_hand(cut[i].text, [(1, items[8][1])])[1] == 0 or hits_by_hand(texts[i], [(1, items[8][1])])[1] > hits_by_hand(cut[i].text, [(1, items[8][1])])[1] for i in cut)
     assert cut[3].text == texts[3] and cut_spans(docs, long).columns == docs.columns
+    # rows that share an id, or have none, and rows that repeat
+    odd = documents(spark, [(5, texts[43]), (5, texts[44]), (5, texts[43]), (None, texts[45]), (None, texts[46]), (None, None), (None, None)])
+    want = sorted([repr((i, *hits_by_hand(t, items))) for i, t in [(5, texts[43]), (5, texts[44]), (5, texts[43]), (None, texts[45]), (None, texts[46]), (None, None), (None, None)]])
+    assert sorted(repr(tuple(r)) for r in decontamination_report(odd, bench).collect()) == want
+    assert sorted(r.text or "" for r in clean_documents(odd, bench).collect()) == sorted(t or "" for t in [texts[43], texts[44], texts[43], texts[45], texts[46], None, None] if not hits_by_hand(t, items)[4])
+    clash = docs.withColumnsRenamed({"cls": "_cut", "key": "_id", "row": "_hash"})
+    assert cut_spans(clash, long).columns == clash.columns and clean_documents(clash, bench).columns == clash.columns
     assert decontamination_report(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontamination_report(docs.limit(0), bench).count() == 0
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from test_operators import check_packing, components_by_hand, hits_by_hand
+from test_llm_operators import check_packing, components_by_hand, hits_by_hand
 
 pipeline = pytest.importorskip("corpus_pipeline")
 TABLE = "/root/testdata/sf0.001"
