@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance_m, in_box, located, not_null_island
 from ..functions.text import norm_city
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -92,16 +93,16 @@ def dedup_stable(df: DataFrame, key: list[str], position: str) -> DataFrame:
 def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Consecutive positions from 0 in the order of the columns, without a window over one partition.
 
-    Rows are dealt by range; each partition numbers its own rows and adds the rows of the partitions before it.
+    Rows are dealt by range and each partition numbers its own; that is written once, and both the partitions' sizes and the rows are read
+    from there (ranges come from a sample, so dealing twice would cut in different places). Ties are ordered by chance, once.
     """
-    # a given number of partitions is not coalesced at run time, so both uses below see the same ones
     dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     marked = dealt.withColumn("_id", F.monotonically_increasing_id())
     part, at = F.shiftright("_id", 33).cast("long"), F.col("_id").bitwiseAND(2**33 - 1)
-    marked = marked.withColumns({"_part": part, "_at": at}).drop("_id")
+    marked = written(marked.withColumns({"_part": part, "_at": at}).drop("_id"))
     sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return marked.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    return marked.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
 
 
 def unique_slugs(df: DataFrame, place: str = "department", slug: str = "slug", order: tuple[str, ...] = ("n", "id")) -> DataFrame:

@@ -5,10 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; under a temporary folder only where that is unset (tests)."""
+    """A new path under ``spark.checkpoint.dir``; a temporary one only where that is unset and the session runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='rollcall-')).rstrip('/')}/rollcall-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again: whatever reads it sees the same rows."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (counted); else as it is, and the join is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
