@@ -41,18 +41,28 @@ def distance_m(lng: float, lat: float, radius_m: float = 6_371_000.0) -> Column:
     return haversine(F.col("lng"), F.col("lat"), F.lit(lng), F.lit(lat), radius_m)
 
 
-def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.0, top_lat: float = 70.0) -> DataFrame:
+def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.0) -> DataFrame:
     """All pairs of rows (a.*, b.*, dist_km) at most ``km`` apart (JN-5); a has a_id, a_lng, a_lat, b has b_id, b_lng, b_lat.
 
-    An equi-join on grid cells: b is put in its cell, a in the nine around its own; then the exact test. Cells are sized for latitudes
-    up to ``top_lat``, beyond which rows are refused.
+    An equi-join on grid cells: b is put in its cell, a in those around its own; then the exact test. Each row of cells is cut round the
+    globe into as many as its latitude allows, the last one next to the first; a row at a pole is one cell. Rows without coordinates meet nothing.
     """
-    step_lat = km / (earth_km * math.pi / 180) * 1.000001
-    step_lng = step_lat / math.cos(math.radians(min(89.0, top_lat + step_lat)))
-    cell = lambda c, step: F.floor(c / step).cast("long")
+    step = km / (earth_km * math.pi / 180) * 1.000001
+
+    def cells(row: Column) -> Column:
+        """How many cells a row has: each as wide as ``km`` at the latitude of its neighbours that is nearest to a pole."""
+        top = (F.greatest(F.abs(row), F.abs(row + 1)) + 2) * step
+        return F.when(top >= 89.0, 1).otherwise(F.greatest(F.floor(360.0 * F.cos(F.radians(top)) / step), F.lit(1))).cast("long")
+
+    def column(lng: Column, row: Column) -> Column:
+        return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * cells(row)).cast("long"), cells(row) - 1)
+
+    row = lambda lat: F.floor(lat / step).cast("long")
     near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    left = a.filter(F.col("a_lat").between(-top_lat, top_lat)).withColumn("cx", F.explode(F.transform(near, lambda d: d + cell(F.col("a_lng"), step_lng)))).withColumn("cy", F.explode(F.transform(near, lambda d: d + cell(F.col("a_lat"), step_lat))))
-    right = b.filter(F.col("b_lat").between(-top_lat, top_lat)).withColumns({"cx": cell(F.col("b_lng"), step_lng), "cy": cell(F.col("b_lat"), step_lat)})
+    left = a.filter(located("a_lng", "a_lat")).withColumn("cy", F.explode(F.transform(near, lambda d: d + row(F.col("a_lat")))))
+    around = F.array_distinct(F.transform(near, lambda d: F.pmod(column(F.col("a_lng"), F.col("cy")) + d, cells(F.col("cy")))))
+    left = left.withColumn("cx", F.explode(around))
+    right = b.filter(located("b_lng", "b_lat")).withColumn("cy", row(F.col("b_lat"))).withColumn("cx", column(F.col("b_lng"), F.col("cy")))
     met = left.join(right, ["cx", "cy"]).withColumn("dist_km", haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat"), earth_km))
     return met.filter(F.col("dist_km") <= km).drop("cx", "cy")
 
@@ -66,7 +76,7 @@ def department_of(postal: Column) -> Column:
 
 def jitter(df: DataFrame, id_: str = "id", width: float = 0.004) -> DataFrame:
     """Coordinates moved by up to half of ``width`` each way, derived from the id so that a replay places rows alike; flagged as approximate (PRJ-26)."""
-    off = lambda salt: (F.pmod(F.xxhash64(F.col(id_), F.lit(salt)), F.lit(10_001)) / 10_000.0 - 0.5) * width
+    off = lambda salt: (F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.lit(str(salt)))), 1, 8), 16, 10).cast("long"), F.lit(10_001)) / 10_000.0 - 0.5) * width
     return df.withColumns({"lng": F.col("lng") + off(1), "lat": F.col("lat") + off(2), "geo_approx": F.lit(True)})
 
 
