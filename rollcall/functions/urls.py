@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hosts of the platforms and the path words that are no pages of an organisation.
+# Hosts of the platforms; top-level domains that are looked for in running text.
 PLATFORMS = {
     "facebook.com": "facebook",
     "fb.com": "facebook",
@@ -18,8 +20,45 @@ PLATFORMS = {
     "tiktok.com": "tiktok",
     "helloasso.com": "donation",
 }
-NO_PAGE = ("people", "groups", "events", "posts", "photo", "photos", "videos", "watch", "share", "login", "hashtag", "story")
-MIN_SLUG = 4
+TOP_LEVELS = ("fr", "com", "org", "net", "bzh", "eu", "info")
+
+
+@dataclass(frozen=True)
+class PageRule:
+    """Where a platform's URLs name an organisation's page: a pattern of the path, the group that is the name, and the page built from the groups.
+
+    ``refused``: first path words that are no pages. ``loose``: the pattern of the variant that takes any name.
+    """
+
+    platform: str
+    path: str
+    page: str
+    group: int = 1
+    refused: str = ""
+    loose: str = ""
+    unlike: str = ""
+
+    def pattern(self, strict: bool) -> str:
+        words = f"(?!(?:{self.refused})(?:/|$))" if self.refused else ""
+        return f"^/+{words}{self.path if strict or not self.loose else self.loose}"
+
+
+# Names of four characters or more, no numbers of six digits or more, and the platforms' own path words and page roots.
+_NAME = "(?![0-9]{6,}(?:/|$))([^/]{4,})"
+PAGE_RULES = (
+    PageRule("facebook", "(?:pages/+(?=[^/]+/+[^/]))?" + _NAME, "https://www.facebook.com/$1/", refused=r"people|groups|events|posts|photos?|videos|watch|share|login|hashtag|story|[^/]*\.php", loose="(?:pages/+(?=[^/]+/+[^/]))?([^/]+)"),
+    PageRule("instagram", "([^/]{4,})", "https://www.instagram.com/$1/", refused="p|reels?|explore|stories|tv", loose="([^/]+)"),
+    PageRule("linkedin", "(company|school)/+([^/]+)", "https://www.linkedin.com/$1/$2/", 2, loose="(company|school|in)/+([^/]+)"),
+    PageRule("youtube", "(?=@|(?:c|channel|user)(?:/|$))(?:.*/)?@*([^/]+)/*$", "", unlike="watch?v="),
+    PageRule("tiktok", "@+([^/]{4,})", "https://www.tiktok.com/@$1"),
+    PageRule("twitter", "([^/]+)", "https://twitter.com/$1", refused="search|hashtag|i|intent|home"),
+    PageRule("donation", "(?:[^/]+/+)*?associations/+([^/]+)", "https://www.helloasso.com/associations/$1"),
+)
+
+
+def bare_domain(top_levels: tuple[str, ...] = TOP_LEVELS) -> str:
+    """A pattern of domains without scheme in running text."""
+    return rf"(?i)\b([a-z0-9][a-z0-9-]{{1,40}}\.(?:{'|'.join(top_levels)}))\b"
 
 
 def host_of(col: Column) -> Column:
@@ -55,44 +94,28 @@ def platform_of(url: Column) -> Column:
     return F.try_element_at(known, base_domain(host_of(url)))
 
 
-def canonical_social(df: DataFrame, url: str = "url", strict: bool = True) -> DataFrame:
+def canonical_social(df: DataFrame, url: str = "url", strict: bool = True, rules: tuple[PageRule, ...] = PAGE_RULES) -> DataFrame:
     """``df`` with platform, slug and page: the root page of a social link, and only rows that have one (PRJ-14).
 
-    ``strict`` also refuses numeric ids of six digits or more, people and group pages, short slugs and personal profiles.
+    ``strict`` also refuses numeric ids of six digits or more, short names and personal profiles.
     """
-    df = df.withColumns({"platform": platform_of(F.col(url)), "_part": path_parts(F.col(url))})
-    p, part = F.col("platform"), F.col("_part")
-    at = lambda i: F.coalesce(F.get(part, F.lit(i)), F.lit(""))
-    first, second = at(0), at(1)
-    named = F.when((first == "pages") & (F.size(part) >= 3), second).otherwise(first)
-    usable = ~named.rlike("^[0-9]{6,}$") & (F.length(named) >= MIN_SLUG) if strict else named != ""
-    facebook = F.when(~first.isin(*NO_PAGE) & ~first.endswith(".php") & usable, named)
-    instagram = F.when(~first.isin("p", "reel", "reels", "explore", "stories", "tv") & (F.length(first) >= (MIN_SLUG if strict else 1)), first)
-    kinds = ("company", "school") if strict else ("company", "school", "in")
-    linkedin = F.when(first.isin(*kinds) & (second != ""), second)
-    youtube = F.when((first.startswith("@") | first.isin("c", "channel", "user")) & ~F.contains(F.col(url), F.lit("watch?v=")), F.ltrim(F.element_at(part, -1), F.lit("@")))
-    tiktok = F.when(first.startswith("@") & (F.length(first) > MIN_SLUG), F.ltrim(first, F.lit("@")))
-    twitter = F.when((first != "") & ~first.isin("search", "hashtag", "i", "intent", "home"), first)
-    where = F.array_position(part, "associations").cast("int")
-    donation = F.when(where > 0, F.get(part, where))
-    slug = F.when(p == "facebook", facebook).when(p == "instagram", instagram).when(p == "linkedin", linkedin).when(p == "youtube", youtube).when(p == "tiktok", tiktok).when(p == "twitter", twitter).when(p == "donation", donation)
-    s = F.col("slug")
-    page = (
-        F.when(F.col("platform") == "facebook", F.concat(F.lit("https://www.facebook.com/"), s, F.lit("/")))
-        .when(F.col("platform") == "instagram", F.concat(F.lit("https://www.instagram.com/"), s, F.lit("/")))
-        .when(F.col("platform") == "linkedin", F.concat(F.lit("https://www.linkedin.com/"), first, F.lit("/"), s, F.lit("/")))
-        .when(F.col("platform") == "tiktok", F.concat(F.lit("https://www.tiktok.com/@"), s))
-        .when(F.col("platform") == "twitter", F.concat(F.lit("https://twitter.com/"), s))
-        .when(F.col("platform") == "donation", F.concat(F.lit("https://www.helloasso.com/associations/"), s))
-        .otherwise(F.col(url))
-    )
-    return df.withColumn("slug", slug).filter("slug IS NOT NULL").withColumn("page", page).drop("_part")
-
-
-def domain_mentions(df: DataFrame, id_: str, *texts: str) -> DataFrame:
-    """(id, domain): distinct bare domains of seven top-level domains in the texts (PRJ-23)."""
-    pattern = r"(?i)\b([a-z0-9][a-z0-9-]{1,40}\.(?:fr|com|org|net|bzh|eu|info))\b"
-    return df.select(id_, F.explode(F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(pattern), 1)).alias("d")).select(id_, F.lower("d").alias("domain")).distinct()
+    link, path = F.col(url), F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit(""))
+    df = df.withColumn("platform", platform_of(link))
+    found = F.lit(None).cast("struct<slug:string,page:string>")
+    for r in rules:
+        pattern = r.pattern(strict)
+        slug = F.regexp_extract(path, pattern, r.group)
+        page = F.regexp_replace(path, f"{pattern}.*$", r.page) if r.page else link
+        fits = (F.col("platform") == r.platform) & (slug != "")
+        if r.unlike:
+            fits &= ~F.contains(link, F.lit(r.unlike))
+        found = F.when(fits, F.struct(slug.alias("slug"), page.alias("page"))).otherwise(found)
+    return df.withColumn("_found", found).filter("_found IS NOT NULL").withColumns({"slug": F.col("_found.slug"), "page": F.col("_found.page")}).drop("_found")
+
+
+def domain_mentions(df: DataFrame, id_: str, *texts: str, top_levels: tuple[str, ...] = TOP_LEVELS) -> DataFrame:
+    """(id, domain): distinct bare domains of the given top-level domains in the texts (PRJ-23)."""
+    return df.select(id_, F.explode(F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(bare_domain(top_levels)), 1)).alias("d")).select(id_, F.lower("d").alias("domain")).distinct()
 
 
 def host_suffixes(host: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, name_norm, overlap, tokens, trigrams, unaccent, word_trigrams
-from ..functions.urls import base_domain, canonical_social, host_of, platform_of
+from ..functions.urls import bare_domain, base_domain, canonical_social, host_of, platform_of
 from .listing import top_k
 
 
@@ -99,10 +99,9 @@ def score_domains(results: DataFrame, names: DataFrame, hosts: Hosts = Hosts(),
 
     results: id, rank, url, title, body; names: id, name.
     """
-    pattern = r"(?i)\b([a-z0-9][a-z0-9-]{1,40}\.(?:fr|com|org|net|bzh|eu|info))\b"
     p = platform_of(F.col("url"))
     own = F.when(p.isNull(), F.array(base_domain(host_of(F.col("url"))))).otherwise(F.array().cast("array<string>"))
-    pool = F.array_distinct(F.concat(F.transform(F.regexp_extract_all(F.concat_ws(" ", "body", "title"), F.lit(pattern), 1), F.lower), own))
+    pool = F.array_distinct(F.concat(F.transform(F.regexp_extract_all(F.concat_ws(" ", "body", "title"), F.lit(bare_domain()), 1), F.lower), own))
     d = results.select("id", "rank", (p == "facebook").alias("from_page"), F.explode(pool).alias("d")).withColumn("domain", base_domain(F.col("d")))
     d = d.filter(platform_of(F.concat(F.lit("https://"), F.col("domain"))).isNull() & ~F.col("domain").isin(*hosts.directories, *hosts.refused) & (F.length("domain") >= 5)).join(names, "id")
     flat = F.replace(F.split_part("domain", F.lit("."), F.lit(1)), F.lit("-"), F.lit(""))
@@ -111,42 +110,56 @@ def score_domains(results: DataFrame, names: DataFrame, hosts: Hosts = Hosts(),
     return top_k(scored, ["id"], [F.desc("score"), F.col("rank"), F.col("domain")], 1).select("id", "domain", "score")
 
 
-def trigram_join(a: DataFrame, b: DataFrame, block: str, min_num: int, den: int, grams: Column, dice: bool = False) -> DataFrame:
-    """(a_id, b_id, common, size_a, size_b) of pairs of a block whose trigram sets are similar enough: exact, by prefix filter (JN-7, JN-8).
+def trigram_join(a: DataFrame, b: DataFrame, block: str, min_num: int, den: int, grams: Column, dice: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, x, y): pairs (block, ga, gb, common, size_a, size_b) of different trigram sets of a block that are similar enough, and the ids
+    (id, block, g) of each side: exact, by prefix filter (JN-7, JN-8).
 
-    A pair above min_num/den shares one of the first n - ceil(min * n) + 1 trigrams of a set ordered by rarity within the block; only these
-    are joined. ``a`` and ``b`` have id, text and the block column.
+    Equal sets count once, however many rows have them. A pair at min_num/den or above shares one of the first n - ceil(min * n) + 1 trigrams
+    of a set ordered by rarity within the block; only these are joined, within the sizes that allow the bound, and a pair is taken at the
+    first trigram that its prefixes share. ``a`` and ``b`` have id, text and the block column.
     """
-    t = min_num / den if not dice else min_num / (2 * den - min_num)  # a Dice bound as a Jaccard bound
-    sets = lambda df: df.select(F.col("id"), F.col(block), grams.alias("g")).filter(F.size("g") > 0)
-    x, y = sets(a), sets(b)
-    freq = y.select(block, F.explode("g").alias("gram")).groupBy(block, "gram").agg(F.count("*").alias("df"))
-
-    def prefix(df):
-        each = df.select("id", block, F.size("g").alias("n"), F.explode("g").alias("gram")).join(freq, [block, "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        r = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-        return each.withColumn("r", r).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select("id", block, "gram")
-
-    pairs = prefix(x).withColumnRenamed("id", "a_id").join(prefix(y).withColumnRenamed("id", "b_id"), [block, "gram"]).select("a_id", "b_id").distinct()
-    met = pairs.join(x.select(F.col("id").alias("a_id"), F.col("g").alias("ga")), "a_id").join(y.select(F.col("id").alias("b_id"), F.col("g").alias("gb")), "b_id")
-    met = met.select("a_id", "b_id", overlap(F.col("ga"), F.col("gb")).alias("common"), F.size("ga").alias("size_a"), F.size("gb").alias("size_b"))
+    num, of = (min_num, 2 * den - min_num) if dice else (min_num, den)  # a Dice bound as a Jaccard bound
+    ids = lambda df: df.select("id", block, F.array_sort(grams).alias("g")).filter(F.size("g") > 0)
+    x, y = ids(a), ids(b)
+    sets = lambda df: df.select(block, "g").distinct()
+    freq = sets(y).select(block, F.explode("g").alias("gram")).groupBy(block, "gram").agg(F.count("*").alias("df"))
+
+    def prefix(df, name):
+        each = sets(df).select(block, "g", F.explode("g").alias("gram")).join(freq, [block, "gram"], "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
+        keep = F.size("g") - F.floor((F.size("g") * num + of - 1) / of) + 1
+        first = each.groupBy(block, "g").agg(order.alias("o")).select(block, "g", F.transform(F.slice("o", 1, keep.cast("int")), lambda e: e["gram"]).alias("p"))
+        return first.select(block, F.col("g").alias(f"g{name}"), F.col("p").alias(f"p{name}"), F.explode("p").alias("gram"))
+
+    near = (F.size("ga") * of >= F.size("gb") * num) & (F.size("gb") * of >= F.size("ga") * num)
+    met = prefix(x, "a").join(prefix(y, "b"), [block, "gram"]).filter(near & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram")))
+    met = met.select(block, "ga", "gb", overlap(F.col("ga"), F.col("gb")).alias("common"), F.size("ga").alias("size_a"), F.size("gb").alias("size_b"))
     both = F.col("size_a") + F.col("size_b")
-    top, of = (2 * F.col("common"), both) if dice else (F.col("common"), both - F.col("common"))
-    return met.filter(top * den >= of * min_num)
+    top, all_ = (2 * F.col("common"), both) if dice else (F.col("common"), both - F.col("common"))
+    return met.filter(top * den >= all_ * min_num), x, y
+
+
+def _named(ids: DataFrame, block: str, name: str) -> DataFrame:
+    return ids.select(F.col("id").alias(f"{name}_id"), block, F.col("g").alias(f"g{name}"))
 
 
 def fuzzy_join(cand: DataFrame, registry: DataFrame, block: str, k: int = 3, min_num: int = 3, den: int = 10) -> DataFrame:
     """(a_id, b_id, common, size_a, size_b, rank): the best k registry names of each candidate name above the similarity, by word trigrams (JN-7). Both: id, name, block."""
-    met = trigram_join(cand, registry, block, min_num, den, word_trigrams(F.col("name")))
+    met, x, y = trigram_join(cand, registry, block, min_num, den, word_trigrams(F.col("name")))
     met = met.filter(F.col("common") * den > (F.col("size_a") + F.col("size_b") - F.col("common")) * min_num)
     sim = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc(sim), "b_id"))).filter(F.col("rank") <= k)
+    # of rows with equal names the k smallest ids can be among the best; ranks hold for all candidates of one name
+    best = met.join(top_k(_named(y, block, "b"), [block, "gb"], [F.col("b_id")], k), [block, "gb"])
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(block, "ga").orderBy(F.desc(sim), "b_id"))).filter(F.col("rank") <= k)
+    return best.join(_named(x, block, "a"), [block, "ga"]).select("a_id", "b_id", "common", "size_a", "size_b", "rank")
 
 
 def dice_join(a: DataFrame, b: DataFrame, block: str, min_num: int, den: int, stop=STOPWORDS) -> DataFrame:
     """Pairs whose normalised names are similar by Dice over trigrams of the padded whole name; equal names always are (JN-8)."""
     norm = name_norm(F.col("name"), stop)
-    return trigram_join(a, b, block, min_num, den, F.when(norm != "", trigrams(F.concat(F.lit("  "), norm, F.lit(" ")))).otherwise(F.array().cast("array<string>")), dice=True)
+    grams = F.when(norm != "", trigrams(F.concat(F.lit("  "), norm, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
+    met, x, y = trigram_join(a, b, block, min_num, den, grams, dice=True)
+    return met.join(_named(x, block, "a"), [block, "ga"]).join(_named(y, block, "b"), [block, "gb"]).select("a_id", "b_id", "common", "size_a", "size_b")
 
 
 def split_matches(best: DataFrame, accept_num: int = 45, accept_den: int = 100) -> DataFrame:
