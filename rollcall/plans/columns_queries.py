@@ -70,15 +70,15 @@ def slugs(spark, sf):
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.slugify(F.col("text")).alias("slug"))
 
 
-@query("PRJ-8", "SELECT n_nationkey AS id, lower(strip_accents(trim(regexp_replace(concat(' ', n_name, '  é  '), '\\s+', ' ', 'g')))) AS key, trim(regexp_replace(concat(' ', n_name, '  é  '), '\\s+', ' ', 'g')) AS shown FROM nation")
+@query("PRJ-8", "SELECT doc_id AS id, lower(strip_accents(trim(regexp_replace(concat(' ', text, '  é  '), '\\s+', ' ', 'g')))) AS key, trim(regexp_replace(concat(' ', text, '  é  '), '\\s+', ' ', 'g')) AS shown FROM documents")
 def cities(spark, sf):
-    c = F.concat(F.lit(" "), "n_name", F.lit("  é  "))
-    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.norm_city(c).alias("key"), text.clean_city(c).alias("shown"))
+    c = F.concat(F.lit(" "), "text", F.lit("  é  "))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.norm_city(c).alias("key"), text.clean_city(c).alias("shown"))
 
 
-@query("PRJ-9", f"SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(text, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM documents WHERE lang = 'en'")
+@query("PRJ-9", f"SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(text, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM documents")
 def name_keys(spark, sf):
-    return read(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), text.name_key(F.col("text")).alias("name_key"))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.name_key(F.col("text")).alias("name_key"))
 
 
 @query("PRJ-10", f"SELECT doc_id AS id, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({STOP})), ' ') AS norm FROM documents")
@@ -178,7 +178,7 @@ def addresses(spark, sf):
     return df.select("id", ingest.trusted_address(F.col("t"), F.col("f"), F.col("p")).alias("addr"))
 
 
-@query("PRJ-26")
+@query("PRJ-26", duck("registry") + "SELECT id, lng + (CAST(('0x' || md5(id || ':1')[1:8]) AS BIGINT) % 10001 / 1e4 - 0.5e0) * 4e-3 AS lng, lat + (CAST(('0x' || md5(id || ':2')[1:8]) AS BIGINT) % 10001 / 1e4 - 0.5e0) * 4e-3 AS lat, true AS geo_approx FROM registry WHERE lng IS NOT NULL")
 def jittered(spark, sf):
     return geo.jitter(view(spark, sf, "registry").filter("lng IS NOT NULL").select("id", "lng", "lat"))
 

@@ -8,6 +8,7 @@ from ..functions import urls
 from ..operators import decide, health, ingest, match
 from ..operators import quality as q
 from ..operators.listing import top_k
+from ..operators.pages import page_text
 from ..queries import query
 from .adapters import NOW, duck, read, registry, view
 from .columns_queries import HOST, LAST, SOCIAL, toks
@@ -134,10 +135,13 @@ def first_result(spark, sf):
     return top_k(view(spark, sf, "results"), ["id"], [F.col("rank")], 1).select("id", "rank")
 
 
-@query("PRJ-19", CAND + """, rq AS (SELECT id, platform, page AS url, title FROM soc UNION ALL SELECT id, 'website', url, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rank, url) AS q FROM top5 WHERE score >= 2 OR nd > 0) WHERE q <= 2)
-SELECT rq.id, platform, url, name || chr(10) || city || chr(10) || department || chr(10) || '---' || chr(10) || url || chr(10) || '---' || chr(10) || title AS payload FROM rq JOIN entities e ON e.id = rq.id""")
+@query("PRJ-19", CAND + """, rq AS (SELECT id, platform, page AS url, title FROM soc UNION ALL SELECT id, 'website', url, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rank, url) AS q FROM top5 WHERE score >= 2 OR nd > 0) WHERE q <= 2),
+texts AS (SELECT DISTINCT 'http://' || replace(p_name, ' ', '-') || '.example.org/a' AS url, 'About ' || p_name || ' - Welcome to ' || p_name AS body FROM part WHERE p_partkey % 2 = 0)
+SELECT rq.id, platform, rq.url, name || chr(10) || city || chr(10) || department || chr(10) || '---' || chr(10) || rq.url || chr(10) || '---' || chr(10) || CASE WHEN platform = 'website' AND body IS NOT NULL THEN body ELSE title END AS payload FROM rq JOIN entities e ON e.id = rq.id LEFT JOIN texts ON texts.url = rq.url""")
 def requests(spark, sf):
-    texts = read(spark, sf, "pages").select("url", F.lit(None).cast("string").alias("text")).limit(0)
+    about = "concat('<title>About ', p_name, '</title><nav>menu</nav><p>Welcome to <b>', p_name, '</b><form>') AS html"
+    sites = read(spark, sf, "part").filter("p_partkey % 2 = 0").selectExpr("concat('http://', replace(p_name, ' ', '-'), '.example.org/a') AS url", about)
+    texts = page_text(sites.groupBy("url", "html").agg(F.lit(0).alias("page_id")))
     return decide.judge_requests(view(spark, sf, "entities").withColumn("description", F.col("department")), cands(spark, sf), texts)
 
 
@@ -171,12 +175,6 @@ def failures(spark, sf):
     return health.fold_failures(view(spark, sf, "probes")).select("id", "platform", "seq", "consecutive_failures", "first_fail_at")
 
 
-@query("STR-1", duck("probes") + ISLANDS + "SELECT id, platform, status, consecutive_failures FROM latest")
-def health_now(spark, sf):
-    """The batch twin of the link-health stream: the last state of every link."""
-    return health.latest_health(health.fold_failures(view(spark, sf, "probes"))).select("id", "platform", "status", "consecutive_failures")
-
-
 @query("JN-11", duck("probes") + ISLANDS + "SELECT DISTINCT id, platform, url FROM folded WHERE status = 'dead' AND consecutive_failures >= 2")
 def dead(spark, sf):
     f = health.fold_failures(view(spark, sf, "probes"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, urls
 from ..operators import agenda, health, ingest, listing, match, merge, pages
 from ..queries import query
-from ..streaming.jobs import rate_limit
 from .adapters import NOW, duck, read, registry, view
 from .columns_queries import STOP, toks
 
@@ -120,10 +119,11 @@ def dice(spark, sf):
     return match.dice_join(a, part.selectExpr("p_partkey AS id", "p_name AS name", "p_brand"), "p_brand", 1, 2).select("a_id", "b_id", "common")
 
 
-@query("JN-12", "SELECT o_orderkey AS id, page_id FROM orders JOIN pages ON page_id IN (o_orderkey % 300, o_custkey % 300) GROUP BY ALL")
+@query("JN-12", "SELECT o_orderkey AS id, page_id FROM orders JOIN pages ON page_id IN (o_orderkey % (SELECT count(*) FROM pages), o_custkey % (SELECT count(*) FROM pages)) GROUP BY ALL")
 def attached(spark, sf):
     p = read(spark, sf, "pages").select("page_id", "url")
-    o = read(spark, sf, "orders").selectExpr("o_orderkey AS id", "array_distinct(array(o_orderkey % 300, o_custkey % 300)) AS ks")
+    n = p.count()
+    o = read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"array_distinct(array(o_orderkey % {n}, o_custkey % {n})) AS ks")
     byid = o.select("id", F.explode("ks").alias("page_id")).join(p, "page_id").groupBy("id").agg(F.collect_list(F.struct("url", F.lit("t").alias("title"))).alias("listings"))
     return pages.attach_pages(p, pages.listings(byid)).select("id", "page_id").distinct()
 
@@ -214,13 +214,6 @@ def families(spark, sf):
     return merge.union_families(read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-@query("STR-2")
-def limited(spark, sf):
-    """The batch twin of the rate-limit stream, on all events."""
-    m = view(spark, sf, "marks").select("client", "seq", F.col("secs").cast("double").alias("at"))
-    return rate_limit(m, 6, 3600.0)
-
-
 @query("DEC-21")
 def crossed(spark, sf):
     names = pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",)).withColumn("department", F.substring("name_key", 1, 1))

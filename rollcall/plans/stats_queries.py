@@ -37,11 +37,15 @@ def progress(spark, sf):
     return stats.progress(registry(spark, sf))
 
 
-WORK = f", work AS (SELECT department, count(*) AS n FROM registry WHERE lng IS NOT NULL AND (NOT discovered OR {' OR '.join(f'({w})' for w in PENDING.values())}) AND id % 25 >= 4 GROUP BY department HAVING count(*) > 20), head AS (SELECT coalesce(min(position), (SELECT max(position) FROM territories)) AS place FROM territories JOIN work USING (department))"
+# territories before 04 have been worked through: their rows are discovered and marked
+DONE = "department < '04'"
+WORK = f", worked AS (SELECT * REPLACE ({', '.join(f'{c} OR {DONE} AS {c}' for c in ('discovered', *MARK.values()))}) FROM registry), work AS (SELECT department, count(*) AS n FROM worked WHERE lng IS NOT NULL AND (NOT discovered OR {' OR '.join(f'({w})' for w in PENDING.values())}) GROUP BY department HAVING count(*) > 20), head AS (SELECT coalesce(min(position), (SELECT max(position) FROM territories)) AS place FROM territories JOIN work USING (department))"
 
 
 def active(spark, sf):
-    return stats.active_territory(registry(spark, sf).filter("id % 25 >= 4"), view(spark, sf, "territories"))
+    marked = F.create_map(*[F.lit(x) for p in stats.PASSES for x in (p.marker, "1")])
+    done = registry(spark, sf).withColumns({"discovered": F.col("discovered") | F.expr(DONE), "markers": F.when(F.expr(DONE), marked).otherwise(F.col("markers"))})
+    return stats.active_territory(done, view(spark, sf, "territories"))
 
 
 @query("AGG-5", duck("registry", "territories") + WORK + " SELECT max(CASE WHEN position = place THEN department END) AS active, max(CASE WHEN position = place + 1 THEN department END) AS next, coalesce(string_agg(CASE WHEN position < place THEN department END, ',' ORDER BY department), '') AS done FROM territories, head")

@@ -9,7 +9,8 @@ from ..queries import ORACLE, query
 from ..sources import registry as sinks
 from ..sources.shared import shared_folder
 from ..streaming import jobs
-from .adapters import NOW, read, registry, view
+from .adapters import NOW, duck, read, registry, sql, view
+from .decision_queries import ISLANDS
 
 
 def stream(spark, sf, name):
@@ -48,11 +49,36 @@ def appended(df, out):
     return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-@query("STR-3")
+def stream_view(spark, sf, name):
+    """A view over the streamed events."""
+    return spark.sql(sql(name, "spark").replace("FROM events", "FROM {events}"), events=stream(spark, sf, "events"))
+
+
+@query("STR-1", duck("probes") + ISLANDS + "SELECT id, platform, seq, status, consecutive_failures, first_fail_at FROM folded")
+def health(spark, sf):
+    """The state of every link after every probe, from the stream."""
+    probes = stream_view(spark, sf, "probes").select("id", "platform", "url", "status", "checked_at", "seq")
+    return appended(jobs.health_stream(probes), shared_folder(spark)).select("id", "platform", "seq", "status", "consecutive_failures", "first_fail_at")
+
+
+@query("STR-2", duck("marks") + """, n AS (SELECT client, seq, secs, row_number() OVER (PARTITION BY client ORDER BY secs, seq) AS r FROM marks),
+f AS (WITH RECURSIVE f AS (
+  SELECT client, seq, r, true AS accepted, [secs] AS recent FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.client, n.seq, n.r, len(list_filter(recent, lambda x: x > secs - 3600)) < 6, CASE WHEN len(list_filter(recent, lambda x: x > secs - 3600)) < 6 THEN list_append(list_filter(recent, lambda x: x > secs - 3600), secs) ELSE list_filter(recent, lambda x: x > secs - 3600) END
+  FROM f JOIN n ON n.client = f.client AND n.r = f.r + 1) SELECT * FROM f)
+SELECT client, seq, accepted FROM f""")
+def limited(spark, sf):
+    """The rate limit on all events, from the stream."""
+    hits = stream_view(spark, sf, "marks").select(F.col("client").cast("long").alias("client"), "seq", F.col("secs").cast("double").alias("at"))
+    return appended(jobs.rate_limit_stream(hits, 6, 3600.0), shared_folder(spark)).select("client", "seq", "accepted")
+
+
+@query("STR-3", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS kind, count(DISTINCT user_id) AS visitors FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
 def visitors(spark, sf):
     """Days that the watermark has closed."""
     hits = stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts", "event_type AS kind", "CAST(user_id AS string) AS visitor")
-    return appended(jobs.visitors_stream(hits), shared_folder(spark))
+    return appended(jobs.visitors_stream(hits), shared_folder(spark)).withColumn("day", F.to_date("day"))
 
 
 @query("STR-6", """WITH w AS (SELECT epoch_us(ts) AS us, unnest(range(CAST(epoch_us(ts) // 600000000 AS BIGINT) - 11, CAST(epoch_us(ts) // 600000000 AS BIGINT) + 1)) * 600 AS s FROM events)
@@ -60,19 +86,19 @@ SELECT s AS start, count(*) AS n, CASE WHEN count(*) > 1 THEN CAST(floor((max(us
 def throughput(spark, sf):
     marks = stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts")
     rows = appended(jobs.throughput_stream(marks), shared_folder(spark))
-    return rows.select(F.unix_seconds("start").alias("start"), "n", F.floor(F.col("s_per_row") * 1e3 + 0.5).alias("ms_per_row"))
+    return rows.select(F.unix_seconds("start").alias("start"), "n", F.floor(F.col("us_per_row") / 1e3 + 0.5).alias("ms_per_row"))
 
 
 @query("STR-4", ORACLE["JN-1"])
 def register_drops(spark, sf):
     out = shared_folder(spark)
     base = read(spark, sf, "orders").filter("o_orderkey % 3 <> 2").selectExpr("o_orderkey AS ext_id", "o_orderpriority AS name", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 + 0.5D END AS lng", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 40 + 0.25D END AS lat", "'pending' AS status", "'manual' AS source", "0L AS updated_at")
-    base.write.parquet(jobs.versioned(f"{out}/base", 0))
+    jobs.write_base(base, f"{out}/base")
     drops = stream(spark, sf, "orders").selectExpr("o_orderkey div 2 * 2 AS ext_id", "concat('new ', o_orderpriority) AS name", "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 7 + 0.5D END AS lng", "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 9 + 0.5D END AS lat", "o_orderkey AS position")
     q = jobs.registry_stream(drops, f"{out}/base", f"{out}/at", lambda old, batch, k: merge.upsert(old, batch, F.lit(NOW).cast("long")))
     q.awaitTermination()
     last = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
-    return spark.read.parquet(jobs.versioned(f"{out}/base", last))
+    return jobs.read_base(spark, f"{out}/base", last)
 
 
 @query("STR-5", ORACLE["DEC-17"])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-HEALTH_OUT = "id long, platform string, url string, status string, checked_at long, consecutive_failures long, first_fail_at long"
+HEALTH_OUT = "id long, platform string, seq long, url string, status string, checked_at long, consecutive_failures long, first_fail_at long"
 
 
 def _fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -23,9 +23,9 @@ def _fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
             fails, first = fails + 1, first if first is not None else int(r.checked_at)
         elif r.status == "alive":
             fails, first = 0, None
-        out.append((*key, url, r.status, int(r.checked_at), fails, first))
+        out.append((*key, int(r.seq), url, r.status, int(r.checked_at), fails, first))
     state.update((url, fails, first))
-    yield pd.DataFrame(out, columns=["id", "platform", "url", "status", "checked_at", "consecutive_failures", "first_fail_at"]).astype({"first_fail_at": "Int64"})
+    yield pd.DataFrame(out, columns=["id", "platform", "seq", "url", "status", "checked_at", "consecutive_failures", "first_fail_at"]).astype({"first_fail_at": "Int64"})
 
 
 def health_stream(probes: DataFrame) -> DataFrame:
@@ -78,31 +78,62 @@ def rate_limit(hits: DataFrame, max_hits: int, window_s: float = 60.0) -> DataFr
     return dealt.mapInPandas(run, "client long, seq long, at double, accepted boolean")
 
 
-def visitors_stream(hits: DataFrame, late: str = "1 day") -> DataFrame:
-    """(day, kind, visitors) of hits (ts, kind, visitor), approximately distinct, closed by watermark (STR-3)."""
-    return hits.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.approx_count_distinct("visitor").alias("visitors")).select(F.col("w.start").alias("day"), "kind", "visitors")
+def visitors_stream(hits: DataFrame, late: str = "1 day", exact: bool = True) -> DataFrame:
+    """(day, kind, visitors) of hits (ts, kind, visitor), closed by watermark (STR-3).
+
+    Exact: a visitor counts once a day and kind, whose keys are held until the day is closed. ``exact=False`` holds a sketch a day and kind
+    instead, with a relative error of 5 %.
+    """
+    day = F.window("ts", "1 day").alias("w")
+    hits = hits.withWatermark("ts", late)
+    if exact:
+        counted = hits.select(day, "kind", "visitor").dropDuplicates(["w", "kind", "visitor"]).groupBy("w", "kind").agg(F.count("visitor").alias("visitors"))
+    else:
+        counted = hits.groupBy(day, "kind").agg(F.approx_count_distinct("visitor").alias("visitors"))
+    return counted.select(F.col("w.start").alias("day"), "kind", "visitors")
 
 
 def throughput_stream(marks: DataFrame) -> DataFrame:
-    """(start, n, s_per_row) of marks (ts) over two hours, every ten minutes (STR-6)."""
-    at = F.col("ts").cast("double")
+    """(start, n, us_per_row, s_per_row) of marks (ts) over two hours, every ten minutes (STR-6); the span is counted in whole microseconds."""
+    at = F.unix_micros("ts")
     w = marks.withWatermark("ts", "2 hours").groupBy(F.window("ts", "2 hours", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b"))
-    return w.select(F.col("w.start").alias("start"), "n", F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / (F.col("n") - 1)).alias("s_per_row"))
+    each = F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / (F.col("n") - 1))
+    return w.select(F.col("w.start").alias("start"), "n", each.alias("us_per_row"), (each / 1e6).alias("s_per_row"))
 
 
 def versioned(path: str, version: int) -> str:
     return f"{path}/v={version}"
 
 
-def registry_stream(files: DataFrame, base_path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame, int], DataFrame]):
+def write_base(base: DataFrame, path: str, key: str = "ext_id", buckets: int = 64, version: int = 0, old: DataFrame | None = None) -> None:
+    """A version of a base table, dealt to buckets by its key; ``old``: (bucket, version) of the buckets that it does not replace."""
+    spark = base.sparkSession
+    base.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{versioned(path, version)}/rows")
+    new = spark.read.parquet(f"{versioned(path, version)}/rows").select("bucket").distinct().withColumn("version", F.lit(version))
+    if old is not None:
+        new = new.unionByName(old.join(F.broadcast(new), "bucket", "left_anti"))
+    new.coalesce(1).write.mode("overwrite").parquet(f"{versioned(path, version)}/buckets")
+
+
+def read_base(spark: SparkSession, path: str, version: int, only: list[int] | None = None) -> DataFrame:
+    """The base table at a version, or some of its buckets: each from the version that last replaced it."""
+    where = [f"{versioned(path, v)}/rows/bucket={b}" for b, v in spark.read.parquet(f"{versioned(path, version)}/buckets").select("bucket", "version").collect() if only is None or b in only]
+    shape = spark.read.parquet(f"{versioned(path, 0)}/rows").drop("bucket").schema
+    return spark.read.schema(shape).parquet(*where) if where else spark.createDataFrame([], shape)
+
+
+def registry_stream(files: DataFrame, base_path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame, int], DataFrame], key: str = "ext_id", buckets: int = 64):
     """New register rows merged into a new version of the base table per micro-batch (STR-4).
 
-    Batch k reads version k and writes version k + 1 whole, so a batch that is run again writes the same version.
+    Batch k reads the buckets of version k that its keys fall in and writes those alone as version k + 1, with a list of the versions that
+    hold the other buckets; a batch that is run again writes the same version.
     """
 
     def one(batch: DataFrame, k: int) -> None:
-        base = batch.sparkSession.read.parquet(versioned(base_path, k))
-        merge(base, batch, k).write.mode("overwrite").parquet(versioned(base_path, k + 1))
+        spark = batch.sparkSession
+        touched = [r[0] for r in batch.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]  # at most ``buckets``
+        old = spark.read.parquet(f"{versioned(base_path, k)}/buckets")
+        write_base(merge(read_base(spark, base_path, k, touched), batch, k), base_path, key, buckets, k + 1, old)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
