@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_city, squeeze
+from ..sources.shared import small
 
 
 def valid_rows(df: DataFrame, id_: str = "id", name: str = "name", dissolved: str = "dissolved") -> DataFrame:
@@ -56,7 +57,7 @@ def geocode(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def place_by_locality(df: DataFrame, centroids: DataFrame) -> DataFrame:
     """Rows still without coordinates take the centre of their locality (city_key, postal, c_lng, c_lat), flagged approximate (JN-3)."""
-    out = df.withColumn("city_key", norm_city(F.col("city"))).join(F.broadcast(centroids), ["city_key", "postal"], "left")
+    out = df.withColumn("city_key", norm_city(F.col("city"))).join(small(centroids), ["city_key", "postal"], "left")
     miss = F.col("lng").isNull() & F.col("c_lng").isNotNull()
     return out.withColumns({"geo_approx": F.coalesce("geo_approx", F.lit(False)) | miss, "lat": F.when(miss, F.col("c_lat")).otherwise(F.col("lat")), "lng": F.when(miss, F.col("c_lng")).otherwise(F.col("lng"))}).drop("city_key", "c_lng", "c_lat")
 

@@ -17,26 +17,29 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 
 
 class _Text(HTMLParser):
-    """The title and the text outside chrome elements."""
+    """The title and the text outside chrome elements. One that is never closed hides nothing: its text stays."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title, self.title, self.parts = 0, False, [], []
+        self.open, self.title, self.parts = [], [], []
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in SKIPPED
-        self.in_title = self.in_title or tag == "title"
+        if tag not in VOID:
+            self.open.append((tag, len(self.parts)))
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED and self.hidden:
-            self.hidden -= 1
-        if tag == "title":
-            self.in_title = False
+        while any(name == tag for name, _ in self.open):
+            name, at = self.open.pop()
+            if name == tag:
+                if tag in SKIPPED:
+                    del self.parts[at:]
+                break
 
     def handle_data(self, data):
-        if self.in_title:
+        inside = self.open[-1][0] if self.open else ""
+        if inside == "title":
             self.title.append(data)
-        elif not self.hidden:
+        elif inside not in ("script", "style"):
             self.parts.append(data)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import small
 
 # Searchable fields in order of weight.
 FIELDS = ("name", "city", "category", "tags", "description")
@@ -13,7 +14,7 @@ FIELDS = ("name", "city", "category", "tags", "description")
 
 def search_doc(df: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, name, category, description, city, department, tags) with the category's label, empty if unknown (PRJ-16)."""
-    out = df.join(F.broadcast(categories), "category_id", "left")
+    out = df.join(small(categories), "category_id", "left")
     return out.select("id", "name", F.coalesce("label", F.lit("")).alias("category"), F.coalesce("description", F.lit("")).alias("description"), "city", "department", "tags")
 
 
@@ -27,7 +28,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(term, token): each term and its alternatives; one way unless listed both ways (SCH-2). synonyms: term, alternative."""
-    more = terms.join(F.broadcast(synonyms), "term").select("term", F.col("alternative").alias("token"))
+    more = terms.join(small(synonyms), "term").select("term", F.col("alternative").alias("token"))
     return terms.select("term", F.col("term").alias("token")).unionByName(more).distinct()
 
 
@@ -36,7 +37,7 @@ def match_ids(index: DataFrame, wanted: DataFrame, department: str | None = None
     from .listing import top_k
 
     hits = index.filter(F.col("department") == department) if department else index
-    return top_k(hits.join(F.broadcast(wanted), "token").select("term", "id").distinct(), ["term"], [F.col("id")], cap)
+    return top_k(hits.join(small(wanted), "token").select("term", "id").distinct(), ["term"], [F.col("id")], cap)
 
 
 def suggest(index: DataFrame, q: str, limit: int = 8, department: str | None = None) -> DataFrame:

@@ -96,3 +96,93 @@ def test_register_file(spark, tmp_path):
     p.write_bytes('id;titre;objet\n 1 ; "A; b" ;x\n2;short\n\n3;"q ""x""";y;extra\n'.encode())
     rows = sinks.read_registry(spark, str(p)).collect()
     assert [(r.id, r.titre) for r in rows] == [("1", "A; b"), ("2", "short"), ("3", 'q "x"')]
+
+
+@pytest.mark.parametrize("parts", [1, 8, 211])
+def test_global_position(spark, parts):
+    import random
+
+    from rollcall.operators.listing import global_position
+
+    rnd, before = random.Random(parts), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for _ in range(3 if parts > 8 else 10):
+            rows = [(rnd.randrange(40), i) for i in range(500)]
+            rnd.shuffle(rows)
+            got = global_position(spark.createDataFrame(rows, "k int, id int").repartition(7), ["k"]).collect()
+            assert sorted(r.position for r in got) == list(range(500)) and sorted((r.k, r.id) for r in got) == sorted(rows)
+            assert [r.k for r in sorted(got, key=lambda r: r.position)] == sorted(k for k, _ in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_radius_across_the_date_line_and_the_poles(spark):
+    import math
+    import random
+
+    from rollcall.functions.geo import within_radius
+
+    rnd = random.Random(3)
+    places = [(179.99, 10.0), (-179.99, 10.0), (180.0, 10.0), (-180.0, 10.1), (0.0, 89.99), (180.0, 89.99), (90.0, -89.9), (-90.0, -89.95), (0.0, 0.0)]
+    places += [(rnd.choice([-180, 0, 180]) + rnd.uniform(-1, 1), rnd.choice([-89, -70, 0, 60, 85, 89.5]) + rnd.uniform(-0.5, 0.5)) for _ in range(300)]
+    places = [(max(-180.0, min(180.0, x)), max(-90.0, min(90.0, y))) for x, y in places]
+    a = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)] + [(999, None, 1.0)], "a_id int, a_lng double, a_lat double")
+    b = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "b_id int, b_lng double, b_lat double")
+
+    def far(p, q):
+        (x, y), (u, v) = [map(math.radians, z) for z in (p, q)]
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
+
+    for km in (2.5, 30.0, 400.0):
+        want = {(i, j) for i, p in enumerate(places) for j, q in enumerate(places) if far(p, q) <= km}
+        got = [(r.a_id, r.b_id) for r in within_radius(a, b, km).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_text_of_elements_that_are_never_closed():
+    from rollcall.operators.pages import main_text
+
+    assert main_text("<title>T</title><body><form><p>kept</p><nav>menu</nav><br>more", 100) == "T - kept more"
+    assert main_text("<div><button>kept</div><nav>gone</nav><script>var x", 100) == "kept"
+    assert main_text("<form>gone</form>stays", 100) == "stays"
+
+
+def test_fuzzy_join_against_brute_force(spark):
+    import random
+
+    from rollcall.operators.match import dice_join, fuzzy_join
+
+    rnd = random.Random(5)
+    name = lambda: " ".join(rnd.choice(["club", "Clubs", "river", "rivers", "lac", "du lac", "amis", "ami", "x", "Éte"]) for _ in range(rnd.randint(0, 4)))
+    a = [(i, name(), rnd.choice("pq")) for i in range(60)]
+    b = [(i, name(), rnd.choice("pq")) for i in range(60)] + [(60, None, "p"), (61, "river", None)]
+
+    def grams(t):
+        words = [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+        return {p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+    want = set()
+    for i, t, p in a:
+        hits = [(-len(grams(t) & grams(u)) / len(grams(t) | grams(u)), j, len(grams(t) & grams(u))) for j, u, q in b if p == q and grams(t) and grams(u)]
+        want |= {(i, j, c, r + 1) for r, (s, j, c) in enumerate(sorted(h for h in hits if h[0] < -0.3)[:3])}
+    x, y = spark.createDataFrame(a, "id int, name string, block string"), spark.createDataFrame(b, "id int, name string, block string")
+    assert {(r.a_id, r.b_id, r.common, r["rank"]) for r in fuzzy_join(x, y, "block").collect()} == want
+    same = {(r.a_id, r.b_id) for r in dice_join(x, y, "block", 1, 1).collect()}
+    assert {(i, j) for i, t, p in a for j, u, q in b if p == q and t and t.lower() == (u or "").lower() and t != "x"} - {(i, j) for i, t, p in a for j, u, q in b if t.strip() in ("x", "x x", "x x x", "x x x x")} <= same
+
+
+def test_pages_of_platforms(spark):
+    from rollcall.functions.urls import canonical_social
+
+    links = {
+        "https://www.facebook.com/pages/Les-Amis/123456789": "https://www.facebook.com/Les-Amis/", "https://facebook.com/photo.php/x": None, "https://facebook.com/abc": None, "https://facebook.com/1234567/": None, "https://facebook.com/people/x/1": None,
+        "https://instagram.com/reel/abcd": None, "https://instagram.com/amis.club/": "https://www.instagram.com/amis.club/", "https://linkedin.com/school/lyc/about": "https://www.linkedin.com/school/lyc/", "https://linkedin.com/in/person": None,
+        "https://youtube.com/@amis": "https://youtube.com/@amis", "https://youtube.com/c/Amis/videos": "https://youtube.com/c/Amis/videos", "https://youtube.com/watch?v=1": None, "https://tiktok.com/@amis": "https://www.tiktok.com/@amis", "https://tiktok.com/tag/amis": None,
+        "https://x.com/amis/status/1": "https://twitter.com/amis", "https://twitter.com/search": None, "https://www.helloasso.com/associations/amis/adhesions": "https://www.helloasso.com/associations/amis", "https://helloasso.com/x": None, "https://other.org/amis": None, "https://facebook.com/": None,
+    }
+    got = {r.url: r.page for r in canonical_social(spark.createDataFrame([(u,) for u in links], "url string")).collect()}
+    assert got == {u: p for u, p in links.items() if p}
+    loose = {r.url for r in canonical_social(spark.createDataFrame([(u,) for u in links], "url string"), strict=False).collect()}
+    assert {"https://facebook.com/abc", "https://facebook.com/1234567/", "https://linkedin.com/in/person"} <= loose
