@@ -1,8 +1,12 @@
 """Operator 3 [native]: chat formatting by quotation linking.
 
 Lines that begin with ``>`` marks are quotes of a nesting level. Runs of equal level make a passage; its normalised form is hashed and
-joined to the messages of the same conversation, by line, by neighbouring lines or whole, that came before. The nearest earlier author of a passage is the
-message that is answered; messages are then ordered by replies and given without their quotes.
+linked to the messages of the same conversation, by line, by neighbouring lines or whole, that came before: passages and originals of one
+hash are put in the order of their turns and each passage takes the last original before it, so no pairs are made. The nearest earlier
+author of a passage is the message that is answered; messages are then ordered by replies and given without their quotes.
+
+No conversation, passage or thread is gathered in one task: running sums and maxima are taken within blocks of turns and carried from
+block to block, and threads are resolved by doubling, in a number of rounds that grows with the logarithm of their nesting.
 """
 
 from __future__ import annotations
@@ -10,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, skew_join, staged
+from .common import bounded, dropped, shared_dir, staged
+
+#: Turns of one block: what one task has to order at a time of a conversation.
+BLOCK = 1024
 
 
 def parse_lines(text: Column) -> Column:
@@ -34,36 +41,70 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
+def whole_runs(text: Column) -> Column:
+    """The runs of lines without quotes between them, normalised; quote marks with nothing behind them count as blank lines."""
+    marks = r"(?md)^(?:[ \t]{0,3}>)++"
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), marks + r"[ \t\r]*$", "")
+    runs = F.split(F.regexp_replace(text, marks + r"[^\n]*$", "\0"), "\0")
+    return F.filter(F.transform(runs, normalise), lambda r: r != "")
+
+
+def running(df: DataFrame, by: list[str], order: str, inclusive: bool = False, tie: tuple[str, ...] = (), **values: tuple[str, Column]) -> DataFrame:
+    """``df`` with a column for each of ``values``, ("sum" or "max", column): over the rows of the group before this one, or up to it.
+
+    ``order`` is a bigint; a window orders a block of BLOCK of its values, and what the blocks before add up to is joined to each block.
+    """
+    df = df.withColumn("_b", F.floor(F.col(order) / BLOCK)).withColumns({f"_{k}": c for k, (_, c) in values.items()})
+    how = {"sum": F.sum, "max": F.max}
+    block = Window.partitionBy(*by, "_b").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*by, "_b").agg(*[how[a](f"_{k}").alias(f"_t_{k}") for k, (a, _) in values.items()])
+    blocks = blocks.select(*by, "_b", *[how[a](f"_t_{k}").over(before).alias(f"_c_{k}") for k, (a, _) in values.items()])
+    inner = df.select("*", *[how[a](f"_{k}").over(block).alias(f"_i_{k}") for k, (a, _) in values.items()])
+    met = inner.join(blocks, [*by, "_b"])
+    both = lambda k, a: F.greatest(f"_i_{k}", f"_c_{k}") if a == "max" else F.coalesce(f"_i_{k}", F.lit(0)) + F.coalesce(f"_c_{k}", F.lit(0))
+    return met.withColumns({k: both(k, a) for k, (a, _) in values.items()}).drop("_b", *[f"{p}_{k}" for k in values for p in ("", "_t", "_c", "_i")])
+
+
+def _hashes(text: Column, lines: Column) -> list[Column]:
+    """128 bits that stand for a normalised passage, 0 lines for a line or a run of any length, else for so many neighbouring lines."""
+    return [F.xxhash64(text, lines, F.lit(1)).alias("h1"), F.xxhash64(text, lines, F.lit(2)).alias("h2")]
+
+
 def link_quotes(chats: DataFrame) -> DataFrame:
     """(conv_id, turn, level, line, passage, source_turn): every quoted passage (neighbouring lines with words of one level), linked to the nearest earlier turn that holds it; null if none does.
 
     A turn holds a passage if it equals one of its own lines, as many neighbouring own lines as the passage has, or a whole run of them (wrapped
-    in any way). Lines without words don't count.
+    in any way). Lines without words don't count. ``chats``: conv_id, turn (bigint), text; a (conv_id, turn) once.
     """
-    lines = chats.select("conv_id", "turn", F.posexplode(parse_lines(F.col("text"))).alias("line", "l")).select("conv_id", "turn", "line", F.col("l.level").alias("level"), normalise(F.col("l.body")).alias("body")).filter("body <> ''")
+    at = shared_dir(chats.sparkSession)
+    quoting = chats.select("conv_id", "turn", parse_lines(F.col("text")).alias("l")).filter(F.exists("l", lambda x: x["level"] > 0))
+    lines = quoting.select("conv_id", "turn", F.posexplode("l").alias("line", "l")).select("conv_id", "turn", "line", F.col("l.level").alias("level"), normalise(F.col("l.body")).alias("body")).filter("body <> ''")
+    # a passage: neighbouring lines of one level of one message
     w = Window.partitionBy("conv_id", "turn").orderBy("line")
-    # a passage: neighbouring lines of one level
     runs = lines.withColumn("new", F.when(F.col("level") == F.lag("level", 1, -1).over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    passages = runs.groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ").alias("passage"))
-    quoted = passages.filter("level > 0").withColumn("h", F.xxhash64("passage"))
-    own = runs.filter("level = 0").select("conv_id", F.col("turn").alias("source_turn"), F.col("body").alias("original"))
-    whole = passages.filter("level = 0").select("conv_id", F.col("turn").alias("source_turn"), F.col("passage").alias("original"))
-    known = own.union(whole).union(_neighbours(chats, quoted)).distinct().withColumn("h", F.xxhash64("original"))
-    met = quoted.join(known, ["conv_id", "h"], "left")
-    right = (F.col("original") == F.col("passage")) & (F.col("source_turn") < F.col("turn"))
-    return met.groupBy("conv_id", "turn", "run", "level", "line", "passage").agg(F.max(F.when(right, F.col("source_turn"))).alias("source_turn")).drop("run")
-
-
-def _neighbours(chats: DataFrame, quoted: DataFrame) -> DataFrame:
-    """(conv_id, source_turn, original): neighbouring own lines of every message, of the sizes that passages of its conversation have.
-
-    The distinct sizes of a conversation add up to its quoted lines at most, so they are few beside the lines.
-    """
-    sizes = quoted.filter("size > 1").groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ")
+    quoted = runs.filter("level > 0").groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("size"), body.alias("passage"))
+    # looked for as a line or a run, and as so many neighbouring lines
+    quoted = quoted.withColumn("n", F.explode(F.array_distinct(F.array(F.lit(0), F.when(F.col("size") > 1, F.col("size")).otherwise(0)))))
+    quoted = staged(quoted.select("*", *_hashes(F.col("passage"), F.col("n"))), at, "quoted")
+
+    # what may be quoted, of conversations that quote: own lines, neighbouring ones of the sizes that passages have, whole runs
+    sizes = staged(quoted.groupBy("conv_id").agg(F.collect_set("size").alias("sizes")), at, "sizes")
     mine = F.filter(F.transform(F.filter(parse_lines(F.col("text")), lambda x: x["level"] == 0), lambda x: normalise(x["body"])), lambda b: b != "")
-    each = skew_join(chats.select("conv_id", "turn", mine.alias("own")), sizes, "conv_id").select("conv_id", "turn", "own", F.explode("sizes").alias("size"))
-    begun = each.filter(F.size("own") >= F.col("size")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("own") - F.col("size") + 1)))
-    return begun.select("conv_id", F.col("turn").alias("source_turn"), F.array_join(F.slice("own", F.col("i"), F.col("size")), " ").alias("original"))
+    said = chats.join(F.broadcast(sizes) if bounded(sizes, 200) else sizes, "conv_id").select("conv_id", "turn", "sizes", mine.alias("own"), whole_runs(F.col("text")).alias("runs"))
+    neighbours = lambda n: F.when(F.size("own") >= n, F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.struct(F.array_join(F.slice("own", i, n), " ").alias("text"), n.alias("n")))).otherwise(F.array().cast("array<struct<text:string,n:int>>"))
+    alone = F.transform(F.concat("own", "runs"), lambda t: F.struct(t.alias("text"), F.lit(0).alias("n")))
+    texts = F.array_distinct(F.concat(alone, F.flatten(F.transform(F.filter("sizes", lambda n: n > 1), neighbours))))
+    known = said.select("conv_id", "turn", F.inline(texts)).select("conv_id", "turn", *_hashes(F.col("text"), F.col("n")))
+    wanted = quoted.select("conv_id", "h1", "h2").distinct()
+    known = known.join(F.broadcast(wanted) if bounded(wanted, 64) else wanted, ["conv_id", "h1", "h2"], "left_semi")
+
+    none = F.lit(None).cast("struct<run:bigint,level:int,line:int,passage:string>")
+    quotes = quoted.select("conv_id", "h1", "h2", "turn", F.lit(0).alias("kind"), F.struct("run", "level", "line", "passage").cast("struct<run:bigint,level:int,line:int,passage:string>").alias("q"))
+    both = quotes.unionByName(known.select("conv_id", "h1", "h2", "turn", F.lit(1).alias("kind"), none.alias("q")))
+    met = running(both, ["conv_id", "h1", "h2"], "turn", tie=("kind",), source_turn=("max", F.when(F.col("kind") == 1, F.col("turn"))))
+    return met.filter("kind = 0").groupBy("conv_id", "turn", "q.run", "q.level", "q.line", "q.passage").agg(F.max("source_turn").alias("source_turn")).drop("run")
 
 
 def reply_order(chats: DataFrame) -> DataFrame:
@@ -71,42 +112,61 @@ def reply_order(chats: DataFrame) -> DataFrame:
 
     reply_to: the source of the first linked quote of the outermost level; a message without one answers the turn before it in its
     conversation; the first has none. depth counts replies from the root; position is the place in the conversation read thread by thread
-    (parents before their answers, answers to one message by turn). text is without quotes. Of repeated (conv_id, turn) rows the least (role, text) counts; rows with null
-    conv_id or turn go; null texts are empty. Conversations are never gathered whole: windows stream through them.
+    (parents before their answers, those to a later message of a run first, answers to one message by turn). text is without quotes, however
+    long. Of repeated (conv_id, turn) rows the least (role, text) counts; rows with null conv_id or turn go; null texts are empty; an empty
+    table gives no rows; other columns are ignored. turn is a whole number.
     """
-    chats = chats.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    at = shared_dir(chats.sparkSession)
+    chats = chats.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    chats = chats.groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     links = link_quotes(chats).groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source_turn").alias("n_linked"), F.min(F.when(F.col("source_turn").isNotNull(), F.struct("level", "line", "source_turn"))).alias("first"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    msgs = chats.join(links, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce(F.col("first.source_turn"), F.lag("turn").over(w)))
-    msgs = msgs.withColumn("jump", F.col("first.source_turn").isNotNull() & ~F.col("first.source_turn").eqNullSafe(F.lag("turn").over(w)))
+    msgs = chats.select("conv_id", "turn", "role", own_text(parse_lines(F.col("text"))).alias("text")).join(links, ["conv_id", "turn"], "left")
+    msgs = running(msgs, ["conv_id"], "turn", before=("max", F.col("turn")), idx=("sum", F.lit(1).cast("long")))
+    source = F.col("first.source_turn")
+    msgs = msgs.withColumn("jump", source.isNotNull() & ~source.eqNullSafe(F.col("before")))
     # a linked reply to another message than the last begins a branch; the messages after it go on in it
-    rows = Window.unboundedPreceding, Window.currentRow
-    branch = F.coalesce(F.max(F.when(F.col("jump"), F.col("turn"))).over(w.rowsBetween(*rows)), F.min("turn").over(w.rowsBetween(*rows)))
-    msgs = msgs.withColumn("branch", branch).withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "branch").orderBy("turn")) - 1)
-    msgs = msgs.select("conv_id", "turn", "role", own_text(parse_lines(F.col("text"))).alias("text"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", "jump", "branch", "rank")
-    msgs = staged(msgs, shared_dir(chats.sparkSession), "messages")
-    paths = _branch_paths(msgs)
-    placed = msgs.join(paths, ["conv_id", "branch"])
-    position = F.row_number().over(Window.partitionBy("conv_id").orderBy("path", "turn")).cast("long")
-    return placed.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", (F.col("base") + F.col("rank")).cast("long").alias("depth"), position.alias("position"))
-
-
-def _branch_paths(msgs: DataFrame) -> DataFrame:
-    """(conv_id, branch, path, base): the depth of a branch's first message, and a path whose order is that of reading thread by thread.
-
-    A branch's path is its parent's, then the turn it is attached to (the later first, as in a walk down the thread) and its own. A join
-    resolves the branches of one nesting level at a time; no conversation is gathered in one place.
+    begins = F.col("jump") | F.col("before").isNull()
+    msgs = running(msgs, ["conv_id"], "turn", inclusive=True, branch=("max", F.when(begins, F.col("turn"))), start=("max", F.when(begins, F.col("idx"))))
+    msgs = msgs.select("conv_id", "turn", "role", "text", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(source, F.col("before")).alias("reply_to"), "jump", "branch", (F.col("idx") - F.col("start")).alias("rank"))
+    msgs = staged(msgs, at, "messages")
+    placed = msgs.join(_branches(msgs, at), ["conv_id", "branch"])
+    return placed.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", (F.col("base") + F.col("rank")).alias("depth"), (F.col("off") + F.col("rank") + 1).alias("position"))
+
+
+def _doubled(nodes: DataFrame, at: str, name: str, sums: list[str], up: bool) -> DataFrame:
+    """``nodes`` (conv_id, branch, parent, ...) with the columns ``sums`` added up along the tree: over a node and all below it (``up``), or over it and all above it.
+
+    Each round doubles the distance that has been added up, until no node has an ancestor that far.
+    """
+    df, k = staged(nodes.withColumn("anc", F.col("parent")), at, f"{name}-0"), 0
+    while not df.filter("anc IS NOT NULL").isEmpty():
+        far = df.select("conv_id", F.col("branch").alias("anc"), F.col("anc").alias("next"), *[F.col(s).alias(f"_{s}") for s in sums])
+        step = df.join(far if not up else far.select("conv_id", "anc", "next"), ["conv_id", "anc"], "left")
+        if up:
+            below = df.filter("anc IS NOT NULL").groupBy("conv_id", F.col("anc").alias("branch")).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+            step = step.join(below, ["conv_id", "branch"], "left")
+        step = step.withColumns({s: F.col(s) + F.coalesce(f"_{s}", F.lit(0)) for s in sums} | {"anc": F.col("next")})
+        df, k = staged(step.select(*df.columns), at, f"{name}-{k + 1}"), k + 1
+        dropped(nodes.sparkSession, at, f"{name}-{k - 1}")
+    return df.drop("anc")
+
+
+def _branches(msgs: DataFrame, at: str) -> DataFrame:
+    """(conv_id, branch, off, base): how many messages are read before a branch's first one, and the depth of that.
+
+    A branch is read after the whole run of messages it hangs on; of several on one run, those on a later message first, then by turn.
     """
-    at = shared_dir(msgs.sparkSession)
-    begun = msgs.filter("jump").select("conv_id", "branch", F.col("reply_to").alias("attach"))
-    parents = msgs.select("conv_id", F.col("turn").alias("attach"), F.col("branch").alias("parent"), "rank")
-    open_ = staged(begun.join(parents, ["conv_id", "attach"]), at, "open")
-    level = msgs.filter("NOT jump AND rank = 0 AND branch = turn").select("conv_id", "branch", F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("long").alias("base"))
-    out, k = level, 0
-    while not open_.isEmpty():
-        up = level.select("conv_id", F.col("branch").alias("parent"), "path", "base")
-        path = F.concat("path", F.array(-F.col("attach").cast("long"), F.col("branch").cast("long")))
-        level = staged(open_.join(up, ["conv_id", "parent"]).select("conv_id", "branch", path.alias("path"), (F.col("base") + F.col("rank") + 1).alias("base")), at, f"level-{k}")
-        open_ = staged(open_.join(level.select("conv_id", "branch"), ["conv_id", "branch"], "left_anti"), at, f"open-{k}")
-        out, k = out.unionByName(level), k + 1
-    return out
+    size = msgs.groupBy("conv_id", "branch").agg(F.count("*").alias("len"), F.min(F.when(F.col("jump") & (F.col("rank") == 0), F.col("reply_to"))).alias("attach"))
+    where = msgs.select("conv_id", F.col("turn").alias("attach"), F.col("branch").alias("parent"), (F.col("rank") + 1).alias("base"))
+    nodes = staged(size.join(where, ["conv_id", "attach"], "left").withColumn("tree", F.col("len")), at, "nodes")
+    tree = _doubled(nodes, at, "tree", ["tree"], up=True)
+    # what is read before a branch, counted from its parent's first message: the parent's run and the trees of earlier siblings
+    hung = tree.filter("parent IS NOT NULL")
+    spots = hung.groupBy("conv_id", "parent", "attach").agg(F.sum("tree").alias("spot")).withColumn("order", -F.col("attach"))
+    spots = running(spots, ["conv_id", "parent"], "order", later=("sum", F.col("spot"))).select("conv_id", "parent", "attach", "later")
+    hung = running(hung, ["conv_id", "parent", "attach"], "branch", earlier=("sum", F.col("tree")))
+    hung = hung.join(spots, ["conv_id", "parent", "attach"]).join(nodes.select("conv_id", F.col("branch").alias("parent"), F.col("len").alias("run")), ["conv_id", "parent"])
+    offs = hung.select("conv_id", "branch", "parent", (F.col("run") + F.col("later") + F.col("earlier")).alias("off"), "base")
+    zero = F.lit(0).cast("long")
+    roots = nodes.filter("parent IS NULL").select("conv_id", "branch", "parent", zero.alias("off"), zero.alias("base"))
+    return _doubled(roots.unionByName(offs), at, "offs", ["off", "base"], up=False).select("conv_id", "branch", "off", "base")

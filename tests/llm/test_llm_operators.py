@@ -168,6 +168,102 @@ def test_quotes_of_neighbouring_lines(spark):
     assert out[3, 0].n_quotes == 1 and out[3, 0].n_linked == 0
 
 
+def threads_by_hand(rows):
+    """{(conv, turn): (text, n_quotes, n_linked, reply_to, depth, position)}, message by message."""
+    out = {}
+    for conv in sorted({c for c, *_ in rows}):
+        said = {t: x or "" for c, t, _, x in sorted(rows, key=lambda r: r[1]) if c == conv}
+        lines, reply = {}, {}
+        for t, x in said.items():
+            lines[t] = []
+            for line in re.split("\r?\n", x):
+                marks = re.match(r"(?:[ \t]{0,3}>)*", line)[0]
+                lines[t].append((marks.count(">"), line[len(marks) :]))
+        clean = lambda b: " ".join(b.lower().split())
+
+        def runs(t, lines=lines, clean=clean):
+            found = []
+            for i, (level, b) in enumerate(lines[t]):
+                if clean(b):
+                    if not found or found[-1][0] != level:
+                        found.append((level, i, []))
+                    found[-1][2].append(clean(b))
+            return found
+
+        def holds(t, passage, runs=runs, lines=lines, clean=clean):
+            own = [clean(b) for level, b in lines[t] if level == 0 and clean(b)]
+            n = len(passage)
+            whole = [" ".join(r) for level, _, r in runs(t) if level == 0]
+            text = " ".join(passage)
+            return text in own or text in whole or any(" ".join(own[i : i + n]) == text for i in range(len(own) - n + 1))
+
+        turns = list(said)
+        for k, t in enumerate(turns):
+            quotes = [(level, i, max((u for u in turns[:k] if holds(u, r)), default=None)) for level, i, r in runs(t) if level]
+            linked = sorted(q for q in quotes if q[2] is not None)
+            reply[t] = (len(quotes), len(linked), linked[0][2] if linked else turns[k - 1] if k else None)
+        # runs of messages that answer the one before; a branch hangs on the message it answers
+        depth, branches, hangs = {}, {}, {}
+        for k, t in enumerate(turns):
+            up = reply[t][2]
+            depth[t] = 0 if up is None else depth[up] + 1
+            if k and up == turns[k - 1]:
+                last.append(t)
+            else:
+                last = branches[t] = [t]
+                hangs.setdefault(up, []).append(t)
+        order = []
+
+        def walk(start, branches=branches, hangs=hangs, order=order):
+            order.extend(branches[start])
+            for t in reversed(branches[start]):
+                for b in hangs.get(t, []):
+                    walk(b)
+
+        for root in hangs.get(None, []):
+            walk(root)
+        for t in turns:
+            own = "\n".join(b for level, b in lines[t] if level == 0).strip()
+            out[conv, t] = (own, *reply[t], depth[t], order.index(t) + 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_quotes_against_brute_force(spark, monkeypatch, block):
+    from rollcall.llm import quotes
+
+    monkeypatch.setattr(quotes, "BLOCK", block)
+    rnd, rows = random.Random(11), []
+    for conv in range(120):
+        said = []
+        for t in range(rnd.randint(1, 14)):
+            parts = []
+            for _ in range(rnd.randint(1, 3)):
+                if said and rnd.random() < 0.6:
+                    lines = rnd.choice(said[-4:] if rnd.random() < 0.5 else said).split("\n")
+                    i = rnd.randrange(len(lines))
+                    some = lines[i : i + rnd.randint(1, 3)]
+                    if rnd.random() < 0.2:
+                        some = [" ".join(some)]
+                    mark = rnd.choice(["> ", ">", ">  > ", "  > "])
+                    parts += [mark + (x.upper() if rnd.random() < 0.3 else x) for x in some]
+                if rnd.random() < 0.8:
+                    parts += [" ".join(rnd.choice(["yes", "no", "thanks", "maybe so", "Éa", "t%d" % t]) for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(1, 3))]
+                if rnd.random() < 0.2:
+                    parts.append(rnd.choice(["", ">", "> >  "]))
+            said.append("\n".join(parts))
+            rows.append((conv, t * 3 - 5, "user", said[-1]))
+    # each answers the one before the last: a thread as deep as it gets
+    rows += [(500, t, "user", (f"> line {t - 2}\n" if t > 1 else "") + f"line {t}") for t in range(40)]
+    rows += [(501, 0, "user", "first"), *[(501, t, "user", "> first\nagain") for t in range(1, 30)]]
+    rows += [(502, 0, "user", "word " * 40_000 + "\nend"), (502, 1, "a", "x"), (502, 2, "user", "> end")]
+    df = spark.createDataFrame([(c, t, r, x, 1, 2) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, _b int, idx int")
+    got = {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, r.reply_to, r.depth, r.position) for r in reply_order(df.repartition(5)).collect()}
+    want = threads_by_hand(rows)
+    assert sum(w[2] for w in want.values()) > 300
+    assert {k: (got.get(k), w) for k, w in want.items() if got.get(k) != w} == {} and len(got) == len(want)
+
+
 # 4
 
 
