@@ -1,8 +1,9 @@
 """Operator 9: quality rules by distribution divergence.
 
 Each text's histograms over character classes and over common words are held against language references, the means of the histograms
-of the documents of a language that pass the base rules. Jensen-Shannon distance to the nearest reference decides, for words over the common words alone; the
-share that common words have in a text is held against that in its language. Texts under the minimum lengths are not judged.
+of the documents of a language that pass the base rules. Three Jensen-Shannon distances decide: of the character classes and of the mix of
+common words to the nearest reference, and of the share that common words have to that in the text's language. Texts under the minimum
+lengths are not judged.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, text_batches
+from .common import dropped, shared_dir, staged, text_batches
 from .words import text_chunks, word_hashes
 
 # Common function words of four languages, a parameter of the operator.
@@ -29,10 +30,12 @@ COMMON_WORDS = tuple(sorted(set(COMMON_WORDS)))
 CLASSES = ("lower", "upper", "digit", "space", "period", "mark", "symbol", "other_ascii", "letter", "rest")
 #: Guards: characters and words that a text needs before its histogram is judged.
 LEAST_CHARS, LEAST_WORDS = 200, 40
-#: Largest distances (0 to 1) to the nearest language reference.
-MOST_CHAR, MOST_WORD = 0.30, 0.60
-#: Common words that a text needs before their mix is judged, and the least share of them as a part of the reference's share.
-LEAST_COMMON, LEAST_SHARE = 40, 0.35
+#: Limits follow from the documents' own distances to their references: the median and SPREAD times what lies between it and the upper
+#: quartile, over the judged documents of languages with a reference, within these bounds (character classes, mix of the common words,
+#: their share of all words). Distances are counted in steps of 1 / STEPS.
+BOUNDS, SPREAD, STEPS = {"char_distance": (0.25, 0.35), "word_distance": (0.65, 0.75), "share_distance": (0.20, 0.26)}, 8, 1000
+#: Common words that a text needs before their mix is judged.
+LEAST_COMMON = 40
 #: Documents (guarded, past the base rules) that a language needs for a reference, and values of ``lang`` that name no language.
 LEAST_DOCS = 20
 NO_LANGUAGE = ("", "und", "mis", "mul", "zxx")
@@ -109,12 +112,12 @@ def _features(common: tuple[str, ...]):
 
 
 def shares(hist: np.ndarray) -> np.ndarray:
-    """Rows of counts as rows of shares; an empty row stays 0."""
+    """Rows of counts (whole numbers) as rows of shares; an empty row stays 0."""
     return hist / np.maximum(hist.sum(1, keepdims=True), 1)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The Jensen-Shannon distance (base 2, 0 to 1) of each row of p to the histogram q."""
+    """The Jensen-Shannon distance (base 2, 0 to 1) of each row of p to the histogram q, or to its row of q."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left, right = np.where(p > 0, p * np.log2(p / m), 0.0), np.where(q > 0, q * np.log2(q / m), 0.0)
@@ -158,23 +161,24 @@ def _distances(shared, width: int):
         names = {name: i for i, (name, _, _) in enumerate(refs)}
         usual = np.array([1 - r[-1] for _, _, r in refs])
         # without the last place, that of all other words; a reference without common words has no mix
-        mixes = [shares(r[None, :-1])[0] for _, _, r in refs if r[:-1].any()]
+        mixes = [r[:-1] / r[:-1].sum() for _, _, r in refs if r[:-1].any()]
         for batch in batches:
             chars, words = _matrix(batch.column("chars"), len(CLASSES)), _matrix(batch.column("words"), width)
             ok = _guarded(chars, batch.column("n_words").to_numpy()) & bool(refs)
             mixed = ok & (words[:, :-1].sum(1) >= LEAST_COMMON) & bool(mixes)
             near, mix, part = (np.full(len(ok), np.nan) for _ in range(3))
+            own = np.array([names.get(x or "", -1) for x in batch.column("lang").to_pylist()], np.int64)
             if ok.any():
                 each = np.array([jensen_shannon(shares(chars[ok]), r) for _, r, _ in refs])
                 near[ok] = each.min(0)
-                # the share of the text's own language, of the nearest reference if it has none
-                own = np.array([names.get(x or "", -1) for x in batch.column("lang").to_pylist()])[ok]
-                want = usual[np.where(own >= 0, own, each.argmin(0))]
-                part[ok] = np.where(want > 0, (1 - shares(words[ok])[:, -1]) / np.where(want > 0, want, 1), 1.0)
+                # the share in the text's own language, in the nearest reference if it has none
+                want = usual[np.where(own[ok] >= 0, own[ok], each.argmin(0))]
+                got = 1 - shares(words[ok])[:, -1]
+                part[ok] = jensen_shannon(np.stack([got, 1 - got], 1), np.stack([want, 1 - want], 1))
             if mixed.any():
                 mix[mixed] = np.min([jensen_shannon(shares(words[mixed][:, :-1]), m) for m in mixes], axis=0)
             out = [pa.array(np.round(x, 6), mask=~m) for x, m in ((near, ok), (mix, mixed), (part, ok))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:7], *out], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "word_share"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:7], *out, pa.array(own >= 0)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "share_distance", "known"])
 
     return run
 
@@ -202,17 +206,40 @@ def references(feats: DataFrame, width: int = len(COMMON_WORDS) + 1) -> list[tup
     return out
 
 
-def quality_report(docs: DataFrame, most_char: float = MOST_CHAR, most_word: float = MOST_WORD, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance) for every row.
+def limits(judged: DataFrame) -> dict[str, float]:
+    """The largest distances that are kept, from counts of the distances of all documents that pass the base rules."""
+    rows = judged.select(*[F.struct(F.lit(k).alias("measure"), F.floor(F.col(k) * STEPS).cast("int").alias("step")).alias(k) for k in BOUNDS])
+    rows = rows.select(F.inline(F.array(*BOUNDS))).filter("step IS NOT NULL").groupBy("measure", "step").count().collect()  # STEPS + 1 rows a measure
+    out = {}
+    for k, (least, most) in BOUNDS.items():
+        steps = sorted((r["step"], r["count"]) for r in rows if r["measure"] == k)
+        upto, quantile = 0, {}
+        for step, n in steps:
+            upto += n
+            for q in (0.5, 0.75):
+                if upto >= q * sum(c for _, c in steps):
+                    quantile.setdefault(q, (step + 1) / STEPS)
+        out[k] = min(most, max(least, quantile[0.5] + SPREAD * (quantile[0.75] - quantile[0.5]))) if steps else least
+    return out
+
+
+def quality_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, share_distance) for every row.
 
-    word_distance is that of the common words' mix, null for texts with fewer than LEAST_COMMON of them; a text whose share of common words is
-    under ``least_share`` of its language's is not kept. Null texts have no words and fail the base; repeated rows each keep their row; columns other than doc_id, text and lang are ignored.
-    Each distinct ``lang`` value with LEAST_DOCS documents or more has one reference row on the driver; without any reference nothing is judged.
+    char_distance: of the character classes, to the nearest reference. word_distance: of the mix of common words, to the nearest, null for
+    texts with fewer than LEAST_COMMON of them. share_distance: of common and other words, to the text's own language. Each above its limit
+    (``limits``) is not kept; so are texts that fail the base rules. Null texts have no words and fail the base; repeated rows each keep
+    their row; columns other than doc_id, text and lang are ignored. Each distinct ``lang`` value with LEAST_DOCS documents or more has one
+    reference row on the driver; without any reference nothing is judged.
     """
-    feats, width = staged(features(docs), shared_dir(docs.sparkSession), "features"), len(COMMON_WORDS) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(references(feats, width))
-    shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, word_share double"
-    out = feats.mapInArrow(_distances(shared, width), shape)
+    spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
+    feats, width = staged(features(docs), at, "features"), len(COMMON_WORDS) + 1
+    shared = spark.sparkContext.broadcast(references(feats, width))
+    shape = f"doc_id {dict(feats.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, share_distance double, known boolean"
+    out = staged(feats.mapInArrow(_distances(shared, width), shape), at, "distances")
+    dropped(spark, at, "features")
     failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    strange = F.coalesce((F.col("char_distance") > most_char) | F.coalesce(F.col("word_distance") > most_word, F.lit(False)) | (F.col("word_share") < least_share), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), "char_distance", "word_distance")
+    strange = F.lit(False)
+    for k, most in limits(out.filter(~failed & F.col("known"))).items():
+        strange |= F.coalesce(F.col(k) > most, F.lit(False))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strange).alias("kept"), *BOUNDS)
