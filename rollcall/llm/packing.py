@@ -5,7 +5,9 @@ in one window are its deficit, carried to the next: after w windows queue s has
 G_s(w) = floor(w * size * F_s / F) and F_s the shares added up to s. These closed forms are the state of the round-robin at any
 window, so each partition lays its own documents without running the ones before; deficits carry over windows and partitions alike.
 The shares are the queues' own tokens (all queues then end together and only the last window is short) or given weights, which hold
-while every queue lasts; what remains follows in its own proportions.
+while every queue lasts; what remains follows in its own proportions. A source under 1/512 of the bytes would get less than a few tokens a
+window: such sources share one queue, in which their documents stand in the order in which weighted round-robin would finish them, so that
+each is within one document of its own share at every point.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, shared_dir, staged, text_batches
 from .words import text_chunks
 
-#: Sources below this share of the bytes go through one queue together; so the driver holds at most 512 queues.
+#: Sources below this share of the bytes take their turns in one queue; so the driver holds at most 512 queues.
 LEAST_SHARE = 512
+_CACHE = 250_000
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS, _MARKS = "0-9A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 # Where a byte-level BPE cuts anyway: before a lone space that a word follows, between letters and marks, and around other white space.
 _SEGMENT = re.compile(f" ?[{_LETTERS}]+(?=[{_MARKS}{_WS}]|\\Z)|(?<=[{_LETTERS}])[{_MARKS}]+(?=[{_LETTERS}{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -95,6 +97,8 @@ class Encoder:
 
 
 def _tokenise(path: str, end: int, queues: dict[str, int], rest: int):
+    """Rows get their queue, their place among the rows of their source in this partition (in tokens), and their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -109,10 +113,10 @@ def _tokenise(path: str, end: int, queues: dict[str, int], rest: int):
                 ids = [x + last for x in enc.encode([t or "" for t in texts])]
                 q = [queues.get(s, rest) for s in sources[at:to]]
                 n, off = [len(x) // enc.kind.itemsize for x in ids], []
-                for k, m in zip(q, n):
-                    off.append(before.get(k, 0))
-                    before[k] = off[-1] + m
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([pid] * len(n), pa.int32()), pa.array(q, pa.int32()), pa.array(off, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "pid", "queue", "off", "n", "ids"])
+                for s, m in zip(sources[at:to], n):
+                    off.append(before.get(s, 0))
+                    before[s] = off[-1] + m
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([pid] * len(n), pa.int32()), batch.column(2).slice(at, to - at), pa.array(q, pa.int32()), pa.array(off, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "pid", "source", "queue", "off", "n", "ids"])
 
     return run
 
@@ -200,6 +204,25 @@ def pieces(plan: list[Phase], size: int, s: int, at: int, n: int) -> Iterator[tu
             done += length
 
 
+def _turns(rows: DataFrame, base: DataFrame, where: str) -> DataFrame:
+    """(source, pid, off, stream, at): where the rows (source, pid, off, n) of small sources stand in their stream.
+
+    They are ordered by the share of its source's tokens that a row completes (weighted round-robin in closed form), dealt by range and
+    written once; a partition adds up its own rows and starts where the ones before it end.
+    """
+    total = rows.groupBy("source").agg(F.sum("n").alias("total"))
+    each = rows.join(base.drop("queue"), ["source", "pid"]).join(total, "source").withColumn("own", F.col("before") + F.col("off"))
+    order = [(F.col("own") + F.col("n")) / F.col("total"), F.col("source"), F.col("own")]
+    dealt = each.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    dealt = staged(dealt.select("source", "pid", "off", "n", "stream", "start", "id", "part"), where, "turns")
+    ends = dealt.groupBy("part").agg(F.sum("n").alias("held"))
+    ends = ends.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("inside", inside).join(F.broadcast(ends), "part")
+    return staged(placed.select("source", "pid", "off", "stream", (F.col("start") + F.col("first") + F.col("inside")).alias("at")), where, "places")
+
+
 def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, stream.
 
@@ -218,10 +241,10 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
         every = by.agg(F.sum("b")).first()[0] or 0
         names = sorted(r[0] for r in by.filter(F.col("b") * LEAST_SHARE >= every).select("source").collect())
     queues = {s: i for i, s in enumerate(names)}
-    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, pid int, queue int, off long, n long, ids binary"
+    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, pid int, source string, queue int, off long, n long, ids binary"
     tokens = staged(docs.mapInArrow(_tokenise(path, end, queues, len(names)), shape), at, "tokens")
 
-    part = staged(tokens.groupBy("queue", "pid").agg(F.sum("n").alias("n")), at, "parts")
+    part = staged(tokens.groupBy("queue", "source", "pid").agg(F.sum("n").alias("n")), at, "parts")
     totals = {r[0]: r[1] for r in part.groupBy("queue").agg(F.sum("n")).collect()}  # at most LEAST_SHARE + 1 queues
     stream, start, sums = merge_small(totals, size)
     shares = None
@@ -231,13 +254,17 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
             shares[stream[q]] += weights[names[q]] if q < len(names) else 0.0
     plan = phases(sums, size, shares)
     known = spark.createDataFrame([(q, stream[q], start[q]) for q in totals] or [(0, 0, 0)], "queue int, stream long, start long")
-    # where each partition's share of a queue starts in its stream
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = staged(part.join(F.broadcast(known), "queue").select("queue", "pid", "stream", (F.col("start") + before).alias("base")), at, "bases")
-    base = F.broadcast(base) if bounded(base) else base
-    laid = tokens.join(base, ["queue", "pid"]).select("doc_id", "stream", (F.col("off") + F.col("base")).alias("off"), "n", "ids")
+    # where each partition's share of a source starts: in its queue, or among its source's tokens
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = staged(part.join(F.broadcast(known), "queue").select("queue", "source", "pid", "stream", "start", before.alias("before")), at, "bases")
+    side = F.broadcast(base) if bounded(base, 120) else base
+    own = tokens.filter(F.col("queue") < len(names)).join(side.drop("queue"), ["source", "pid"]).select("doc_id", "stream", (F.col("start") + F.col("before") + F.col("off")).alias("off"), "n", "ids")
+    laid = own
+    if len(names) in totals:
+        rest = tokens.filter(F.col("queue") == len(names))
+        turns = _turns(rest.select("source", "pid", "off", "n"), base.filter(F.col("queue") == len(names)), at)
+        turns = F.broadcast(turns) if bounded(turns, 120) else turns
+        laid = laid.unionByName(rest.join(turns, ["source", "pid", "off"]).select("doc_id", "stream", F.col("at").alias("off"), "n", "ids"))
     itemsize = Encoder(path).kind.itemsize
     out = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, stream long"
     return laid.mapInArrow(_lay(plan, size, itemsize), out)
