@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_per, text_batches
+from .common import few_per, shared_dir, staged, text_batches
 from .grams import gram_buckets
 from .language import batches_of, held_out
 
@@ -43,8 +43,8 @@ def _counts(batches):
         for a, b in batches_of(texts):
             rows, cols = present(texts[a:b])
             hit = y[a:b][rows] == 1
-            np.add.at(pos, cols[hit], 1)
-            np.add.at(neg, cols[~hit], 1)
+            pos += np.bincount(cols[hit], minlength=1 << BITS)
+            neg += np.bincount(cols[~hit], minlength=1 << BITS)
     some = np.flatnonzero(pos + neg >= 1)
     for i in range(0, len(some), 100_000):
         at = some[i : i + 100_000]
@@ -72,7 +72,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     none = RatioModel(np.zeros(1 << BITS, np.float32), 0.0)
     lab = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = few_per(lab, "y", per_class, 11).select("doc_id", "y")
+    text_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")
+    texts = staged(texts, shared_dir(docs.sparkSession), "sample")  # read twice
     seen = {r[0]: r[1] for r in few.groupBy("y").count().collect()}
     total = {r[0]: r[1] for r in lab.groupBy("y").count().collect()}
     if len(seen) < 2:
