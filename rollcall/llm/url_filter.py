@@ -151,10 +151,13 @@ def mark_listed(df: DataFrame, key: Column, levels: DataFrame, shards: int) -> D
     if (levels.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= BROADCAST_BYTES:
         got = levels.select("shard", "level", "bits", "hashes", "data").collect()
         out = rows.mapInArrow(_probe(df.sparkSession.sparkContext.broadcast([tuple(r) for r in got])), shape)
-    else:  # salted, so that a hot key does not meet in one group
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = rows.withColumn("salt", F.pmod(F.xxhash64(F.to_json("row")), F.lit(salts)))
-        right = levels.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    else:  # shards with more than twice their part of the rows are salted, so that a hot key does not meet in one group
+        size = rows.groupBy("shard").agg(F.count("*").alias("n"))
+        mean = (size.agg(F.sum("n")).first()[0] or 0) / shards
+        hot = F.broadcast(size.filter(F.col("n") > 2 * mean).select("shard", F.ceil(F.col("n") / max(mean, 1)).alias("salts")))  # under half of the shards
+        left = rows.join(hot, "shard", "left").withColumn("salt", F.pmod(F.xxhash64(F.to_json("row")), F.coalesce("salts", F.lit(1)))).drop("salts")
+        copies = hot.select("shard", F.col("salts").alias("copies"))
+        right = levels.join(copies, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
         out = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(_probe_group, shape)
         out = out.filter("row IS NOT NULL")
     return out.select(*[F.col("row")[c].alias(c) for c in cols], "listed")
