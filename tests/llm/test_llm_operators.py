@@ -1,6 +1,7 @@
 """Small fixtures against brute force; nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,8 +271,10 @@ def test_quotes_against_brute_force(spark, monkeypatch, block):
 def test_warc(spark):
     big = "é" * 700
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "u\nv", "small"), (5, "x", "small"), (6, "y", ""), (7, "z", "\0" * 300_000), (2, "http://b/", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, top int")
     out = warc.warc_report(pages).collect()
+    manifest = warc.write_warc(pages)
+    assert all(len(m.offsets) == m.records for m in manifest.collect()) and manifest.agg({"records": "sum"}).first()[0] == 8
     assert len(out) == 8
     html = {i: (h or "").encode() for i, _, h in rows}
     for r in out:
@@ -282,9 +285,10 @@ def test_warc(spark):
 
 def test_archive_has_a_leading_dictionary_and_single_records():
     records = [warc.record(i, "u", f"<p>common words {i}</p>".encode() * 9, "d", None, "2024-01-01T00:00:00Z") for i in range(200)]
-    data = warc.archive(records)
+    data, at = warc.archive(records)
     assert data[:4] == bytes.fromhex("5d2a4d18")
-    assert [f["WARC-Record-ID"] for f, _ in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(200)]
+    assert [warc.page_of(f["WARC-Record-ID"]) for f, _ in warc.read_archive(data)] == [str(i) for i in range(200)]
+    assert [warc.page_of(warc.read_record(data, a)[0]["WARC-Record-ID"]) for a in at[::37]] == [str(i) for i in range(0, 200, 37)]
     assert len(data) < sum(map(len, records)) / 3
 
 
@@ -307,6 +311,38 @@ def test_language(spark):
     assert language_report(docs.limit(0)).count() == 0
 
 
+def test_language_fit_is_kernel_ridge_regression():
+    """With every document a landmark, Nyström features give the exact weighted kernel ridge solution."""
+    from rollcall.llm import language
+    from rollcall.llm.grams import presence
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefgh "[: 5 + i % 4]) for _ in range(30)) for i in range(30)]
+    lang = np.array(["xyz"[i % 3] if i < 24 else "x" for i in range(30)], object)
+    packed = np.packbits(presence(texts, language.WIDTHS, language.BITS), axis=1)
+    model = language.fit(packed, lang, 30, 0.5)
+    sets = []
+    for t in texts:
+        rows, cols = language.presence([t], language.WIDTHS, language.BITS).nonzero()
+        sets.append(set(cols.tolist()))
+    k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    w = np.array([30 / 3 / (lang == x).sum() for x in lang])
+    y = np.array([[1.0 if x == name else -1.0 for name in "xyz"] for x in lang])
+    direct = k @ np.linalg.solve(w[:, None] * k + 0.5 * np.eye(30), w[:, None] * y)
+    got = model.scorer()(np.unpackbits(packed, axis=1))
+    assert model.languages == ["x", "y", "z"] and np.abs(got - direct).max() < 2e-3
+
+
+def test_many_languages_stay_within_the_bounds(spark, monkeypatch):
+    from rollcall.llm import language
+
+    monkeypatch.setattr(language, "SAMPLE", 120)
+    monkeypatch.setattr(language, "LANDMARKS", 9)
+    rows = [(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 25] * 3} word {i % 25}", f"l{i % 25:02d}") for i in range(1000)] + [(2000 + i, "plenty more", "l00") for i in range(40)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 9 and "l00" in model.languages and len(model.landmarks) == 9
+
+
 # 6
 
 
@@ -417,6 +453,36 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_gives_small_sources_their_turns(spark):
+    rnd = random.Random(9)
+    sources = ["big"] * 150 + [f"s{rnd.randrange(40)}" for _ in range(600)]
+    rnd.shuffle(sources)
+    texts = {i: "word and more words " * (300 if s == "big" else rnd.randint(1, 6)) for i, s in enumerate(sources)}
+    docs = spark.createDataFrame([(i, t, sources[i], 1) for i, t in texts.items()], "doc_id long, text string, source string, n int").repartition(4)
+    out = packing.pack(docs, 128).collect()
+    by_seq = check_packing(out, texts, 128)
+    small = [(r.sequence_id, r.offset, sources[r.doc_id], r.length) for r in out if sources[r.doc_id] != "big"]
+    total, done, upto, most = {}, {}, 0, {}
+    for _, _, s, n in small:
+        total[s] = total.get(s, 0) + n
+    for r in out:
+        s = sources[r.doc_id]
+        most[s] = max(most.get(s, 0), r.doc_tokens)
+    every = sum(total.values())
+    assert every / sum(r.length for r in out) < 1 / 4 and len(total) > 30 and len(by_seq) > 100
+    if all(t / sum(r.length for r in out) < 1 / packing.LEAST_SHARE for t in total.values()):
+        for _, _, s, n in sorted(small):
+            upto, done[s] = upto + n, done.get(s, 0) + n
+            assert all(abs(done.get(k, 0) / t - upto / every) <= 2 * max(most[x] / total[x] for x in total) for k, t in total.items())
+
+
+def test_packing_keeps_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", 1, 2)] * 3 + [(None, "three", None, 1, 2)] * 2 + [(1, "other", "b", 1, 2)], "doc_id long, text string, source string, stream int, off int")
+    out = packing.pack(docs, 64).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out) and sorted(r.offset for r in out)[0] == 0
+    assert sum(r.length for r in out) == sum(n for n in (3, 3, 3, 2, 2, 2)) or sum(r.length for r in out) == max(r.offset + r.length for r in out)
+
+
 def test_packing_keeps_target_shares(spark):
     texts = {i: "word " * 400 for i in range(60)}
     docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in texts.items()], "doc_id long, text string, source string")
@@ -501,7 +567,68 @@ def test_quality_judges_common_words(spark):
     out = table(quality_report(documents(spark, texts)))
     assert not any(out[i].base_failed for i in out) and all(out[i].char_distance < 0.2 for i in out)
     assert sorted(i for i in out if not out[i].kept) == [40, 41, 42, 43]
-    assert out[40].word_distance is None and out[43].word_distance > 0.6
+    assert out[40].word_distance is None and out[40].share_distance > 0.3 and out[43].word_distance > 0.7
+
+
+def judged_by_hand(docs):
+    """{id: (kept, char, mix, share)} of (id, text, lang) rows, text by text."""
+    from rollcall.llm import quality as q
+
+    kinds = {c: k for k, chars in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("space", " \t\n\r\x0b\x0c"), ("period", ".,;:"), ("mark", "!?'\"()-"), ("symbol", "#*$%&|<>")) for c in chars}
+
+    def js(a, b):
+        m = {k: (a.get(k, 0) + b.get(k, 0)) / 2 for k in {*a, *b}}
+        return math.sqrt(max(0, sum(x[k] * math.log2(x[k] / m[k]) for x in (a, b) for k in x if x[k] > 0) / 2))
+
+    def part(keys):
+        return {k: keys.count(k) / max(1, len(keys)) for k in set(keys)}
+
+    mean = lambda hists: {k: sum(h.get(k, 0) for h in hists) / len(hists) for k in set().union(*hists)}
+    chars, words, base = {}, {}, {}
+    for i, t, _ in docs:
+        t = t or ""
+        chars[i] = part([kinds.get(c) or ("other_ascii" if c < "\x80" else "letter" if c.isalpha() else "rest") for c in t])
+        low = [w for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in t))]
+        words[i] = [w if w in q.COMMON_WORDS else None for w in low]
+        base[i] = quality_by_hand(t)[5]
+    guarded = {i for i, t, _ in docs if len(words[i]) >= q.LEAST_WORDS and len(t or "") >= q.LEAST_CHARS}
+    langs = {}
+    for i, _, lang in docs:
+        if i in guarded and not base[i] and (lang or "") not in q.NO_LANGUAGE:
+            langs.setdefault(lang, []).append(i)
+    refs = {k: (mean([chars[i] for i in v]), mean([part(words[i]) for i in v])) for k, v in langs.items() if len(v) >= q.LEAST_DOCS}
+    alone = lambda h: {k: v / (1 - h.get(None, 0)) for k, v in h.items() if k}
+    out = {}
+    for i, _, lang in docs:
+        if i in guarded and refs:
+            near = sorted((js(chars[i], c), k) for k, (c, _) in refs.items())
+            common = [w for w in words[i] if w]
+            mix = min(js(part(common), alone(w)) for _, w in refs.values()) if len(common) >= q.LEAST_COMMON else None
+            two = lambda h: {"c": 1 - h.get(None, 0), "o": h.get(None, 0)}
+            out[i] = (near[0][0], mix, js(two(part(words[i])), two(refs[lang if lang in refs else near[0][1]][1])))
+        else:
+            out[i] = (None, None, None)
+    most = []
+    for k, (least, top) in enumerate(q.BOUNDS.values()):
+        steps = sorted(int(out[i][k] * q.STEPS) for i, _, lang in docs if out[i][k] is not None and not base[i] and lang in refs)
+        at = lambda p: (steps[math.ceil(p * len(steps)) - 1] + 1) / q.STEPS
+        most.append(min(top, max(least, at(0.5) + q.SPREAD * (at(0.75) - at(0.5)))) if steps else least)
+    return {i: (not base[i] and not any(d is not None and d > m for d, m in zip(out[i], most)), *out[i]) for i, _, _ in docs}
+
+
+def test_quality_against_brute_force(spark):
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, rnd.choice([20, 45, 120, 400]), odd=rnd.choice([0.6, 0.75])), "en") for i in range(60)]
+    rows += [(100 + i, " ".join(rnd.choice(["der", "und", "die", "Haus", "Fluß", "schön", "für", f"w{rnd.randrange(99)}"]) for _ in range(rnd.randint(60, 200))) + ".", "de") for i in range(30)]
+    rows += [(200 + i, " ".join(f"{rnd.choice('#$%')}{rnd.randrange(999)}" for _ in range(80)), rnd.choice(["en", None, "xx"])) for i in range(8)]
+    rows += [(300, prose(rnd, 300, odd=1), "en"), (301, prose(rnd, 300, common=["had"]), None), (302, None, "en"), (303, "", None), (304, "€ ∞ " * 150 + prose(rnd, 60), "de")]
+    want = judged_by_hand(rows)
+    out = table(quality_report(spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, lang string, chars int, known boolean")))
+    for i, (kept, *far) in want.items():
+        got = (out[i].char_distance, out[i].word_distance, out[i].share_distance)
+        assert [g is None for g in got] == [f is None for f in far] and all(abs(g - f) < 2e-5 for g, f in zip(got, far) if f is not None), i
+        assert out[i].kept == kept, i
+    assert sum(not k for k, *_ in want.values()) >= 12
 
 
 @pytest.mark.parametrize(("lang", "n"), [(None, 60), ("und", 60), ("", 60), ("xx", 1), ("xx", 19)])
@@ -537,3 +664,29 @@ def test_toxicity(spark):
     assert sum(out[i].predicted == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
     assert {r.score for r in toxicity_report(docs, labels.limit(0)).collect()} == {0.5}
     assert toxicity_report(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_features_are_log_count_ratios(spark):
+    """A feature's weight is its coefficient times the smoothed log ratio of the documents that have it, counted by hand."""
+    from rollcall.llm import toxicity
+
+    texts = ["abcd" if i % 2 else "wxyz" for i in range(40)] + ["abcd wxyz"] * 4
+    y = [i % 2 for i in range(40)] + [1, 0, 1, 0]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, features=1 << 20, steps=400)
+    rows, cols = toxicity.present(texts)
+    has = {}
+    for r, c in zip(rows.tolist(), cols.tolist()):
+        has.setdefault(c, []).append(y[r])
+    ratio = {c: math.log((sum(v) + 1) / (22 + 2)) - math.log((len(v) - sum(v) + 1) / (22 + 2)) for c, v in has.items() if len(v) >= 3}
+    assert {int(c) for c in np.flatnonzero(model.weights)} <= set(ratio)
+    # the fit minimises the weighted logistic loss: no small step of the coefficients lowers it
+    keep = sorted(c for c in ratio if ratio[c])
+    x = np.array([[ratio[c] if c in set(cols[rows == i].tolist()) else 0.0 for c in keep] for i in range(44)])
+    coef = np.array([model.weights[c] / ratio[c] for c in keep])
+    loss = lambda w, b: np.mean(np.logaddexp(0, -(2 * np.array(y) - 1) * (x @ w + b))) + 0.5 / 44 * (w**2).sum()
+    here = loss(coef, model.bias)
+    for step in (0.05, -0.05):
+        assert loss(coef, model.bias + step) > here - 1e-4
+        assert all(loss(coef + step * np.eye(len(keep))[j], model.bias) > here - 1e-4 for j in range(len(keep)))
