@@ -118,19 +118,31 @@ def reply_order(chats: DataFrame) -> DataFrame:
     """
     at = shared_dir(chats.sparkSession)
     chats = chats.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    chats = chats.groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    chats = _once(chats.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]), at)
     links = link_quotes(chats).groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source_turn").alias("n_linked"), F.min(F.when(F.col("source_turn").isNotNull(), F.struct("level", "line", "source_turn"))).alias("first"))
-    msgs = chats.select("conv_id", "turn", "role", own_text(parse_lines(F.col("text"))).alias("text")).join(links, ["conv_id", "turn"], "left")
+    # numbers alone are dealt and ordered; the texts are joined at the end
+    msgs = chats.select("conv_id", "turn").join(links, ["conv_id", "turn"], "left")
     msgs = running(msgs, ["conv_id"], "turn", before=("max", F.col("turn")), idx=("sum", F.lit(1).cast("long")))
     source = F.col("first.source_turn")
     msgs = msgs.withColumn("jump", source.isNotNull() & ~source.eqNullSafe(F.col("before")))
     # a linked reply to another message than the last begins a branch; the messages after it go on in it
     begins = F.col("jump") | F.col("before").isNull()
     msgs = running(msgs, ["conv_id"], "turn", inclusive=True, branch=("max", F.when(begins, F.col("turn"))), start=("max", F.when(begins, F.col("idx"))))
-    msgs = msgs.select("conv_id", "turn", "role", "text", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(source, F.col("before")).alias("reply_to"), "jump", "branch", (F.col("idx") - F.col("start")).alias("rank"))
+    msgs = msgs.select("conv_id", "turn", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(source, F.col("before")).alias("reply_to"), "jump", "branch", (F.col("idx") - F.col("start")).alias("rank"))
     msgs = staged(msgs, at, "messages")
-    placed = msgs.join(_branches(msgs, at), ["conv_id", "branch"])
-    return placed.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", (F.col("base") + F.col("rank")).alias("depth"), (F.col("off") + F.col("rank") + 1).alias("position"))
+    placed = msgs.join(_branches(msgs, at), ["conv_id", "branch"]).drop("jump", "branch")
+    texts = chats.select("conv_id", "turn", "role", own_text(parse_lines(F.col("text"))).alias("text"))
+    out = texts.join(F.broadcast(placed) if bounded(msgs, 160) else placed, ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", (F.col("base") + F.col("rank")).alias("depth"), (F.col("off") + F.col("rank") + 1).alias("position"))
+
+
+def _once(chats: DataFrame, at: str) -> DataFrame:
+    """The least (role, text) of each (conv_id, turn); only messages that repeat one are gathered."""
+    again = staged(chats.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), at, "again")
+    few = F.broadcast(again) if bounded(again, 64) else again
+    least = F.min(F.struct("role", "text")).alias("m")
+    some = chats.join(few, ["conv_id", "turn"], "left_semi").groupBy("conv_id", "turn").agg(least).select("conv_id", "turn", "m.role", "m.text")
+    return chats.join(few, ["conv_id", "turn"], "left_anti").unionByName(some)
 
 
 def _doubled(nodes: DataFrame, at: str, name: str, sums: list[str], up: bool) -> DataFrame:
