@@ -29,7 +29,7 @@ from .words import text_chunks
 
 #: Sources below this share of the bytes take their turns in one queue; so the driver holds at most 512 queues.
 LEAST_SHARE = 512
-_CACHE = 250_000
+_CACHE = 400_000
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS, _MARKS = "0-9A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 # Where a byte-level BPE cuts anyway: before a lone space that a word follows, between letters and marks, and around other white space.
