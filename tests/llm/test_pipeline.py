@@ -62,5 +62,23 @@ def test_packing(stages):
     check_packing(rows, {r.doc_id: r.text for r in docs.collect()}, 2048)
 
 
-def test_run_is_the_stages(spark, stages):
-    assert pipeline.run(spark, TABLE).count() > 0 and pipeline.ORACLE_SQL is None
+def corpus(spark, at, docs, bench):
+    docs.write.parquet(f"{at}/documents.parquet")
+    bench.write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_run_is_the_stages(spark, stages, tmp_path):
+    sf_dir = corpus(spark, tmp_path, stages[0][0], spark.read.parquet(f"{TABLE}/benchmark.parquet"))
+    rows, by_hand = pipeline.run(spark, sf_dir).collect(), stages[4][2]
+    check_packing(rows, {r.doc_id: r.text for r in stages[4][0].collect()}, 2048)
+    assert {(r.doc_id, r.doc_tokens) for r in rows} == {(r.doc_id, r.doc_tokens) for r in by_hand}
+    assert pipeline.ORACLE_SQL is None
+
+
+def test_run_on_empty_tables(spark, stages, tmp_path):
+    docs, bench = stages[0][0], spark.read.parquet(f"{TABLE}/benchmark.parquet")
+    none = pipeline.run(spark, corpus(spark, tmp_path / "docs", docs.limit(0), bench))
+    assert none.count() == 0 and none.schema.names == stages[4][1].schema.names
+    rows = pipeline.run(spark, corpus(spark, tmp_path / "bench", docs, bench.limit(0))).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in stages[1][2]}  # nothing to decontaminate: all that the second stage kept
