@@ -149,6 +149,11 @@ def test_text_of_elements_that_are_never_closed():
     assert main_text("<form>gone</form>stays", 100) == "stays"
 
 
+def grams(t):
+    words = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    return {p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+
 def test_fuzzy_join_against_brute_force(spark):
     import random
 
@@ -159,10 +164,6 @@ def test_fuzzy_join_against_brute_force(spark):
     a = [(i, name(), rnd.choice("pq")) for i in range(60)]
     b = [(i, name(), rnd.choice("pq")) for i in range(60)] + [(60, None, "p"), (61, "river", None)]
 
-    def grams(t):
-        words = [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
-        return {p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(p) - 2)}
-
     want = set()
     for i, t, p in a:
         hits = [(-len(grams(t) & grams(u)) / len(grams(t) | grams(u)), j, len(grams(t) & grams(u))) for j, u, q in b if p == q and grams(t) and grams(u)]
@@ -186,3 +187,55 @@ def test_pages_of_platforms(spark):
     assert got == {u: p for u, p in links.items() if p}
     loose = {r.url for r in canonical_social(spark.createDataFrame([(u,) for u in links], "url string"), strict=False).collect()}
     assert {"https://facebook.com/abc", "https://facebook.com/1234567/", "https://linkedin.com/in/person"} <= loose
+
+
+def crossed_by_hand(names, registry):
+    """(page_id, name, matched, b_id, closest) of (page_id, name, block) against (id, name, block); a null block finds nothing."""
+    out = []
+    for page, t, p in names:
+        hits = [(-len(grams(t) & grams(u)) / len(grams(t) | grams(u)), j) for j, u, q in registry if p is not None and p == q and grams(t) and grams(u)]
+        sim, j = min((h for h in hits if h[0] < -0.3), default=(0, None))
+        out.append((page, t, sim <= -0.45, j if sim <= -0.45 else None, None if sim <= -0.45 else j))
+    return sorted(out, key=repr)
+
+
+def test_cross_reference_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    name = lambda: " ".join(rnd.choice(["club", "clubs", "river", "rivers", "lac", "amis", "ami", "tennis", "table"]) for _ in range(rnd.randint(1, 4)))
+    keys = {(i % 20, name()): rnd.choice(["p", "q", None]) for i in range(80)}  # a name once a page
+    names = [(page, t, block) for (page, t), block in keys.items()]
+    registry = [(i, name(), rnd.choice("pq")) for i in range(60)] + [(60, None, "p"), (61, "club", None)]
+    x = spark.createDataFrame([(page, t, t.upper(), block) for page, t, block in names], "page_id int, name string, name_key string, block string")
+    y = spark.createDataFrame(registry, "id int, name string, block string")
+    want = crossed_by_hand(names, registry)
+    assert {w[2] for w in want} == {True, False} and any(w[4] is not None for w in want)
+    assert sorted(map(tuple, pages.cross_reference(x, y, "block").collect()), key=repr) == want
+    assert sorted(map(tuple, pages.cross_reference(x, y.limit(0), "block").collect()), key=repr) == crossed_by_hand(names, [])
+
+
+def test_listing_query_against_brute_force(spark):
+    """DEC-21 over its whole tables: the headings of all pages against the registry."""
+    import html
+    import re
+    import unicodedata
+
+    from compare import DATA, database
+
+    from rollcall.functions.text import STOPWORDS
+    from rollcall.plans.adapters import duck
+    from rollcall.queries import QUERIES
+
+    short = {w for w in STOPWORDS if len(w) <= 4}
+    con, names = database(DATA), []
+    registry = [(i, t, t[:1].upper()) for i, t in con.execute(duck("registry") + "SELECT id, name FROM registry").fetchall()]
+    for page, text in con.execute("SELECT page_id, html FROM pages").fetchall():
+        for t in re.findall("<h1>(.*?)</h1>", text or ""):
+            t = " ".join(html.unescape(t).split())
+            plain = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).upper()
+            words = [w for w in re.findall("[A-Z0-9]+", plain) if w.lower() not in short]
+            if 6 <= len(t) <= 120 and words:
+                names.append((page, t, words[0][0]))
+    assert names
+    assert sorted(map(tuple, QUERIES["DEC-21"](spark, DATA).collect()), key=repr) == crossed_by_hand(names, registry)
