@@ -8,8 +8,8 @@
    enough for that; the few classes with d of those or fewer meet on all their tokens as well. Equal keys give star edges, never all pairs.
 3. Connected components of that graph bound where links can be. Each is cut into bins of bounded token counts, on which signature
    trees (OR-combined token bitmaps and size ranges) are traversed in pairs; only pairs that survive the overlap bound are checked
-   exactly, and pairs already connected are skipped. Parts of one large component meet only where their size ranges allow a link and
-   they have a key in common.
+   exactly, and pairs already connected are skipped. Parts of one large component meet only where their size ranges allow a link; their
+   bitmaps prune once they have met.
 4. Components of the links give the smallest reachable doc_id.
 """
 

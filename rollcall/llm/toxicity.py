@@ -19,7 +19,7 @@ from .grams import gram_buckets
 from .language import batches_of, held_out
 
 WIDTHS, BITS = range(3, 7), 20
-#: Bounds of the fit: labelled documents per class, and features kept.
+#: Bound of the labelled sample per class, and the size of the model: features kept (more of them fit the sample's noise, see README).
 SAMPLE_PER_CLASS, FEATURES = 4000, 3000
 
 
