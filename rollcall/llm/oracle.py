@@ -88,4 +88,43 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
-SQL: dict[str, str] = {"op1_secret_scans": _op1(), "op2_benchmark_decontamination": OP2, "op4_warc": OP4, "op6_ngram_jaccard_join": OP6, "op8_url_filters": OP8}
+OP11 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc, i, regexp_extract_all(pieces[i], '[^\x20\x09]+') AS w
+  FROM (SELECT lang, doc, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM (SELECT lang, row_number() OVER () AS doc, regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))
+),
+total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+phrases AS (
+  SELECT lang, w[i:i + k - 1] AS ph, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS sizes(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100
+),
+cand AS (SELECT * FROM phrases WHERE len(ph) > 1),
+cuts AS (
+  SELECT c.lang, c.ph, c.a, k, x.a AS l, y.a AS r, n, CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM cand) c JOIN total USING (lang)
+  JOIN phrases x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN phrases y ON y.lang = c.lang AND y.ph = c.ph[k + 1:]
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (SELECT lang, ph[s:s + m - 1] AS ph, max(a) AS longer FROM (SELECT lang, ph, a, m, unnest(range(1, len(ph) - m + 2)) AS s FROM cand, range(2, 5) AS sizes(m) WHERE m < len(ph)) GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.ph, ' ') AS phrase, a, l, r, n, score FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.ph = best.ph WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+#: The CRC-32 of the digits of a number, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)), lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END), 4294967295))"
+
+OP12 = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS m FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(m ORDER BY i) AS own, {_CRC} % 6 AS h FROM t GROUP BY conv_id),
+b AS (SELECT c.conv_id, list_concat(coalesce(base.own[1:c.h], []), c.own[c.h + 1:]) AS seq FROM c LEFT JOIN c base ON base.conv_id = c.conv_id - c.conv_id % 100),
+path AS (SELECT conv_id, len(seq) AS total, d, seq[1:d] AS pre FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM b)),
+node AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d), '') AS ends FROM path GROUP BY d, pre),
+kids AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * length(node.pre[-1].text) END AS v FROM node LEFT JOIN kids ON kids.d = node.d AND kids.pre = node.pre),
+sub AS (SELECT a.d, a.pre, count(*) FILTER (u.n_children = 0) AS n_leaves, sum(u.v) AS saved FROM full_ a JOIN (SELECT *, unnest(range(0, d + 1)) AS up FROM full_) u ON u.up = a.d AND u.pre[1:u.up] = a.pre GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sub ON sub.d = f.d AND sub.pre = f.pre LEFT JOIN node p ON p.d = f.d - 1 AND p.pre = f.pre[1:f.d - 1]
+"""
+
+SQL: dict[str, str] = {"op11_phrase_collocation_mining": OP11, "op12_conversation_prefix_trie": OP12, "op1_secret_scans": _op1(), "op2_benchmark_decontamination": OP2, "op4_warc": OP4, "op6_ngram_jaccard_join": OP6, "op8_url_filters": OP8}

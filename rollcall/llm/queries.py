@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .collocations import collocations
 from .common import shared_dir, table
 from .decontaminate import decontamination_report
 from .jaccard_join import jaccard_components
 from .language import language_report
+from .licenses import license_report
 from .packing import pack
 from .quality import quality_report
 from .quotes import reply_order
 from .secrets import report, scan_versions
 from .toxicity import toxicity_report
+from .trie import prefix_trie
 from .url_filter import judge_urls
 from .warc import warc_report
 
@@ -64,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_quality_rules,
         op10_toxicity,
+        op11_phrase_collocation_mining,
+        op12_conversation_prefix_trie,
+        op13_license_scans,
     )
 }
 #: DuckDB SQL of the queries that SQL can express; the tests hold the others against brute-force versions or held-out labels.
