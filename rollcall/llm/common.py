@@ -132,16 +132,18 @@ def components(edges: DataFrame, at: str, name: str) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(own)
 
 
-def few_per(df: DataFrame, by: str, k: int, seed: int) -> DataFrame:
-    """The ``k`` rows of least hash of doc_id for each value of ``by``, with the hash as ``h``: a bounded sample that depends on the ids alone.
+def few_per(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` rows of least hash ``h`` for each value of ``by``, equal rows once: a bounded sample that depends on the rows alone.
 
-    The counts thin the rows to about twice as many before they are ranked, so no task ranks a whole class.
+    ``h`` is a hash of all that makes a row, not of an id that rows may share. Approximate counts of the different hashes thin the rows to about
+    twice as many before they are made distinct and ranked, so no task ranks a whole class; the bound of k is exact. ``df`` has no columns ``_n``, ``_r``.
     """
-    n = df.groupBy(by).agg(F.count("*").alias("_n"))
+    n = df.groupBy(by).agg(F.approx_count_distinct("h").alias("_n"))
     n = F.broadcast(n) if bounded(n) else n
-    thin = df.join(n, by).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).filter(F.pmod("h", F.lit(2**30)) * F.col("_n") < (2 * k + 100) * 2**30)
-    w = Window.partitionBy(by).orderBy(F.pmod("h", F.lit(2**30)), "doc_id")
-    return thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_n")
+    low = F.pmod("h", F.lit(2**30))
+    thin = df.join(n, by).filter(low * F.col("_n") < (2 * k + 100) * 2**30).drop("_n").distinct()
+    w = Window.partitionBy(by).orderBy(low, *sorted(set(df.columns) - {by}))
+    return thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

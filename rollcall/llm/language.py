@@ -93,8 +93,8 @@ def fit(packed: np.ndarray, lang: np.ndarray, per_landmark: int, ridge: float) -
 
 
 def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmark: int = LANDMARKS_PER_LANGUAGE, ridge: float = 0.1) -> KernelModel:
-    """The model from labelled rows (doc_id, text, lang): of each language the ``per_language`` documents of least hash, within the bounds
-    of the fit. Their presence bits, 2 KB each, are all that comes to the driver."""
+    """The model from labelled rows (doc_id, text, lang): of each language the ``per_language`` rows of least hash of
+    (doc_id, text), equal rows once, within the bounds of the fit. Their presence bits, 2 KB each, are all that comes to the driver."""
     text_batches(train.sparkSession)
     train = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     known = [r[0] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(SAMPLE // LEAST_SAMPLE, LANDMARKS)).collect()]
@@ -102,8 +102,8 @@ def learn(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, per_landmar
         return KernelModel([], np.zeros((1, (1 << BITS) // 8), np.uint8), np.zeros((1, 0)))
     per_language, per_landmark = shares(len(known), per_language, per_landmark)
     train = train.filter(F.col("lang").isin(known))
-    few = few_per(train.select("doc_id", "lang"), "lang", per_language, 5).select("doc_id").distinct()
-    rows = train.join(F.broadcast(few), "doc_id").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "text").mapInArrow(_bits, "lang string, h long, bits binary").orderBy("lang", "h", "bits").collect()
+    few = few_per(train.select("lang", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"), "text"), "lang", per_language)
+    rows = few.select("lang", "h", "text").mapInArrow(_bits, "lang string, h long, bits binary").orderBy("lang", "h", "bits").collect()
     return fit(np.stack([np.frombuffer(bytes(r[2]), np.uint8) for r in rows]), np.array([r[0] for r in rows], object), per_landmark, ridge)
 
 
@@ -143,7 +143,12 @@ def _predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learned from the rows of ``docs`` that are not held out, predicted for all. A row with null doc_id is neither held out nor learned from."""
+    """(doc_id, held_out, lang_pred, score): learned from the rows of ``docs`` that are not held out, predicted for all.
+
+    A row with null doc_id is neither held out nor learned from. Rows are told apart by (doc_id, text): a repeated id with other texts counts
+    like other ids, a repeated row once in learning, and each row gets a row of the result. Texts may have any length; an empty table gives no
+    rows; other columns are ignored, whatever they are called. Of equal scores the first language by name wins.
+    """
     model = learn(docs.filter(~held_out()))
     got = identify(docs, model)
     return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_per, shared_dir, staged, text_batches
+from .common import bounded, few_per, shared_dir, skew_join, staged, text_batches
 from .grams import gram_buckets
 from .language import batches_of, held_out
 
@@ -68,14 +68,19 @@ def _kept(shared):
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES, alpha: float = 1.0, l2: float = 1.0, steps: int = 300) -> RatioModel:
-    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): of each class the ``per_class`` labelled documents of least hash."""
+    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): of each class the ``per_class`` labelled rows of least hash of (doc_id, text), equal rows once."""
     none = RatioModel(np.zeros(1 << BITS, np.float32), 0.0)
     lab = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    few = few_per(lab, "y", per_class, 11).select("doc_id", "y")
     text_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")
-    texts = staged(texts, shared_dir(docs.sparkSession), "sample")  # read twice
-    seen = {r[0]: r[1] for r in few.groupBy("y").count().collect()}
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # numbers alone meet the labels; the texts of the few that are drawn come afterwards
+    rows, keyed = docs.select(F.xxhash64("doc_id").alias("k"), "doc_id", F.xxhash64(F.lit(11), "doc_id", "text").alias("h")), lab.select(F.xxhash64("doc_id").alias("k"), F.col("doc_id").alias("id"), "y")
+    met = (rows.join(F.broadcast(keyed), "k") if bounded(keyed) else skew_join(rows, keyed, "k")).filter("doc_id = id")
+    few = few_per(met.select("y", "h", "doc_id"), "y", per_class).select("y", "h", F.col("doc_id").alias("id"))
+    hashed = docs.withColumn("h", F.xxhash64(F.lit(11), "doc_id", "text"))
+    texts = hashed.join(F.broadcast(few), "h").filter("doc_id = id").select("doc_id", "text", "y").distinct().select("text", "y")
+    texts = staged(texts, shared_dir(docs.sparkSession), "sample")  # read more than once
+    seen = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     total = {r[0]: r[1] for r in lab.groupBy("y").count().collect()}
     if len(seen) < 2:
         return none
@@ -144,6 +149,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from labels of the rows that are not held out, predicted for all.
 
     Without labels of both classes every score is 0.5. Labels of unknown documents, null or other values are left out; of repeated labels the largest counts.
+    Rows are told apart by (doc_id, text): every text of a labelled id has its label, a repeated row counts once in learning, and each row gets a
+    row of the result. Texts may have any length; an empty table gives no rows; other columns are ignored. Features of equal gain are taken by number.
     """
     text_batches(docs.sparkSession)
     model = learn(docs, labels.filter(~held_out(5, 0)))
