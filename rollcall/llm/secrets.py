@@ -22,13 +22,18 @@ from .common import bounded, packed, shared_dir, staged, text_batches, unpacked
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` (leftmost, not overlapping) whose ``group`` has ``least`` characters or more."""
+    """A kind of secret: matches of ``pattern`` (leftmost, not overlapping) whose ``group`` has ``least`` characters or more; texts without ``needle`` have none.
+
+    A pattern must take time in proportion to the text, whatever the text repeats: where the start of a match may stand inside a run that it
+    scans, the pattern also takes runs that don't match, with an empty group.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     flags: int = 0
+    needle: str = ""
 
 
 # The three base kinds of the contract, then further well-known token formats.
@@ -39,7 +44,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})|[A-Za-z0-9_-]+", 1, 1, needle="eyJ"),
 )
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -57,6 +62,8 @@ def find_spans(text: str, compiled: list[tuple[Rule, re.Pattern]]) -> list[dict]
     """All spans of one whole text by start, then rule order; offsets in code points, end exclusive."""
     found = []
     for order, (rule, pattern) in enumerate(compiled):
+        if rule.needle not in text:
+            continue
         for m in pattern.finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
                 found.append((m.start(), order, m.end(), rule.kind))
@@ -106,8 +113,9 @@ def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", led
     """(findings, ledger): one findings row (path, blob, spans) for every row of ``docs``, and the ledger with the new blobs added.
 
     ``ledger`` is the table of an earlier run, or the path of a kept one: its rows are read (none before the first run) and the new ones
-    are appended, so that the next run scans what it has not seen. Null and empty texts have no spans; repeated rows each keep their row;
-    columns other than path and text are ignored.
+    are appended, so that the next run scans what it has not seen. A blob that the ledger holds more than once counts once. Null and empty texts
+    have no spans; texts may have any length; repeated rows each keep their row; an empty table gives no rows; columns other than path and
+    text are ignored.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -117,7 +125,7 @@ def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", led
     new = staged(update_ledger(versions, old, rules), shared_dir(spark), "ledger")
     now = new if old is None else new.unionByName(old.select("blob", "rules", "spans"))
     # blobs without findings need no row on the right; the derived key lets a hot blob be split
-    hits = now.filter((F.col("rules") == rules.version) & (F.size("spans") > 0)).select(F.xxhash64("blob").alias("b"), F.col("blob").alias("found"), "spans")
+    hits = _hits(now, rules).withColumn("b", F.xxhash64("found"))
     left = versions.select("path", "blob")
     same = (F.xxhash64("blob") == F.col("b")) & (F.col("blob") == F.col("found"))
     joined = left.join(F.broadcast(hits) if bounded(hits, 400) else hits, same, "left")
@@ -127,6 +135,11 @@ def scan_versions(docs: DataFrame, path: str = "doc_id", text: str = "text", led
     return findings, now
 
 
+def _hits(ledger: DataFrame, rules: RuleSet) -> DataFrame:
+    """(found, spans) of the blobs that have any, each once: runs that appended at the same time may have left a blob twice, with the same spans."""
+    return ledger.filter((F.col("rules") == rules.version) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("found")).agg(F.min("spans").alias("spans"))
+
+
 def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -150,7 +163,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: RuleSet = RuleSet())
     are broadcast where a count says so, then the texts stay where they are.
     """
     _, ledger = scan_versions(docs, rules=rules)
-    found = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("found"), "spans")
+    found = _hits(ledger, rules)
     rows = packed(docs, blob=blob_of(F.col("text").cast("string")))
     out = rows.join(F.broadcast(found) if bounded(found, 400) else found, F.col("blob") == F.col("found"), "left")
     text = F.col("row.text")
