@@ -53,17 +53,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        added = self.spec.get("added_tokens", [])
+        self.added = {x["content"]: x["id"] for x in added}
+        #: Tokens that the file adds are cut out of a text before anything else, the longest first.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        self.plain = not any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word"))
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.seen: dict[str, bytes] = {}
-        self.merge = self._by_rank(path)
+        self.merge = self._by_rank()
 
-    def _by_rank(self, path: str):
+    def _by_rank(self):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = self.spec
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
             return None
@@ -78,6 +83,20 @@ class Encoder:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as ``tokenizers`` gives them with ``add_special_tokens=False``."""
+        if not self.cut or not (held := {i for i, t in enumerate(texts) if self.cut.search(t)}):
+            return self._encode(texts)
+        code, out = "HI"[self.kind.itemsize // 4], dict(zip((i for i in range(len(texts)) if i not in held), self._encode([t for i, t in enumerate(texts) if i not in held])))
+        for i in held:
+            if self.plain:
+                between = self._encode(self.cut.split(texts[i]))
+                own = [array(code, [self.added[m]]).tobytes() for m in self.cut.findall(texts[i])]
+                out[i] = b"".join(x for pair in zip(between, [*own, b""]) for x in pair)
+            else:
+                out[i] = array(code, self.tok.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return [out[i] for i in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [_SEGMENT.findall(t) for t in texts]
         if len(self.seen) > _CACHE:
             self.seen.clear()

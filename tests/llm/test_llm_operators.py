@@ -418,7 +418,6 @@ def check_packing(out, texts, size):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
     by_doc, by_seq = {}, {}
     for r in out:
