@@ -70,6 +70,22 @@ def reapable(now: Column, min_fails: int = 2, min_age_hours: int = 12) -> Column
     return F.coalesce((F.col("status") == "dead") & (F.col("consecutive_failures") >= min_fails) & (F.coalesce(sure, F.lit(False)) | F.coalesce(old, F.lit(False))), F.lit(False))
 
 
+def confirmed_deaths(folded: DataFrame, now: Column, min_fails: int = 2, min_age_hours: int = 12) -> DataFrame:
+    """(id, platform, url, seq, dead_at, consecutive_failures, first_fail_at): when each run of failures could first be reaped (``reapable``), up to ``now``.
+
+    That is at a probe, or so many hours after the first failure if no other probe came before. folded: rows of ``fold_failures`` with
+    http_code. A run ends at an alive probe or with another URL, and has one death at most.
+    """
+    w = Window.partitionBy("id", "platform").orderBy("checked_at", "seq")
+    reset = (F.col("status") == "alive") | ~F.col("url").eqNullSafe(F.lag("url").over(w))
+    runs = folded.withColumns({"_run": F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("checked_at").over(w)})
+    at = F.when(F.col("http_code").isin(*DEAD_CODES), F.col("checked_at")).otherwise(F.greatest("checked_at", F.col("first_fail_at") + min_age_hours * 3600))
+    dead = runs.withColumn("dead_at", at).filter((F.col("status") == "dead") & (F.col("consecutive_failures") >= min_fails))
+    dead = dead.filter((F.col("dead_at") == F.col("checked_at")) | F.coalesce(F.col("dead_at") < F.col("_next"), F.col("dead_at") <= now))
+    each = dead.groupBy("id", "platform", "_run").agg(F.min(F.struct("dead_at", "checked_at", "seq", "url", "consecutive_failures", "first_fail_at")).alias("d"))
+    return each.select("id", "platform", "d.url", "d.seq", "d.dead_at", "d.consecutive_failures", "d.first_fail_at")
+
+
 def reap(links: DataFrame, health: DataFrame, now: Column, min_fails: int = 2, min_age_hours: int = 12) -> tuple[DataFrame, DataFrame]:
     """(links left, audit) without the links that can be reaped (DEC-12). links: id, platform, layer, url; the column layer goes before the map."""
     gone = health.filter(reapable(now, min_fails, min_age_hours)).select("id", "platform", "url", "http_code")

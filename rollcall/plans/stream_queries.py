@@ -61,6 +61,21 @@ def health(spark, sf):
     return appended(jobs.health_stream(probes), shared_folder(spark)).select("id", "platform", "seq", "status", "consecutive_failures", "first_fail_at")
 
 
+DEATHS = """, due AS (SELECT *, CASE WHEN http_code IN (404, 410) THEN checked_at ELSE greatest(checked_at, first_fail_at + 43200) END AS dead_at, lead(checked_at) OVER (PARTITION BY id, platform ORDER BY checked_at, seq) AS next_at FROM folded)
+SELECT id, platform, min(dead_at) AS dead_at, min_by(seq, (dead_at, checked_at, seq)) AS seq, min_by(url, (dead_at, checked_at, seq)) AS url, min_by(consecutive_failures, (dead_at, checked_at, seq)) AS consecutive_failures
+FROM due WHERE status = 'dead' AND consecutive_failures >= 2 AND (dead_at = checked_at OR coalesce(dead_at < next_at, dead_at <= (SELECT max(checked_at) FROM probes) - 3600)) GROUP BY id, platform, run"""
+
+
+@query("STR-1-deaths", duck("probes") + ISLANDS + DEATHS)
+def deaths(spark, sf):
+    """The confirmed deaths of the same stream: its second output."""
+    probes = stream_view(spark, sf, "probes").select("id", "platform", "url", "status", "checked_at", "seq", "http_code")
+    out = shared_folder(spark)
+    jobs.health_job(probes, f"{out}/rows", f"{out}/at").awaitTermination()
+    rows = spark.read.schema(jobs.HEALTH_OUT + ", batch int").parquet(f"{out}/rows").filter("kind = 'death'")
+    return rows.select("id", "platform", F.col("checked_at").alias("dead_at"), "seq", "url", "consecutive_failures")
+
+
 @query("STR-2", duck("marks") + """, n AS (SELECT client, seq, secs, row_number() OVER (PARTITION BY client ORDER BY secs, seq) AS r FROM marks),
 f AS (WITH RECURSIVE f AS (
   SELECT client, seq, r, true AS accepted, [secs] AS recent FROM n WHERE r = 1
@@ -74,11 +89,15 @@ def limited(spark, sf):
     return appended(jobs.rate_limit_stream(hits, 6, 3600.0), shared_folder(spark)).select("client", "seq", "accepted")
 
 
-@query("STR-3", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS kind, count(DISTINCT user_id) AS visitors FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
+AGENT = "CASE WHEN user_id % 13 = 0 THEN 'Some-Bot/1' WHEN user_id % 17 = 0 THEN '' ELSE 'Firefox/' || user_id % 3 END"
+
+
+@query("STR-3", f"""WITH h AS (SELECT ts, event_type AS kind, {AGENT} AS agent, '10.0.' || user_id % 40 AS ip FROM events)
+SELECT CAST(date_trunc('day', ts) AS DATE) AS day, kind, count(DISTINCT sha256(concat_ws('|', ip, agent, strftime(ts, '%Y-%m-%d'), 'salt'))[1:16]) AS visitors FROM h WHERE agent LIKE 'Firefox%' AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', ts)) FROM h WHERE agent LIKE 'Firefox%') - INTERVAL 1 DAY GROUP BY ALL""")
 def visitors(spark, sf):
-    """Days that the watermark has closed."""
-    hits = stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts", "event_type AS kind", "CAST(user_id AS string) AS visitor")
-    return appended(jobs.visitors_stream(hits), shared_folder(spark)).withColumn("day", F.to_date("day"))
+    """Days that the watermark has closed, without robots, visitors by their daily hash."""
+    hits = stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts", "event_type AS kind", f"{AGENT} AS agent", "'10.0.' || user_id % 40 AS ip")
+    return appended(jobs.visitors_stream(jobs.human_visitors(hits, "salt")), shared_folder(spark)).withColumn("day", F.to_date("day"))
 
 
 @query("STR-6", """WITH w AS (SELECT epoch_us(ts) AS us, unnest(range(CAST(epoch_us(ts) // 600000000 AS BIGINT) - 11, CAST(epoch_us(ts) // 600000000 AS BIGINT) + 1)) * 600 AS s FROM events)

@@ -7,57 +7,47 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-HEALTH_OUT = "id long, platform string, seq long, url string, status string, checked_at long, consecutive_failures long, first_fail_at long"
+from ..operators.ingest import drop_robots, visitor_id
+from ..sources.shared import written
+from .stateful import HEALTH_OUT, Health, Limit, accept, with_state
 
+def health_events(probes: DataFrame, min_fails: int = 2, min_age_hours: int = 12, late: str = "1 hour") -> DataFrame:
+    """State changes and confirmed deaths of links (STR-1), by ``kind``: ``state`` after every probe, ``death`` once a run of failures is certain.
 
-def _fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    url, fails, first = state.get if state.exists else (None, 0, None)
-    rows = pd.concat(list(frames)).sort_values(["checked_at", "seq"])
-    out = []
-    for r in rows.itertuples():
-        if r.url != url:
-            url, fails, first = r.url, 0, None
-        if r.status == "dead":
-            fails, first = fails + 1, first if first is not None else int(r.checked_at)
-        elif r.status == "alive":
-            fails, first = 0, None
-        out.append((*key, int(r.seq), url, r.status, int(r.checked_at), fails, first))
-    state.update((url, fails, first))
-    yield pd.DataFrame(out, columns=["id", "platform", "seq", "url", "status", "checked_at", "consecutive_failures", "first_fail_at"]).astype({"first_fail_at": "Int64"})
+    A death is certain at a 404 or 410 that makes ``min_fails`` failures, or ``min_age_hours`` after the first failure (if the last probe then was a
+    dead one): a timer says so, without another probe, when the watermark passes that time (its ``checked_at``). Probes: id, platform, url, status, checked_at
+    (epoch seconds), seq, http_code; those later than ``late`` behind the newest one are dropped. The batch twins are ``health.fold_failures``
+    and ``health.confirmed_deaths``.
+    """
+    timed = with_state(probes).withColumn("ts", F.timestamp_millis(F.col("checked_at") * 1000 + 1)).withWatermark("ts", late)
+    code = F.col("http_code") if "http_code" in probes.columns else F.lit(None)
+    timed = timed.select("id", "platform", "url", "status", "checked_at", "seq", code.cast("int").alias("http_code"), "ts")
+    return timed.groupBy("id", "platform").transformWithState(Health(min_fails, min_age_hours * 3600), HEALTH_OUT, "append", "eventTime")
 
 
-def health_stream(probes: DataFrame) -> DataFrame:
-    """The failure state of each link after every probe (STR-1); probes: id, platform, url, status, checked_at, seq. The batch twin is ``health.fold_failures``."""
-    return probes.groupBy("id", "platform").applyInPandasWithState(_fold, HEALTH_OUT, "url string, fails long, first long", "append", GroupStateTimeout.NoTimeout)
+def health_stream(probes: DataFrame, **how) -> DataFrame:
+    """The failure state of each link after every probe."""
+    return health_events(probes, **how).filter("kind = 'state'").drop("kind", "http_code")
 
 
-def accept(times: list[float], recent: list[float], max_hits: int, window: float) -> tuple[list[bool], list[float]]:
-    """Sliding limit: a hit is accepted if fewer than ``max_hits`` accepted ones lie within the window before it; rejected ones leave no trace."""
-    out = []
-    for t in times:
-        recent = [x for x in recent if x > t - window]
-        out.append(len(recent) < max_hits)
-        if out[-1]:
-            recent.append(t)
-    return out, recent
+def health_job(probes: DataFrame, path: str, checkpoint: str, **how):
+    """One stream with two outputs, ``path``/kind=state and ``path``/kind=death; a batch that is run again replaces itself."""
 
+    def one(batch: DataFrame, k: int) -> None:
+        for kind in ("state", "death"):
+            batch.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{path}/kind={kind}/batch={k}")
 
-def _limit(max_hits: int, window: float) -> Callable:
-    def run(key, frames, state: GroupState):
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        ok, recent = accept(rows["at"].tolist(), recent, max_hits, window)
-        state.update((recent,))
-        yield pd.DataFrame({"client": key[0], "seq": rows["seq"], "at": rows["at"], "accepted": ok})
+    return health_events(probes, **how).writeStream.foreachBatch(lambda df, k: one(written(df), k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return run
 
+def rate_limit_stream(hits: DataFrame, max_hits: int, window_s: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """(client, seq, at, accepted) by the sliding limit (STR-2); hits: client (long), seq (long), at (double, seconds).
 
-def rate_limit_stream(hits: DataFrame, max_hits: int, window_s: float = 60.0) -> DataFrame:
-    """(client, seq, at, accepted) by the sliding limit (STR-2); hits: client (long), seq (long), at (double, seconds)."""
-    return hits.groupBy("client").applyInPandasWithState(_limit(max_hits, window_s), "client long, seq long, at double, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    A client's state goes when the watermark says that no window to come holds an accepted hit of it; hits later than ``late`` behind the newest are dropped.
+    """
+    timed = with_state(hits).withColumn("ts", F.timestamp_micros((F.col("at") * 1e6 + 1000).cast("long"))).withWatermark("ts", late)
+    return timed.select("client", "seq", "at", "ts").groupBy("client").transformWithState(Limit(max_hits, window_s), "client long, seq long, at double, accepted boolean", "append", "eventTime")
 
 
 def rate_limit(hits: DataFrame, max_hits: int, window_s: float = 60.0) -> DataFrame:
@@ -70,16 +60,21 @@ def rate_limit(hits: DataFrame, max_hits: int, window_s: float = 60.0) -> DataFr
             for c, t in zip(f["client"], f["at"]):
                 if c != client:
                     client, recent = c, []
-                one, recent = accept([t], recent, max_hits, window_s)
-                ok += one
+                ok.append(accept(t, recent, max_hits, window_s))
             yield f.assign(accepted=ok)[["client", "seq", "at", "accepted"]]
 
     dealt = hits.select("client", "seq", "at").repartition("client").sortWithinPartitions("client", "at", "seq")
     return dealt.mapInPandas(run, "client long, seq long, at double, accepted boolean")
 
 
+def human_visitors(hits: DataFrame, salt: str, agent: str = "agent") -> DataFrame:
+    """(ts, kind, visitor, ...) of hits (ts, kind, ip, agent): robots gone, a visitor known by a hash that holds for a day and tells nothing else."""
+    people = drop_robots(hits, agent)
+    return people.withColumn("visitor", visitor_id(F.col("ip"), F.col(agent), F.date_format("ts", "yyyy-MM-dd"), salt)).drop("ip", agent)
+
+
 def visitors_stream(hits: DataFrame, late: str = "1 day", exact: bool = True) -> DataFrame:
-    """(day, kind, visitors) of hits (ts, kind, visitor), closed by watermark (STR-3).
+    """(day, kind, visitors) of hits (ts, kind, visitor; see ``human_visitors``), closed by watermark (STR-3).
 
     Exact: a visitor counts once a day and kind, whose keys are held until the day is closed. ``exact=False`` holds a sketch a day and kind
     instead, with a relative error of 5 %.
