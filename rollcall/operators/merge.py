@@ -5,39 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 REGISTRY_FIELDS = ("name", "city", "department", "region", "category_id", "description", "website", "tags")
 
 
-def upsert(base: DataFrame, batch: DataFrame, now: Column, key: str = "ext_id", order: str = "position", fields=REGISTRY_FIELDS) -> DataFrame:
+def last_by_key(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key, rows without one left out; taken before anything is dealt, so a key with most of the rows costs no more than others."""
+    own = [c for c in batch.columns if c != key]
+    return batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*own), order).alias("_l")).select(key, *[F.col("_l")[c].alias(c) for c in own])
+
+
+def upsert(base: DataFrame, batch: DataFrame, now: Column, key: str = "ext_id", order: str = "position", fields=REGISTRY_FIELDS, most: int = 200_000, buckets: int | None = None) -> DataFrame:
     """``base`` with ``batch`` merged by key (JN-1).
 
     The last row of a key in the batch counts. Registry fields are replaced; coordinates only by coordinates; everything else that base
     has (links, evidence, status, source) stays. New keys come as published rows of the registry. ``updated_at`` is set on both.
+    A batch of up to ``most`` keys (counted) is broadcast, so that the base is read and not dealt; a larger one is joined, dealt to as many
+    ``buckets`` as a bucketed base has. ``now`` may be a column of the batch, as ``n.name``.
     """
     fields = [f for f in fields if f in base.columns and f in batch.columns]
-    last = batch.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r", order)
-    b, n = base.alias("b"), last.withColumn("_new", F.lit(True)).alias("n")
-    met = b.join(n, F.col(f"b.{key}") == F.col(f"n.{key}"), "full_outer")
-    new, fresh = F.col("n._new").isNotNull(), F.col(f"b.{key}").isNull()
-    out = []
-    for c in base.columns:
-        if c == key:
-            col = F.coalesce(f"b.{key}", f"n.{key}")
-        elif c in fields:
-            col = F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"b.{c}"))
-        elif c in ("lng", "lat"):
-            both = F.col("n.lng").isNotNull() & F.col("n.lat").isNotNull()
-            col = F.when(both, F.col(f"n.{c}")).otherwise(F.col(f"b.{c}"))
-        elif c == "updated_at":
-            col = F.when(new, now).otherwise(F.col("b.updated_at"))
-        elif c == "status":
-            col = F.when(fresh, "published").otherwise(F.col("b.status"))
-        elif c == "source":
-            col = F.when(fresh, "registry").otherwise(F.col("b.source"))
-        else:
-            col = F.col(f"b.{c}")
-        out.append(col.alias(c))
-    return met.select(*out)
+    last = written(last_by_key(batch, key, order).drop(order))
+    had = {c: F.col(f"b.{c}") for c in base.columns}
+
+    def merged(b: dict[str, Column], new: Column, fresh: Column) -> list[Column]:
+        out = []
+        for c in base.columns:
+            if c == key:
+                col = F.coalesce(b[key], F.col(f"n.{key}"))
+            elif c in fields:
+                col = F.when(new, F.col(f"n.{c}")).otherwise(b[c])
+            elif c in ("lng", "lat"):
+                both = F.col("n.lng").isNotNull() & F.col("n.lat").isNotNull()
+                col = F.when(both, F.col(f"n.{c}")).otherwise(b[c])
+            elif c == "updated_at":
+                col = F.when(new, now).otherwise(b[c])
+            elif c == "status":
+                col = F.when(fresh, "published").otherwise(b[c])
+            elif c == "source":
+                col = F.when(fresh, "registry").otherwise(b[c])
+            else:
+                col = b[c]
+            out.append(col.alias(c))
+        return out
+
+    if last.limit(most + 1).count() <= most:
+        keys = F.broadcast(last.select(key))
+        old = base.alias("b").join(F.broadcast(last.withColumn("_new", F.lit(True))).alias("n"), F.col(f"b.{key}") == F.col(f"n.{key}"), "left")
+        new = last.join(base.select(key).join(keys, key, "left_semi"), key, "left_anti").alias("n")
+        none = {c: F.lit(None).cast(t.dataType) for c, t in zip(base.columns, base.schema)}
+        return old.select(*merged(had, F.col("n._new").isNotNull(), F.lit(False))).unionByName(new.select(*merged(none, F.lit(True), F.lit(True))))
+    n = last.withColumn("_new", F.lit(True))
+    met = base.alias("b").join((n.repartition(buckets, key) if buckets else n).alias("n"), F.col(f"b.{key}") == F.col(f"n.{key}"), "full_outer")
+    return met.select(*merged(had, F.col("n._new").isNotNull(), F.col(f"b.{key}").isNull()))
 
 
 def merge_maps(old: Column, new: Column, existing_wins: bool = False) -> Column:

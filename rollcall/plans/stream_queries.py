@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decide, merge
+from ..operators import decide
 from ..queries import ORACLE, query
 from ..sources import registry as sinks
+from ..sources.keyed import KeyedTable
 from ..sources.shared import shared_folder
 from ..streaming import jobs
 from .adapters import NOW, duck, read, registry, sql, view
@@ -112,12 +113,11 @@ def throughput(spark, sf):
 def register_drops(spark, sf):
     out = shared_folder(spark)
     base = read(spark, sf, "orders").filter("o_orderkey % 3 <> 2").selectExpr("o_orderkey AS ext_id", "o_orderpriority AS name", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 + 0.5D END AS lng", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 40 + 0.25D END AS lat", "'pending' AS status", "'manual' AS source", "0L AS updated_at")
-    jobs.write_base(base, f"{out}/base")
+    table = KeyedTable(spark, f"{out}/register", base.schema)
+    table.write(base)
     drops = stream(spark, sf, "orders").selectExpr("o_orderkey div 2 * 2 AS ext_id", "concat('new ', o_orderpriority) AS name", "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 7 + 0.5D END AS lng", "CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 9 + 0.5D END AS lat", "o_orderkey AS position")
-    q = jobs.registry_stream(drops, f"{out}/base", f"{out}/at", lambda old, batch, k: merge.upsert(old, batch, F.lit(NOW).cast("long")))
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
-    return jobs.read_base(spark, f"{out}/base", last)
+    jobs.registry_stream(drops, table, f"{out}/at", F.lit(NOW).cast("long")).awaitTermination()
+    return table.read()
 
 
 @query("STR-5", ORACLE["DEC-17"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,27 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary one only where that is unset and the session runs in one process (tests)."""
+    """A new path under ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='rollcall-')).rstrip('/')}/rollcall-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rollcall-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, path = _at(spark, path)
+    return files.exists(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; none is no fault."""
+    files, path = _at(spark, path)
+    files.delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ingest import drop_robots, visitor_id
+from ..sources.keyed import KeyedTable
 from ..sources.shared import written
 from .stateful import HEALTH_OUT, Health, Limit, accept, with_state
 
@@ -100,35 +101,11 @@ def versioned(path: str, version: int) -> str:
     return f"{path}/v={version}"
 
 
-def write_base(base: DataFrame, path: str, key: str = "ext_id", buckets: int = 64, version: int = 0, old: DataFrame | None = None) -> None:
-    """A version of a base table, dealt to buckets by its key; ``old``: (bucket, version) of the buckets that it does not replace."""
-    spark = base.sparkSession
-    base.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{versioned(path, version)}/rows")
-    new = spark.read.parquet(f"{versioned(path, version)}/rows").select("bucket").distinct().withColumn("version", F.lit(version))
-    if old is not None:
-        new = new.unionByName(old.join(F.broadcast(new), "bucket", "left_anti"))
-    new.coalesce(1).write.mode("overwrite").parquet(f"{versioned(path, version)}/buckets")
-
-
-def read_base(spark: SparkSession, path: str, version: int, only: list[int] | None = None) -> DataFrame:
-    """The base table at a version, or some of its buckets: each from the version that last replaced it."""
-    where = [f"{versioned(path, v)}/rows/bucket={b}" for b, v in spark.read.parquet(f"{versioned(path, version)}/buckets").select("bucket", "version").collect() if only is None or b in only]
-    shape = spark.read.parquet(f"{versioned(path, 0)}/rows").drop("bucket").schema
-    return spark.read.schema(shape).parquet(*where) if where else spark.createDataFrame([], shape)
-
-
-def registry_stream(files: DataFrame, base_path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame, int], DataFrame], key: str = "ext_id", buckets: int = 64):
-    """New register rows merged into a new version of the base table per micro-batch (STR-4).
-
-    Batch k reads the buckets of version k that its keys fall in and writes those alone as version k + 1, with a list of the versions that
-    hold the other buckets; a batch that is run again writes the same version.
-    """
+def registry_stream(files: DataFrame, table: KeyedTable, checkpoint: str, now: Column):
+    """New register rows appended to the log of a kept table, a batch at a time (STR-4); a batch that is run again changes nothing. ``table.read()`` has them merged."""
 
     def one(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        touched = [r[0] for r in batch.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]  # at most ``buckets``
-        old = spark.read.parquet(f"{versioned(base_path, k)}/buckets")
-        write_base(merge(read_base(spark, base_path, k, touched), batch, k), base_path, key, buckets, k + 1, old)
+        table.append(batch, k, now)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
