@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, name_norm, overlap, tokens, trigrams, unaccent, word_trigrams
 from ..functions.urls import bare_domain, base_domain, canonical_social, host_of, platform_of
+from ..sources.shared import written
 from .listing import top_k
 
 
@@ -110,43 +112,77 @@ def score_domains(results: DataFrame, names: DataFrame, hosts: Hosts = Hosts(),
     return top_k(scored, ["id"], [F.desc("score"), F.col("rank"), F.col("domain")], 1).select("id", "domain", "score")
 
 
-def trigram_join(a: DataFrame, b: DataFrame, block: str, min_num: int, den: int, grams: Column, dice: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, x, y): pairs (block, ga, gb, common, size_a, size_b) of different trigram sets of a block that are similar enough, and the ids
-    (id, block, g) of each side: exact, by prefix filter (JN-7, JN-8).
+def ordered_sets(ids: DataFrame, freq: DataFrame, block: str) -> DataFrame:
+    """(block, g, o, n): the different trigram sets g of ``ids`` (id, block, g), their trigrams rarest in the block first, and how many rows have each."""
+    each = ids.groupBy(block, "g").agg(F.count("*").alias("n")).select(block, "g", "n", F.explode("g").alias("gram")).join(freq, [block, "gram"], "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
+    return each.groupBy(block, "g", "n").agg(order.alias("o")).select(block, "g", F.transform("o", lambda e: e["gram"]).alias("o"), "n")
 
-    Equal sets count once, however many rows have them. A pair at min_num/den or above shares one of the first n - ceil(min * n) + 1 trigrams
-    of a set ordered by rarity within the block; only these are joined, within the sizes that allow the bound, and a pair is taken at the
-    first trigram that its prefixes share. ``a`` and ``b`` have id, text and the block column.
+
+def meeting_pairs(x: DataFrame, y: DataFrame, block: str, num: int, of: int, shared: int = 1) -> DataFrame:
+    """(block, ga, gb, n): all pairs of ordered sets (of ``shared`` trigrams or more) whose Jaccard similarity may be num/of or more, and n of y; each pair once.
+
+    Such a pair shares ``shared`` (1 or 2) of the first size - ceil(size * num / of) + shared trigrams of both, its sizes are not too far apart, and
+    after the first that both share enough others follow in either. So a pair is taken at these alone, and only if what may still be shared
+    is enough. Two trigrams together are far rarer than one; that pays where the similarity leaves few of them.
     """
-    num, of = (min_num, 2 * den - min_num) if dice else (min_num, den)  # a Dice bound as a Jaccard bound
-    ids = lambda df: df.select("id", block, F.array_sort(grams).alias("g")).filter(F.size("g") > 0)
-    x, y = ids(a), ids(b)
-    sets = lambda df: df.select(block, "g").distinct()
-    freq = sets(y).select(block, F.explode("g").alias("gram")).groupBy(block, "gram").agg(F.count("*").alias("df"))
 
     def prefix(df, name):
-        each = sets(df).select(block, "g", F.explode("g").alias("gram")).join(freq, [block, "gram"], "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
-        keep = F.size("g") - F.floor((F.size("g") * num + of - 1) / of) + 1
-        first = each.groupBy(block, "g").agg(order.alias("o")).select(block, "g", F.transform(F.slice("o", 1, keep.cast("int")), lambda e: e["gram"]).alias("p"))
-        return first.select(block, F.col("g").alias(f"g{name}"), F.col("p").alias(f"p{name}"), F.explode("p").alias("gram"))
-
-    near = (F.size("ga") * of >= F.size("gb") * num) & (F.size("gb") * of >= F.size("ga") * num)
-    met = prefix(x, "a").join(prefix(y, "b"), [block, "gram"]).filter(near & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram")))
-    met = met.select(block, "ga", "gb", overlap(F.col("ga"), F.col("gb")).alias("common"), F.size("ga").alias("size_a"), F.size("gb").alias("size_b"))
+        keep = F.size("g") - F.floor((F.size("g") * num + of - 1) / of) + shared
+        first = df.filter(F.size("g") >= shared).select(block, F.col("g").alias(f"g{name}"), F.col("n").alias(f"n{name}"), F.slice("o", 1, keep.cast("int")).alias(f"p{name}"))
+        p = F.col(f"p{name}")
+        if shared == 1:
+            keys = F.transform(p, lambda g, i: F.struct(g.alias("gram"), (i + 1).alias(f"i{name}")))
+        else:
+            keys = F.flatten(F.transform(p, lambda g, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda h, j: F.struct(F.concat_ws("\n", g, h).alias("gram"), (i + j + 2).alias(f"i{name}")))))
+        return first.select("*", F.inline(keys))
+
+    sa, sb = F.size("ga"), F.size("gb")
+    near = (sa * of >= sb * num) & (sb * of >= sa * num)
+    rest = (shared + F.least(sa - F.col("ia"), sb - F.col("ib"))) * (num + of) >= (sa + sb) * num
+    met = prefix(x, "a").join(prefix(y, "b"), [block, "gram"]).filter(near & rest & (F.array_join(F.slice(F.array_intersect("pa", "pb"), 1, shared), "\n") == F.col("gram")))
+    return met.select(block, "ga", "gb", F.col("nb").alias("n"))
+
+
+def _similar(met: DataFrame, num: int, den: int, dice: bool = False) -> DataFrame:
+    """The pairs at num/den or above, with common, size_a and size_b."""
+    met = met.withColumns({"common": overlap(F.col("ga"), F.col("gb")), "size_a": F.size("ga"), "size_b": F.size("gb")})
     both = F.col("size_a") + F.col("size_b")
     top, all_ = (2 * F.col("common"), both) if dice else (F.col("common"), both - F.col("common"))
-    return met.filter(top * den >= all_ * min_num), x, y
+    return met.filter(top * den >= all_ * num)
+
+
+def trigram_sets(a: DataFrame, b: DataFrame, block: str, grams: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ids of a, ids of b, ordered sets of a, of b): rows (id, block, g) with any trigrams, and what ``meeting_pairs`` takes. a and b have id, text and the block column."""
+    ids = lambda df: df.select("id", block, F.array_sort(grams).alias("g")).filter(F.size("g") > 0)
+    x, y = ids(a), ids(b)
+    freq = y.select(block, "g").distinct().select(block, F.explode("g").alias("gram")).groupBy(block, "gram").agg(F.count("*").alias("df"))
+    return x, y, ordered_sets(x, freq, block), ordered_sets(y, freq, block)
 
 
 def _named(ids: DataFrame, block: str, name: str) -> DataFrame:
     return ids.select(F.col("id").alias(f"{name}_id"), block, F.col("g").alias(f"g{name}"))
 
 
-def fuzzy_join(cand: DataFrame, registry: DataFrame, block: str, k: int = 3, min_num: int = 3, den: int = 10) -> DataFrame:
-    """(a_id, b_id, common, size_a, size_b, rank): the best k registry names of each candidate name above the similarity, by word trigrams (JN-7). Both: id, name, block."""
-    met, x, y = trigram_join(cand, registry, block, min_num, den, word_trigrams(F.col("name")))
-    met = met.filter(F.col("common") * den > (F.col("size_a") + F.col("size_b") - F.col("common")) * min_num)
+def fuzzy_join(cand: DataFrame, registry: DataFrame, block: str, k: int = 3, min_num: int = 3, den: int = 10, rounds=((9, 10, 2), (3, 4, 2), (1, 2, 1))) -> DataFrame:
+    """(a_id, b_id, common, size_a, size_b, rank): the best k registry names of each candidate name above the similarity, by word trigrams (JN-7). Both: id, name, block.
+
+    Equal names count once, however many rows have them. The similarity is lowered in ``rounds``: a name that has k rows at or above one of them has its
+    k best there, and does not meet the many names that are less similar; only the others go on to the next round. So a name with near copies
+    probes few trigrams, its rarest, however large the block is. A round is (numerator, denominator, trigrams that a pair meets at).
+    """
+    x, y, left, index = trigram_sets(cand, registry, block, word_trigrams(F.col("name")))
+    left, index, parts = written(left), written(index), []
+    for num, of, shared in (*[r for r in rounds if r[0] * den > min_num * r[1]], (min_num, den, 1)):
+        met = _similar(meeting_pairs(left, index, block, num, of, shared), num, of)
+        if (num, of) != (min_num, den):
+            met = written(met)
+            full = met.groupBy(block, "ga").agg(F.sum("n").alias("held")).filter(F.col("held") >= k).select(block, "ga")
+            parts.append(met.join(full, [block, "ga"], "left_semi"))
+            left = left.join(full.withColumnRenamed("ga", "g"), [block, "g"], "left_anti")
+        else:
+            parts.append(met.filter(F.col("common") * den > (F.col("size_a") + F.col("size_b") - F.col("common")) * min_num))
+    met = reduce(DataFrame.unionByName, parts).drop("n")
     sim = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     # of rows with equal names the k smallest ids can be among the best; ranks hold for all candidates of one name
     best = met.join(top_k(_named(y, block, "b"), [block, "gb"], [F.col("b_id")], k), [block, "gb"])
@@ -158,7 +194,8 @@ def dice_join(a: DataFrame, b: DataFrame, block: str, min_num: int, den: int, st
     """Pairs whose normalised names are similar by Dice over trigrams of the padded whole name; equal names always are (JN-8)."""
     norm = name_norm(F.col("name"), stop)
     grams = F.when(norm != "", trigrams(F.concat(F.lit("  "), norm, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
-    met, x, y = trigram_join(a, b, block, min_num, den, grams, dice=True)
+    x, y, xo, yo = trigram_sets(a, b, block, grams)
+    met = _similar(meeting_pairs(xo, yo, block, min_num, 2 * den - min_num), min_num, den, dice=True).drop("n")  # the Dice bound as a Jaccard bound
     return met.join(_named(x, block, "a"), [block, "ga"]).join(_named(y, block, "b"), [block, "gb"]).select("a_id", "b_id", "common", "size_a", "size_b")
 
 
