@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,68 @@ def in_box(box, lng: str = "lng", lat: str = "lat") -> Column:
     return F.col(lng).between(w, e) & F.col(lat).between(s, n)
 
 
+#: Bits of each coordinate in a cell key.
+KEY_BITS = 24
+
+
+def _quantised(value: Column | float, low: float, span: float, bits: int = KEY_BITS):
+    """Which of 2^bits equal steps a coordinate falls in; the same arithmetic for columns and for the edges of a box, and monotone in both."""
+    share = (value - low) / span * float(2**bits)
+    if isinstance(value, float):
+        return min(max(math.floor(share), 0), 2**bits - 1)
+    return F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(2**bits - 1)).cast("long")
+
+
+def cell_key(lng: str = "lng", lat: str = "lat") -> Column:
+    """The place of a point on a Z-shaped curve through cells of the globe: near points have near keys. Null without coordinates."""
+
+    def spread(x: Column) -> Column:  # a zero bit between all bits
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    x, y = _quantised(F.col(lng), -180.0, 360.0), _quantised(F.col(lat), -90.0, 180.0)
+    return F.when(located(lng, lat), spread(x).bitwiseOR(F.shiftleft(spread(y), 1)))
+
+
+def box_ranges(box, most: int = 32) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of cell keys (both ends in) that hold every point of a box: squares of the curve, the worst-fitting ones split first."""
+    w, s, e, n = parse_box(box) if isinstance(box, str) else box
+    x0, x1 = _quantised(float(w), -180.0, 360.0), _quantised(float(e), -180.0, 360.0)
+    y0, y1 = _quantised(float(s), -90.0, 180.0), _quantised(float(n), -90.0, 180.0)
+
+    def shared(x: int, y: int, size: int) -> int:
+        return max(0, min(x + size - 1, x1) - max(x, x0) + 1) * max(0, min(y + size - 1, y1) - max(y, y0) + 1)
+
+    def joined(squares) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for lo, _, _, size in sorted(squares):
+            if out and out[-1][1] + 1 == lo:
+                out[-1] = (out[-1][0], lo + size * size - 1)
+            else:
+                out.append((lo, lo + size * size - 1))
+        return out
+
+    squares = [(0, 0, 0, 2**KEY_BITS)]  # first key, x, y, size
+    while True:
+        loose = [(q[3] ** 2 - shared(*q[1:]), q) for q in squares if q[3] > 1]
+        waste, worst = max(loose, default=(0, None))
+        if not waste:
+            return joined(squares)
+        lo, x, y, size = worst
+        half = size // 2
+        parts = [(lo + i * half * half, x + half * (i & 1), y + half * (i >> 1), half) for i in range(4)]
+        more = [q for q in squares if q != worst] + [q for q in parts if shared(*q[1:])]
+        if len(joined(more)) > most:
+            return joined(squares)
+        squares = more
+
+
+def in_cells(box, key: str = "cell", most: int = 32) -> Column:
+    """A predicate on the stored key that every point of a box meets; together with ``in_box`` it lets the scan skip what lies elsewhere."""
+    return reduce(Column.__or__, [F.col(key).between(lo, hi) for lo, hi in box_ranges(box, most)])
+
+
 def located(lng: str = "lng", lat: str = "lat") -> Column:
     return F.col(lng).isNotNull() & F.col(lat).isNotNull()
 

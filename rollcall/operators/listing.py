@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance_m, in_box, located, not_null_island
+from ..functions.geo import distance_m, in_box, in_cells, located, not_null_island
 from ..functions.text import norm_city
 from ..sources.shared import written
 
@@ -25,6 +25,7 @@ class ListingQuery:
     limit: int = 20
     offset: int = 0
     statuses: tuple[str, ...] = field(default=("published",))
+    cells: bool = False  # the table has the key of ``geo.cell_key`` as a column ``cell``
 
 
 def text_contains(text: str, *columns: str) -> Column:
@@ -47,7 +48,7 @@ def listing_filter(q: ListingQuery) -> Column:
     if q.text:
         out &= text_contains(q.text, "name", "city")
     if q.box:
-        out &= in_box(q.box)
+        out &= in_box(q.box) & in_cells(q.box) if q.cells else in_box(q.box)
     if q.located or q.near:
         out &= located()
     return out

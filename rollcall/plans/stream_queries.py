@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..operators import decide
+from ..functions import geo
+from ..operators import decide, listing
 from ..queries import ORACLE, query
 from ..sources import registry as sinks
 from ..sources.keyed import KeyedTable
@@ -12,6 +15,7 @@ from ..sources.shared import shared_folder
 from ..streaming import jobs
 from .adapters import NOW, duck, read, registry, sql, view
 from .decision_queries import ISLANDS
+from .stats_queries import NEAR
 
 
 def stream(spark, sf, name):
@@ -37,6 +41,23 @@ def entity_file(spark, sf):
     return spark.read.schema(sinks.ENTITY).json(out).drop("postalCode")
 
 
+def by_cell(spark, sf):
+    """The registry as it is kept for boxes."""
+    path = shared_folder(spark)
+    sinks.write_by_cell(view(spark, sf, "registry"), path)
+    return spark.read.parquet(path)
+
+
+@query("FLT-3-cells", ORACLE["FLT-3"])
+def boxed_by_cell(spark, sf):
+    return by_cell(spark, sf).filter(geo.in_cells("-2,43,4,48.5") & geo.in_box("-2,43,4,48.5")).select("id")
+
+
+@query("WIN-1-cells", ORACLE["WIN-1"])
+def page_by_cell(spark, sf):
+    return listing.list_page(by_cell(spark, sf), replace(NEAR, cells=True)).select("id", "name", F.floor("dist_m").cast("long").alias("dist_m"))
+
+
 @query("SRC-8", "SELECT event_type AS kind, ('/p/' || event_id || repeat('x', 200))[1:120] AS path, '440' AS dept, CAST(user_id AS VARCHAR) AS visitor FROM events")
 def visit_log(spark, sf):
     out = shared_folder(spark)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import located, not_null_island
+from ..functions.geo import cell_key, located, not_null_island
 from ..operators.listing import global_position
 
 ENTITY = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "city", "postalCode", "currentWebsite")])
@@ -78,6 +78,13 @@ def to_geojson(df: DataFrame, cap: int = 20_000) -> DataFrame:
     return df.filter(located() & not_null_island()).orderBy("id").limit(cap).select("id", F.to_json(f).alias("feature"))
 
 
+def write_by_cell(df: DataFrame, path: str, files: int | None = None, row_group: int = 16 << 20) -> None:
+    """The table with its points' keys as ``cell``, dealt and sorted along the curve: a file, and a row group in it, hold points of one area, and a box reads few of them."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("cell", cell_key())
+    keyed.repartitionByRange(n, "cell").sortWithinPartitions("cell").write.option("parquet.block.size", row_group).parquet(path)
+
+
 def visits(stream: DataFrame) -> DataFrame:
     """Rows of the visit log: path of 120 characters, department of 3 at most."""
     return stream.select("ts", "kind", F.substring("path", 1, 120).alias("path"), F.substring("dept", 1, 3).alias("dept"), "visitor")
