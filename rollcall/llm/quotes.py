@@ -66,16 +66,40 @@ def running(df: DataFrame, by: list[str], order: str, inclusive: bool = False, t
     return met.withColumns({k: both(k, a) for k, (a, _) in values.items()}).drop("_b", *[f"{p}_{k}" for k in values for p in ("", "_t", "_c", "_i")])
 
 
-def _hashes(text: Column, lines: Column) -> list[Column]:
-    """128 bits that stand for a normalised passage, 0 lines for a line or a run of any length, else for so many neighbouring lines."""
-    return [F.xxhash64(text, lines, F.lit(1)).alias("h1"), F.xxhash64(text, lines, F.lit(2)).alias("h2")]
+def _text_hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a normalised text; the salt comes first, so that the two halves don't collide together."""
+    return [F.xxhash64(F.lit(s), F.lit(0), text) for s in (1, 2)]
+
+
+def _tables(lines: Column, most: Column) -> list[Column]:
+    """For each half of the hashes an array by k of the hashes of the 2^k lines from every place on, as far as runs of ``most`` lines need them."""
+    half = lambda k: F.call_function("shiftleft", F.lit(1), k - 1)
+    longer = lambda x, s: F.zip_with(x, F.slice(x, s + 1, F.size(x)), lambda p, q: F.xxhash64(p, q))
+    out = []
+    for salt in (F.lit(1), F.lit(2)):
+        first = F.array(F.transform(lines, lambda t: F.xxhash64(salt, t)))  # noqa: B023
+        grown = F.aggregate(F.sequence(F.lit(1), _log2(most)), first, lambda t, k: F.concat(t, F.array(longer(F.element_at(t, -1), half(k)))))
+        out.append(F.when(most > 1, grown).otherwise(first))
+    return out
+
+
+def _log2(n: Column) -> Column:
+    return F.length(F.bin(n)) - 1
+
+
+def _run_hashes(tables: list[Column], at: Column, n: Column) -> list[Column]:
+    """128 bits that stand for the ``n`` lines from place ``at`` on: the longest block of a power of two at their start and the one at their end."""
+    k = _log2(n)
+    end = at + n - F.call_function("shiftleft", F.lit(1), k)
+    return [F.xxhash64(F.lit(s), n, t[k][at], t[k][end]) for s, t in zip((1, 2), tables)]
 
 
 def link_quotes(chats: DataFrame) -> DataFrame:
     """(conv_id, turn, level, line, passage, source_turn): every quoted passage (neighbouring lines with words of one level), linked to the nearest earlier turn that holds it; null if none does.
 
     A turn holds a passage if it equals one of its own lines, as many neighbouring own lines as the passage has, or a whole run of them (wrapped
-    in any way). Lines without words don't count. ``chats``: conv_id, turn (bigint), text; a (conv_id, turn) once.
+    in any way). Lines without words don't count. ``chats``: conv_id, turn (bigint), text; a (conv_id, turn) once. Neighbouring lines are compared by
+    hashes of blocks of lines, at the places whose line begins a passage; a message of L lines takes L log L numbers, and no run of it is built as text.
     """
     at = shared_dir(chats.sparkSession)
     quoting = chats.select("conv_id", "turn", parse_lines(F.col("text")).alias("l")).filter(F.exists("l", lambda x: x["level"] > 0))
@@ -83,20 +107,31 @@ def link_quotes(chats: DataFrame) -> DataFrame:
     # a passage: neighbouring lines of one level of one message
     w = Window.partitionBy("conv_id", "turn").orderBy("line")
     runs = lines.withColumn("new", F.when(F.col("level") == F.lag("level", 1, -1).over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ")
-    quoted = runs.filter("level > 0").groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("size"), body.alias("passage"))
-    # looked for as a line or a run, and as so many neighbouring lines
-    quoted = quoted.withColumn("n", F.explode(F.array_distinct(F.array(F.lit(0), F.when(F.col("size") > 1, F.col("size")).otherwise(0)))))
-    quoted = staged(quoted.select("*", *_hashes(F.col("passage"), F.col("n"))), at, "quoted")
-
-    # what may be quoted, of conversations that quote: own lines, neighbouring ones of the sizes that passages have, whole runs
-    sizes = staged(quoted.groupBy("conv_id").agg(F.collect_set("size").alias("sizes")), at, "sizes")
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"])
+    quoted = runs.filter("level > 0").groupBy("conv_id", "turn", "run", "level").agg(F.min("line").alias("line"), F.count("*").cast("int").alias("n"), body.alias("own"))
+    quoted = quoted.select("*", F.array_join("own", " ").alias("passage"), F.xxhash64(F.lit(1), F.col("own")[0]).alias("head"))
+    # looked for as a line or a whole run, and as so many neighbouring lines
+    halves = lambda h: F.struct(h[0].alias("h1"), h[1].alias("h2"))
+    as_run = F.when(F.col("n") > 1, halves(_run_hashes(_tables(F.col("own"), F.col("n")), F.lit(0), F.col("n"))))
+    quoted = quoted.withColumn("h", F.explode(F.array_compact(F.array(halves(_text_hashes(F.col("passage"))), as_run))))
+    quoted = staged(quoted.select("conv_id", "turn", "run", "level", "line", "n", "passage", "head", "h.h1", "h.h2"), at, "quoted")
+
+    # what may be quoted, of conversations that quote: own lines, whole runs, and neighbouring lines where the first one begins a passage
+    convs = staged(quoted.groupBy("conv_id").agg(F.max("n").alias("most")), at, "convs")
     mine = F.filter(F.transform(F.filter(parse_lines(F.col("text")), lambda x: x["level"] == 0), lambda x: normalise(x["body"])), lambda b: b != "")
-    said = chats.join(F.broadcast(sizes) if bounded(sizes, 200) else sizes, "conv_id").select("conv_id", "turn", "sizes", mine.alias("own"), whole_runs(F.col("text")).alias("runs"))
-    neighbours = lambda n: F.when(F.size("own") >= n, F.transform(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.struct(F.array_join(F.slice("own", i, n), " ").alias("text"), n.alias("n")))).otherwise(F.array().cast("array<struct<text:string,n:int>>"))
-    alone = F.transform(F.concat("own", "runs"), lambda t: F.struct(t.alias("text"), F.lit(0).alias("n")))
-    texts = F.array_distinct(F.concat(alone, F.flatten(F.transform(F.filter("sizes", lambda n: n > 1), neighbours))))
-    known = said.select("conv_id", "turn", F.inline(texts)).select("conv_id", "turn", *_hashes(F.col("text"), F.col("n")))
+    said = chats.join(F.broadcast(convs) if bounded(convs, 64) else convs, "conv_id").select("conv_id", "turn", "most", mine.alias("own"), whole_runs(F.col("text")).alias("runs"))
+    alone = F.array_distinct(F.transform(F.concat("own", "runs"), lambda t: halves(_text_hashes(t))))
+    known = said.select("conv_id", "turn", F.inline(alone))
+
+    heads = staged(quoted.filter("n > 1").select("conv_id", "head", "n").distinct(), at, "heads")
+    own = F.transform("own", lambda t: F.xxhash64(F.lit(1), t))
+    places = said.select("conv_id", "turn", F.size("own").alias("size"), F.posexplode(own).alias("place", "head"))
+    places = places.join(F.broadcast(heads) if bounded(heads, 64) else heads, ["conv_id", "head"]).filter("place + n <= size")
+    places = places.groupBy("conv_id", "turn", F.floor(F.col("place") / BLOCK).alias("part")).agg(F.collect_list(F.struct("place", "n")).alias("places"))
+    tables = places.join(said.filter(F.size("own") > 1).select("conv_id", "turn", "most", "own"), ["conv_id", "turn"])
+    tables = tables.select("conv_id", "turn", "places", *[t.alias(f"t{s}") for s, t in zip((1, 2), _tables(F.col("own"), F.least("most", F.size("own"))))])
+    met = F.transform("places", lambda p: halves(_run_hashes([F.col("t1"), F.col("t2")], p["place"], p["n"])))
+    known = known.unionByName(tables.select("conv_id", "turn", F.inline(F.array_distinct(met))))
     wanted = quoted.select("conv_id", "h1", "h2").distinct()
     known = known.join(F.broadcast(wanted) if bounded(wanted, 64) else wanted, ["conv_id", "h1", "h2"], "left_semi")
 
@@ -112,8 +147,8 @@ def reply_order(chats: DataFrame) -> DataFrame:
 
     reply_to: the source of the first linked quote of the outermost level; a message without one answers the turn before it in its
     conversation; the first has none. depth counts replies from the root; position is the place in the conversation read thread by thread
-    (parents before their answers, those to a later message of a run first, answers to one message by turn). text is without quotes, however
-    long. Of repeated (conv_id, turn) rows the least (role, text) counts; rows with null conv_id or turn go; null texts are empty; an empty
+    (parents before their answers, those to a later message of a run first, answers to one message by turn). text is without quotes; texts may
+    have any length. Of repeated (conv_id, turn) rows the least (role, text) counts; rows with null conv_id or turn go; null texts are empty; an empty
     table gives no rows; other columns are ignored. turn is a whole number.
     """
     at = shared_dir(chats.sparkSession)
