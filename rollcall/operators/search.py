@@ -40,10 +40,15 @@ def match_ids(index: DataFrame, wanted: DataFrame, department: str | None = None
     return top_k(hits.join(small(wanted), "token").select("term", "id").distinct(), ["term"], [F.col("id")], cap)
 
 
+def allowed_typos(q: str) -> int:
+    """None in short words, one from four letters on, two from eight on."""
+    return 0 if len(q) < 4 else 1 if len(q) < 8 else 2
+
+
 def suggest(index: DataFrame, q: str, limit: int = 8, department: str | None = None) -> DataFrame:
     """(id, typos, priority): documents with a token that begins with q, or is like it but for a typo (two from eight letters on), same first letter (SCH-4)."""
     q = q.strip().lower()
-    allowed = 0 if len(q) < 4 else 1 if len(q) < 8 else 2
+    allowed = allowed_typos(q)
     t = F.col("token")
     near = F.substring(t, 1, 1) == q[:1]
     hits = index.filter(near & (F.col("department") == department)) if department else index.filter(near)

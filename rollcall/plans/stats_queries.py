@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import listing, search, stats
+from ..operators import kept, listing, search, stats
 from ..operators.health import classify_probe
-from ..queries import query
+from ..operators.kept_index import KeptIndex
+from ..queries import ORACLE, query
 from ..sources import registry as sinks
+from ..sources.shared import shared_folder
 from .adapters import NOW, duck, read, registry, view
 from .columns_queries import PENDING, docs_of
 
@@ -78,6 +80,37 @@ def rollup(spark, sf):
     return stats.territory_rollup(view(spark, sf, "registry"))
 
 
+def kept_counts(spark, sf):
+    """Counts of an older registry brought up to date: a third of the rows is new, a fifth was elsewhere and otherwise, others are deleted."""
+    now = registry(spark, sf)
+    gone = now.filter("id % 7 = 2").withColumn("id", F.col("id") + 1_000_000_000)
+    was = now.filter("id % 3 <> 0 AND id % 5 = 1").withColumns({"department": F.lit("00"), "city": F.concat(F.lit("old "), "city"), "social": F.map_filter("social", lambda k, v: k == "website"), "status": F.lit("published"), "markers": F.lit(None).cast("map<string,string>")})
+    table = kept.KeptCounts(spark, shared_folder(spark))
+    table.write(now.filter("id % 3 <> 0 AND id % 5 <> 1").unionByName(was).unionByName(gone))
+    table.apply(was.unionByName(gone), now.filter("id % 3 = 0 OR id % 5 = 1"))
+    return table.read(1)
+
+
+@query("AGG-1-kept", ORACLE["AGG-1"])
+def coverage_kept(spark, sf):
+    return kept.coverage(kept_counts(spark, sf))
+
+
+@query("AGG-2-kept", ORACLE["AGG-2"])
+def coverage_by_kept(spark, sf):
+    return kept.coverage(kept_counts(spark, sf), "department")
+
+
+@query("AGG-3-kept", ORACLE["AGG-3"])
+def progress_kept(spark, sf):
+    return kept.progress(kept_counts(spark, sf))
+
+
+@query("AGG-9-kept", ORACLE["AGG-9"])
+def rollup_kept(spark, sf):
+    return kept.territory_rollup(kept_counts(spark, sf))
+
+
 @query("AGG-10", duck("registry") + f"SELECT department, city, count(*) AS total, array_to_string(list_sort(list_distinct(list(category_id))), ',') AS themes, greatest(count(*) - 5, 0) AS n_remaining, array_to_string((list(id ORDER BY name, id))[1:5], ',') AS shown {PUB} GROUP BY ALL")
 def locality_pages(spark, sf):
     return stats.locality_pages(view(spark, sf, "registry"), 5).select("department", "city", "total", "themes", "n_remaining", F.array_join(F.transform("shown", lambda x: x["id"].cast("string")), ",").alias("shown"))
@@ -118,6 +151,16 @@ def centroids(spark, sf):
     return stats.centroids(view(spark, sf, "registry")).select("department", micro("lat"), micro("lng"))
 
 
+PYRAMID = """, leaf AS (SELECT CAST(floor((lng + 180) / 360 * 256 * 512 / 64) AS BIGINT) AS x, CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 512 / 64) AS BIGINT) AS y, category_id FROM registry WHERE lng IS NOT NULL),
+c AS (SELECT zoom, x >> (9 - zoom) AS cx, y >> (9 - zoom) AS cy, category_id, count(*) AS k FROM leaf, range(0, 10) AS z(zoom) GROUP BY ALL)
+SELECT CAST(zoom AS INT) AS zoom, cx, cy, CAST(sum(k) AS BIGINT) AS n, (list(category_id ORDER BY k DESC, category_id))[1] AS top_category, CASE WHEN sum(k) < 10 THEN 's' WHEN sum(k) < 100 THEN 'm' WHEN sum(k) < 1000 THEN 'l' ELSE 'xl' END AS size FROM c GROUP BY zoom, cx, cy"""
+
+
+@query("AGG-16-zooms", duck("registry") + PYRAMID)
+def pyramid(spark, sf):
+    return stats.cluster_pyramid(view(spark, sf, "registry"), 9)
+
+
 @query("AGG-16", duck("registry") + """, p AS (SELECT CAST(floor((lng + 180) / 360 * 256 * 512 / 56) AS BIGINT) AS cx, CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 512 / 56) AS BIGINT) AS cy, category_id FROM registry WHERE lng IS NOT NULL),
 c AS (SELECT cx, cy, category_id, count(*) AS k FROM p GROUP BY ALL)
 SELECT cx, cy, CAST(sum(k) AS BIGINT) AS n, (list(category_id ORDER BY k DESC, category_id))[1] AS top_category, CASE WHEN sum(k) < 10 THEN 's' WHEN sum(k) < 100 THEN 'm' WHEN sum(k) < 1000 THEN 'l' ELSE 'xl' END AS size FROM c GROUP BY cx, cy""")
@@ -276,3 +319,24 @@ def all_words(spark, sf):
 @query("SCH-4", DOCS + ", c AS (SELECT id, priority, CASE WHEN starts_with(token, 'widg') THEN 0 ELSE levenshtein(token, 'widg') END AS typos FROM ix WHERE token[1:1] = 'w'), b AS (SELECT id, min(typos * 10 + priority) AS m FROM c WHERE typos <= 1 GROUP BY id) SELECT id, CAST(m // 10 AS INT) AS typos, CAST(m % 10 AS INT) AS priority FROM b ORDER BY typos, priority, id LIMIT 20")
 def suggest(spark, sf):
     return search.suggest(search.build_index(docs_of(spark, sf)), "widg", 20)
+
+
+def kept_index(spark, sf):
+    """The index of documents of which some were otherwise at first."""
+    docs = docs_of(spark, sf)
+    old = docs.withColumn("name", F.when(F.col("id") % 5 == 0, "widget wigdet old").otherwise(F.col("name"))).unionByName(docs.filter("id % 9 = 1").withColumn("id", F.col("id") + 1_000_000_000))
+    index = KeptIndex(spark, shared_folder(spark))
+    index.write(old)
+    gone = old.filter("id >= 1000000000").withColumns({c: F.lit(None).cast(t) for c, t in old.dtypes if c != "id"})
+    index.update(docs.filter("id % 5 = 0").unionByName(gone), 0)
+    return index
+
+
+@query("SCH-3-kept", ORACLE["SCH-3"])
+def matches_kept(spark, sf):
+    return kept_index(spark, sf).match_ids(wanted(spark))
+
+
+@query("SCH-4-kept", ORACLE["SCH-4"])
+def suggest_kept(spark, sf):
+    return kept_index(spark, sf).suggest("widg", 20)
