@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import small, written
+
 
 def parse_box(text: str) -> tuple[float, float, float, float]:
     """(west, south, east, north) from four comma-separated numbers; ValueError before anything is planned."""
@@ -104,11 +106,17 @@ def distance_m(lng: float, lat: float, radius_m: float = 6_371_000.0) -> Column:
     return haversine(F.col("lng"), F.col("lat"), F.lit(lng), F.lit(lat), radius_m)
 
 
-def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.0) -> DataFrame:
+#: Halvings of a hot cell at most, each way.
+DEEPEST = 6
+
+
+def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.0, most: int = 20_000) -> DataFrame:
     """All pairs of rows (a.*, b.*, dist_km) at most ``km`` apart (JN-5); a has a_id, a_lng, a_lat, b has b_id, b_lng, b_lat.
 
     An equi-join on grid cells: b is put in its cell, a in those around its own; then the exact test. Each row of cells is cut round the
     globe into as many as its latitude allows, the last one next to the first; a row at a pole is one cell. Rows without coordinates meet nothing.
+    A cell with more than ``most`` rows of b (counted) is cut into quarters, and these again, until they have fewer (``split_cells``); what
+    stands at one place is dealt by b_id. So no key has more rows of b, and a row of a meets the quarters in its reach alone.
     """
     step = km / (earth_km * math.pi / 180) * 1.000001
 
@@ -117,8 +125,11 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.
         top = (F.greatest(F.abs(row), F.abs(row + 1)) + 2) * step
         return F.when(top >= 89.0, 1).otherwise(F.greatest(F.floor(360.0 * F.cos(F.radians(top)) / step), F.lit(1))).cast("long")
 
+    def across(lng: Column, row: Column) -> Column:
+        return F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * cells(row)
+
     def column(lng: Column, row: Column) -> Column:
-        return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * cells(row)).cast("long"), cells(row) - 1)
+        return F.least(F.floor(across(lng, row)).cast("long"), cells(row) - 1)
 
     row = lambda lat: F.floor(lat / step).cast("long")
     near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
@@ -126,8 +137,54 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.
     around = F.array_distinct(F.transform(near, lambda d: F.pmod(column(F.col("a_lng"), F.col("cy")) + d, cells(F.col("cy")))))
     left = left.withColumn("cx", F.explode(around))
     right = b.filter(located("b_lng", "b_lat")).withColumn("cy", row(F.col("b_lat"))).withColumn("cx", column(F.col("b_lng"), F.col("cy")))
-    met = left.join(right, ["cx", "cy"]).withColumn("dist_km", haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat"), earth_km))
-    return met.filter(F.col("dist_km") <= km).drop("cx", "cy")
+
+    hot = written(right.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    key = ["cx", "cy"]
+    if not hot.isEmpty():
+        inside = lambda share: F.least(F.greatest(F.floor(share * 2**DEEPEST), F.lit(0)), F.lit(2**DEEPEST - 1)).cast("int")
+        right = right.withColumns({"u": inside(across(F.col("b_lng"), F.col("cy")) - F.col("cx")), "v": inside(F.col("b_lat") / step - F.col("cy"))})
+        parts = written(split_cells(right.join(small(hot.select("cx", "cy")), ["cx", "cy"], "left_semi"), most))
+        of = parts.select("cx", "cy", F.explode("deep").alias("e"), "part", "salts").select("cx", "cy", "e.u", "e.v", "part", "salts")
+        whole = F.coalesce("part", F.lit(""))
+        right = right.join(small(of), ["cx", "cy", "u", "v"], "left").withColumns({"part": whole, "salt": F.coalesce(F.pmod(F.xxhash64("b_id"), F.col("salts")), F.lit(0))}).drop("u", "v", "salts")
+        # where a part lies, and what of it a point may reach
+        size = F.lit(1.0) / F.pow(F.lit(2.0), F.length("part"))
+        boxes = parts.withColumns({"n": cells(F.col("cy")), "w": size}).select(
+            "cx", "cy", "part", "salts",
+            ((F.col("cx") + F.col("pu") * F.col("w")) * 360.0 / F.col("n")).alias("west"), ((F.col("cx") + (F.col("pu") + 1) * F.col("w")) * 360.0 / F.col("n")).alias("east"),
+            ((F.col("cy") + F.col("pv") * F.col("w")) * step).alias("south"), ((F.col("cy") + (F.col("pv") + 1) * F.col("w")) * step).alias("north"),
+        )
+        at = F.pmod(F.col("a_lng") + 180.0, F.lit(360.0))
+        turn = F.when(at.between(F.col("west"), F.col("east")), 0.0).otherwise(F.least(F.pmod(F.col("west") - at, F.lit(360.0)), F.pmod(at - F.col("east"), F.lit(360.0))))
+        flat = F.greatest(F.least(F.cos(F.radians("south")), F.cos(F.radians("north"))), F.lit(0.0)) * F.cos(F.radians("a_lat"))
+        reach = km * (1 + 1e-6) + 1e-3
+        beside = 2 * earth_km * F.asin(F.sqrt(F.least(flat * F.pow(F.sin(F.radians(turn) / 2), 2), F.lit(1.0)))) <= reach
+        above = F.radians(F.greatest(F.col("south") - F.col("a_lat"), F.col("a_lat") - F.col("north"), F.lit(0.0))) * earth_km <= reach
+        left = left.join(small(boxes), ["cx", "cy"], "left").filter(F.col("part").isNull() | (beside & above)).drop("west", "east", "south", "north")
+        left = left.withColumns({"part": whole, "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))}).drop("salts")
+        key += ["part", "salt"]
+    met = left.join(right, key).withColumn("dist_km", haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat"), earth_km))
+    return met.filter(F.col("dist_km") <= km).drop(*key)
+
+
+def split_cells(rows: DataFrame, most: int) -> DataFrame:
+    """(cx, cy, part, pu, pv, deep, salts): the quarters, by count, of the cells of ``rows`` (cx, cy and the place u, v in them, of 2^DEEPEST steps).
+
+    part names a quarter by its way down (a digit 0 to 3 for each halving); pu, pv say where it lies among those of its size; deep lists the
+    places in it that have rows; salts is how many keys it takes where halving doesn't help. Counts are taken once, at the places.
+    """
+    n = rows.groupBy("cx", "cy", "u", "v").agg(F.count("*").alias("n"))
+    digit = lambda d: (F.shiftright("u", DEEPEST - d).bitwiseAND(F.lit(1)) + 2 * F.shiftright("v", DEEPEST - d).bitwiseAND(F.lit(1))).cast("string")
+    ways = [F.concat(F.lit(""), *[digit(i) for i in range(1, d + 1)]) for d in range(DEEPEST + 1)]
+    n = n.withColumn("way", ways[-1])
+    levels = n.select("cx", "cy", "n", F.explode(F.array(*ways)).alias("part")).groupBy("cx", "cy", "part").agg(F.sum("n").alias("held"))
+    each = n.select("*", F.explode(F.array(*ways)).alias("part")).join(levels, ["cx", "cy", "part"])
+    few = each.filter((F.col("held") <= most) | (F.length("part") == DEEPEST))
+    leaf = few.groupBy("cx", "cy", "u", "v").agg(F.min(F.struct(F.length("part").alias("d"), "part", "held")).alias("l"))
+    out = leaf.groupBy("cx", "cy", "l.part", F.col("l.d").alias("d"), "l.held").agg(F.collect_list(F.struct("u", "v")).alias("deep"))  # at most 4^DEEPEST places
+    first, down = F.col("deep")[0], F.lit(DEEPEST) - F.col("d")
+    at = lambda c: F.call_function("shiftright", first[c], down)
+    return out.select("cx", "cy", "part", at("u").alias("pu"), at("v").alias("pv"), "deep", F.ceil(F.col("held") / most).cast("long").alias("salts"))
 
 
 def department_of(postal: Column) -> Column:
