@@ -4,8 +4,8 @@ Every window of ``size`` tokens takes from each queue its share of the mixture.
 in one window are its deficit, carried to the next: after w windows queue s has had G_s(w) - G_{s-1}(w) tokens, with
 G_s(w) = floor(w * size * F_s / F) and F_s the shares added up to s. These closed forms are the state of the round-robin at any
 window, so each partition lays its own documents without running the ones before; deficits carry over windows and partitions alike.
-The shares are the queues' own tokens (all queues then end together and only the last window is short) or given weights, which hold
-while every queue lasts; what remains follows in its own proportions. A source under 1/512 of the bytes would get less than a few tokens a
+The shares are the queues' own tokens (all queues then end together and only the last window is short) or given weights, which each
+queue has while it lasts; the others then go on by theirs. A source under 1/512 of the bytes would get less than a few tokens a
 window: such sources share one queue, in which their documents stand in the order in which weighted round-robin would finish them, so that
 each is within one document of its own share at every point.
 """
@@ -159,34 +159,69 @@ class Phase:
 
 
 def phases(totals: list[int], size: int, weights: list[float] | None = None) -> list[Phase]:
-    """The plan for queues of so many tokens each; every share must be worth two tokens a window (see ``merge_small``)."""
+    """The plan for queues of so many tokens each.
+
+    With ``weights`` all queues that last get their shares of every window. When one is about to end, it gives what it has left in the next ENDING windows,
+    which the others fill by their weights, and these go on. What is left when all end together, and all without weights, is laid in its own proportions.
+    """
     out, done, first = [], [0] * len(totals), 0
-    if weights:
-        share = [max(1, round(w * 1_000_000)) for w in weights]
-        upto = [0, *np.cumsum(share).tolist()]
-        full = max(0, min(t * upto[-1] // (f * size) for t, f in zip(totals, share)) - 1)
-        if full:
-            p = Phase(0, full, full * size, tuple(done), tuple(upto))
-            out, done, first = [p], [p.had(s, p.tokens) for s in range(len(totals))], full
-    left = [t - d for t, d in zip(totals, done)]
-    if sum(left):
-        out.append(Phase(first, -(-sum(left) // size), sum(left), tuple(done), (0, *np.cumsum(left).tolist())))
+
+    def lay(windows: int, tokens: int, parts: list[int]) -> None:
+        nonlocal done, first
+        p = Phase(first, windows, tokens, tuple(done), (0, *np.cumsum(parts).tolist()))
+        done = [d + p.had(s, tokens) for s, d in enumerate(done)]
+        first += windows
+        out.append(p)
+
+    left = lambda s: totals[s] - done[s]
+    share = [max(1, round(w * 1_000_000)) for w in weights or []]
+    while weights and len(live := [s for s in range(len(totals)) if left(s)]) > 1:
+        every = sum(share[s] for s in live)
+        full = min(left(s) * every // (share[s] * size) for s in live) - 1
+        if full > 0:
+            lay(full, full * size, [share[s] if s in live else 0 for s in range(len(totals))])
+        ends = {s for s in live if left(s) * every < ENDING * share[s] * size}
+        while others := [s for s in live if s not in ends]:
+            room, rest = ENDING * size - sum(map(left, ends)), sum(share[s] for s in others)
+            short = {s for s in others if left(s) * rest < room * share[s] + rest}
+            if not short:
+                break
+            ends |= short
+        if not others:
+            break
+        cut = [room * x // rest for x in np.cumsum([0, *(share[s] for s in others)]).tolist()]
+        filled = dict(zip(others, (y - x for x, y in zip(cut, cut[1:]))))
+        lay(ENDING, ENDING * size, [left(s) if s in ends else filled.get(s, 0) for s in range(len(totals))])
+    rest = [left(s) for s in range(len(totals))]
+    if sum(rest):
+        lay(-(-sum(rest) // size), sum(rest), rest)
     return out
 
 
-def merge_small(totals: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], list[int]]:
-    """(stream, start in it) of each queue and the streams' totals: a queue worth under two tokens a window follows the largest in one stream."""
-    order = sorted(totals, key=lambda q: (-totals[q], q))
-    every, streams, stream, start = sum(totals.values()), [], {}, {}
+#: Windows in which a queue gives its last tokens.
+ENDING = 3
+
+
+def merge_small(totals: dict[int, int], size: int, weights: dict[int, float] | None = None) -> tuple[dict[int, int], dict[int, int], list[int], list[float]]:
+    """(stream, start in it) of each queue, the streams' totals and weights: a queue worth too few whole tokens a window follows the largest in one stream.
+
+    That is under two tokens of the queue's own share without ``weights``, and a weight under eight with them (none at all for queues without
+    one), however large or small the queue is: a small one with a weight is a stream of its own while it lasts.
+    """
+    worth = weights if weights is not None else totals
+    order = sorted(totals, key=lambda q: (-worth.get(q, 0), q))
+    every, streams, shares, stream, start = sum(worth.get(q, 0) for q in totals), [], [], {}, {}
     for q in order:
-        if not streams or totals[q] * size >= 2 * every:
+        if not streams or worth.get(q, 0) * size >= (2 if weights is None else 8) * every:
             streams.append(0)
+            shares.append(0.0)
             stream[q] = len(streams) - 1
         else:
             stream[q] = 0
         start[q] = streams[stream[q]]
         streams[stream[q]] += totals[q]
-    return stream, start, streams
+        shares[stream[q]] += worth.get(q, 0)
+    return stream, start, streams, shares
 
 
 def _lay(plan: list[Phase], size: int, itemsize: int):
@@ -247,12 +282,15 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
     ``docs`` has doc_id, text and source; null texts are empty (a document is then its end id alone), a null source is a queue like any other,
     repeated rows are packed each, an empty table gives no rows, other columns are ignored.
-    ``weights``: target share of the tokens by source, for at most ``LEAST_SHARE`` sources; the default is the corpus's own mixture.
+    ``weights``: target share of the tokens by source, for at most ``LEAST_SHARE`` sources (more are refused), held by every source while it lasts, the small
+    ones too; sources without a weight come last; the default is the corpus's own mixture. Texts may have any length: a document is cut where windows end.
     """
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
     text_batches(spark)
     path = tokenizer or default_tokenizer()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"))
+    if weights and (len(weights) > LEAST_SHARE or min(weights.values()) <= 0):
+        raise ValueError(f"weights: at most {LEAST_SHARE} sources, each with a weight above 0")
     if weights:
         names = sorted(weights)
     else:
@@ -265,13 +303,8 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
     part = staged(tokens.groupBy("queue", "source", "pid").agg(F.sum("n").alias("n")), at, "parts")
     totals = {r[0]: r[1] for r in part.groupBy("queue").agg(F.sum("n")).collect()}  # at most LEAST_SHARE + 1 queues
-    stream, start, sums = merge_small(totals, size)
-    shares = None
-    if weights:
-        shares = [0.0] * len(sums)
-        for q in totals:
-            shares[stream[q]] += weights[names[q]] if q < len(names) else 0.0
-    plan = phases(sums, size, shares)
+    stream, start, sums, shares = merge_small(totals, size, {q: weights[names[q]] for q in totals if q < len(names)} if weights else None)
+    plan = phases(sums, size, shares if weights else None)
     known = spark.createDataFrame([(q, stream[q], start[q]) for q in totals] or [(0, 0, 0)], "queue int, stream long, start long")
     # where each partition's share of a source starts: in its queue, or among its source's tokens
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
