@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, staged
+from .common import ascii_lower, bounded, shared_dir, staged
 
 KEYS_PER_SHARD, LEAST_SHARDS = 200_000, 64
 #: All cascades together are broadcast up to so many bytes; beyond it the URLs go to the shards.
 BROADCAST_BYTES = 64 << 20
 MOST_LEVELS = 60
+#: Beyond the broadcast, rows of a shard that meet its levels in one task.
+ROWS_PER_GROUP = 2_000_000
 
 # The rules of the contract.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -94,7 +96,8 @@ def in_cascade(levels: list[Bloom], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key, F.lit(1)).alias("a"), F.xxhash64(key, F.lit(2)).alias("b")]
+    """128 bits; the salt comes first, so that the two halves don't collide together."""
+    return [F.xxhash64(F.lit(1), key).alias("a"), F.xxhash64(F.lit(2), key).alias("b")]
 
 
 def _shard(shards: int) -> Column:
@@ -137,10 +140,25 @@ def _probe(shared):
     return run
 
 
-def _probe_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    levels = _levels(right[["shard", "level", "bits", "hashes", "data"]].itertuples(index=False)).values()
-    a, b = (left[c].to_numpy(np.int64).view(np.uint64) for c in "ab")
-    return pd.DataFrame({"row": left["row"], "listed": in_cascade(next(iter(levels), []), a, b)})
+def _probe_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their group, a group's levels before its rows: only the levels of one group are held, however many rows it has."""
+    group, held, levels = None, [], None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("shard", "salt", "kind")], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for at, to in zip([0, *cuts], [*cuts, len(key)]):
+            if to > at:
+                shard, salt, kind = key[at].tolist()
+                if (shard, salt) != group:
+                    group, held, levels = (shard, salt), [], None
+                part = batch.slice(at, to - at)
+                if kind == 0:
+                    held += zip(part.column("shard").to_pylist(), *(part.column(c).to_pylist() for c in ("level", "bits", "hashes", "data")))
+                    continue
+                if levels is None:
+                    levels, held = next(iter(_levels(held).values()), []), []
+                a, b = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in "ab")
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(in_cascade(levels, a, b))], ["row", "listed"])
 
 
 def mark_listed(df: DataFrame, key: Column, levels: DataFrame, shards: int) -> DataFrame:
@@ -151,15 +169,14 @@ def mark_listed(df: DataFrame, key: Column, levels: DataFrame, shards: int) -> D
     if (levels.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= BROADCAST_BYTES:
         got = levels.select("shard", "level", "bits", "hashes", "data").collect()
         out = rows.mapInArrow(_probe(df.sparkSession.sparkContext.broadcast([tuple(r) for r in got])), shape)
-    else:  # shards with more than twice their part of the rows are salted, so that a hot key does not meet in one group
-        size = rows.groupBy("shard").agg(F.count("*").alias("n"))
-        mean = (size.agg(F.sum("n")).first()[0] or 0) / shards
-        hot = F.broadcast(size.filter(F.col("n") > 2 * mean).select("shard", F.ceil(F.col("n") / max(mean, 1)).alias("salts")))  # under half of the shards
+    else:  # rows stream past the levels of their shard; a shard with many rows is dealt to several groups, each with a copy of the levels
+        size = rows.groupBy("shard").agg(F.ceil(F.count("*") / ROWS_PER_GROUP).alias("salts")).filter("salts > 1")
+        hot = F.broadcast(size) if bounded(size) else size
         left = rows.join(hot, "shard", "left").withColumn("salt", F.pmod(F.xxhash64(F.to_json("row")), F.coalesce("salts", F.lit(1)))).drop("salts")
-        copies = hot.select("shard", F.col("salts").alias("copies"))
-        right = levels.join(copies, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-        out = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(_probe_group, shape)
-        out = out.filter("row IS NOT NULL")
+        right = levels.join(hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        both = right.withColumn("kind", F.lit(0)).unionByName(left.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        groups = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+        out = both.repartition(groups, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "level").mapInArrow(_probe_stream, shape)
     return out.select(*[F.col("row")[c].alias(c) for c in cols], "listed")
 
 
@@ -167,7 +184,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url; more columns are ignored).
 
     The longest rule that fits decides. For the rest a host is listed if a block rule fits one of its pages, and its pages are then
-    blocked: exact membership over all hosts of the table, by the cascade. Null and odd URLs have an empty host and are allowed.
+    blocked: exact membership over all hosts of the table, by the cascade. Null and odd URLs have an empty host and are allowed. URLs may have
+    any length; a repeated row is judged each time; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     each = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
