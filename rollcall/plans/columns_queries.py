@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, urls
@@ -152,12 +154,23 @@ def verdict_text(spark, sf):
     return parse_verdicts(read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{VERDICT_TEXT} AS response")).select("id", "verdict", "confidence", "reason")
 
 
-@query("PRJ-21")
+# the pages by patterns instead of a parser: what is cut, entities, white space
+ENTITIES = {"quot": '"', "copy": "©", "middot": "·", "lt": "<", "gt": ">", "amp": "&"}
+DECODED = lambda c: functools.reduce(lambda x, e: f"regexp_replace({x}, '&{e[0]};?', '{e[1]}', 'g')", ENTITIES.items(), c)
+SHOWN = lambda c: f"trim(regexp_replace({DECODED(c)}, '\\s+', ' ', 'g'))"
+PARTS = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, {SHOWN("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")} AS title, {SHOWN("regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")} AS name,
+  {SHOWN("regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g')")} AS body FROM p),
+t AS (SELECT *, nullif(CASE WHEN title <> '' AND length(title) <= 120 AND body <> '' THEN title || ' - ' || body WHEN body <> '' THEN body ELSE title END, '') AS text FROM d)
+"""
+
+
+@query("PRJ-21", PARTS + "SELECT page_id, url, substring(text, 1, 4000) AS text, CASE WHEN text IS NULL THEN 'empty' END AS error FROM t")
 def page_texts(spark, sf):
     return pages.page_text(read(spark, sf, "pages"))
 
 
-@query("PRJ-22")
+@query("PRJ-22", PARTS + f", k AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(name, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM d) SELECT page_id, url, 0 AS pos, 'heading' AS place, name, name_key FROM k WHERE length(name) BETWEEN 6 AND 120 AND name_key <> ''")
 def page_names(spark, sf):
     return pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",))
 
