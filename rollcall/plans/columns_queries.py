@@ -165,12 +165,15 @@ t AS (SELECT *, nullif(CASE WHEN title <> '' AND length(title) <= 120 AND body <
 """
 
 
+NAME_KEY = f"array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(name, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ')"
+
+
 @query("PRJ-21", PARTS + "SELECT page_id, url, substring(text, 1, 4000) AS text, CASE WHEN text IS NULL THEN 'empty' END AS error FROM t")
 def page_texts(spark, sf):
     return pages.page_text(read(spark, sf, "pages"))
 
 
-@query("PRJ-22", PARTS + f", k AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(upper(strip_accents(replace(name, 'ß', 'SS'))), '[^A-Z0-9]+'), lambda w: w <> '' AND w NOT IN ({SHORT})), ' ') AS name_key FROM d) SELECT page_id, url, 0 AS pos, 'heading' AS place, name, name_key FROM k WHERE length(name) BETWEEN 6 AND 120 AND name_key <> ''")
+@query("PRJ-22", PARTS + f", k AS (SELECT *, {NAME_KEY} AS name_key FROM d) SELECT page_id, url, 0 AS pos, 'heading' AS place, name, name_key FROM k WHERE length(name) BETWEEN 6 AND 120 AND name_key <> ''")
 def page_names(spark, sf):
     return pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",))
 

@@ -8,7 +8,7 @@ from ..functions import geo, text, urls
 from ..operators import agenda, health, ingest, listing, match, merge, pages
 from ..queries import query
 from .adapters import NOW, duck, read, registry, view
-from .columns_queries import STOP, toks
+from .columns_queries import NAME_KEY, PARTS, STOP, toks
 
 UPSERT = """, base AS (SELECT o_orderkey AS k, o_orderpriority AS name, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 + 0.5e0 END AS lng, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 40 + 0.25e0 END AS lat, 'pending' AS status, 'manual' AS source, 0 AS updated_at FROM orders WHERE o_orderkey % 3 <> 2),
 batch AS (SELECT o_orderkey // 2 * 2 AS k, concat('new ', o_orderpriority) AS name, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 7 + 0.5e0 END AS lng, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey % 9 + 0.5e0 END AS lat, o_orderkey AS position FROM orders)"""
@@ -82,7 +82,7 @@ def feed(spark, sf):
 
 def grams(x: str) -> str:
     """Distinct word trigrams in DuckDB."""
-    return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
+    return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
 
 
 FUZZY = f"""WITH a AS (SELECT c_custkey AS id, replace(p_name, 'i', 'e') AS name, p_brand FROM customer JOIN part ON p_partkey = c_custkey % 200), ag AS (SELECT id, p_brand, {grams('name')} AS g FROM a), b AS (SELECT p_partkey AS id, p_brand, {grams('p_name')} AS g FROM part WHERE p_partkey < 1000000),
@@ -214,7 +214,12 @@ def families(spark, sf):
     return merge.union_families(read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-@query("DEC-21")
+@query("DEC-21", PARTS + duck("registry").replace("WITH ", ", ", 1) + f""", a AS (SELECT page_id, name, {NAME_KEY} AS name_key FROM d WHERE length(name) BETWEEN 6 AND 120),
+ag AS (SELECT page_id, name, name_key[1] AS block, {grams('name')} AS g FROM a WHERE name_key <> ''), b AS (SELECT id, upper(name[1]) AS block, {grams('name')} AS g FROM registry),
+bs AS (SELECT block, g, min(id) AS id FROM (SELECT block, list_sort(g) AS g, id FROM b WHERE len(g) > 0) GROUP BY ALL),
+ok AS (SELECT page_id, name, bs.id, len(list_intersect(ag.g, bs.g)) AS common, len(ag.g) + len(bs.g) - len(list_intersect(ag.g, bs.g)) AS all_ FROM ag JOIN bs USING (block)),
+best AS (SELECT * FROM ok WHERE common * 10 > all_ * 3 QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY common / all_ DESC, id) = 1)
+SELECT ag.page_id, ag.name, coalesce(common * 100 >= all_ * 45, false) AS matched, CASE WHEN common * 100 >= all_ * 45 THEN id END AS b_id, CASE WHEN common * 100 < all_ * 45 THEN id END AS closest FROM ag LEFT JOIN best ON best.page_id = ag.page_id AND best.name = ag.name""")
 def crossed(spark, sf):
     names = pages.extract_org_names(read(spark, sf, "pages"), lambda c: F.length(c).between(6, 120), ("h1",)).withColumn("department", F.substring("name_key", 1, 1))
     reg = view(spark, sf, "registry").select("id", "name", F.upper(F.substring("name", 1, 1)).alias("department"))
