@@ -123,8 +123,9 @@ def moderation_queue(registry: DataFrame, quarantine: DataFrame, page: int = 1,
     """A page of entities with something in quarantine, by name, with how much and the total (DEC-18)."""
     n = quarantine.groupBy("id").agg(F.count("*").alias("n_links"))
     rows = registry.join(n, "id")
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.join(F.broadcast(total), F.col("n_links") > 0).orderBy("name", "id").offset((page - 1) * limit).limit(limit)
+    one = F.lit(1).alias("_1")
+    total = rows.agg(F.count("*").alias("total")).select("total", one)
+    return rows.select("*", one).join(F.broadcast(total), "_1").drop("_1").orderBy("name", "id").offset((page - 1) * limit).limit(limit)
 
 
 def promote(df: DataFrame, verdicts: DataFrame, min_conf: float = 0.7) -> DataFrame:

@@ -13,15 +13,23 @@ ENTITY = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name",
 
 
 def read_registry(spark: SparkSession, path: str, encoding: str = "utf8", limit: int | None = None) -> DataFrame:
-    """A ``;``-separated register file, plain or gzip, all columns as trimmed strings; short and long lines are kept (SRC-1). A gzip file is one task, so its rows are dealt out at once."""
+    """A ``;``-separated register file, plain or gzip, all columns as trimmed strings; short and long lines are kept (SRC-1).
+
+    ``limit`` takes the first rows. A gzip file is one task, so its rows are dealt out at once; ``refused_lines`` of the result are those that don't fit the header.
+    """
     charset = {"latin1": "ISO-8859-1", "utf8": "UTF-8"}.get(encoding, encoding)
     names = spark.read.option("encoding", charset).text(path).filter("trim(value) <> ''").first()
     head = [h.strip().strip('"').lstrip("﻿") for h in names[0].split(";")] if names else []
     shape = T.StructType([T.StructField(h, T.StringType()) for h in head] + [T.StructField("_corrupt_record", T.StringType())])
     df = spark.read.csv(path, sep=";", header=True, schema=shape, encoding=charset, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord="_corrupt_record", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True, multiLine=False)
-    if path.endswith(".gz"):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df.limit(limit) if limit else df
+    if limit:
+        return df.limit(limit)
+    return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
+
+
+def refused_lines(df: DataFrame) -> DataFrame:
+    """(line) of the rows of a register file that have too few or too many fields, as they stand in the file."""
+    return df.filter(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("line"))
 
 
 def read_entities_json(spark: SparkSession, path: str) -> DataFrame:

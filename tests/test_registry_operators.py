@@ -98,6 +98,18 @@ def test_register_file(spark, tmp_path):
     assert [(r.id, r.titre) for r in rows] == [("1", "A; b"), ("2", "short"), ("3", 'q "x"')]
 
 
+def test_register_file_limits_and_refusals(spark, tmp_path):
+    import gzip
+
+    members = [b"id;titre;objet\n"] + ["".join(f"{100 * m + i};t{i};x\n" for i in range(100)).encode() for m in range(3)] + [b"9;short\n8;a;b;c\n"]
+    (tmp_path / "r.csv.gz").write_bytes(b"".join(gzip.compress(m) for m in members))  # several members, one after the other
+    path = str(tmp_path / "r.csv.gz")
+    assert [r.id for r in sinks.read_registry(spark, path, limit=7).collect()] == [str(i) for i in range(7)]
+    df = sinks.read_registry(spark, path).cache()
+    assert df.count() == 302 and sorted(r.line for r in sinks.refused_lines(df).collect()) == ["8;a;b;c", "9;short"]
+    df.unpersist()
+
+
 @pytest.mark.parametrize("parts", [1, 8, 211])
 def test_global_position(spark, parts):
     import random
