@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +51,29 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        added = self.spec.get("added_tokens", [])
+            spec = json.load(f)
+        self.path, added = path, spec.get("added_tokens", [])
         self.added = {x["content"]: x["id"] for x in added}
         #: Tokens that the file adds are cut out of a text before anything else, the longest first.
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.plain = not any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word"))
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
+        self.kind = np.dtype("<u2" if len({*spec["model"]["vocab"], *self.added}) <= 65536 else "<u4")
         self.seen: dict[str, bytes] = {}
-        self.merge = self._by_rank()
+        self.merge = self._by_rank(spec)  # the file's own contents are not held
+
+    @cached_property
+    def tok(self):
+        """The tokenizer itself, loaded where it is needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
-    def _by_rank(self):
+    @staticmethod
+    def _by_rank(spec: dict):
         import public_tokenizers
         import tiktoken
 
-        spec = self.spec
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
             return None
