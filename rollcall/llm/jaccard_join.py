@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, contract, dropped, packed, shared_dir, skew_join, staged, text_batches, unpacked
+from .common import bounded, components, contract, dropped, give_back, lean, packed, shared_dir, skew_join, staged, text_batches, unpacked
 from .signature_tree import Linked, SignatureTree, size_bands, traverse
 from .words import mix, shingle_sets, text_chunks
 
@@ -251,7 +251,7 @@ def candidates(docs: DataFrame, at: str, width: int, num: int, den: int) -> Data
     """(cls, comp) of every class that may have a link: linked classes are in one component."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
     rows = "cls long, kind int, value long"
-    sent = docs.select("text").mapInArrow(_tokens(width, num, den, shared), rows)
+    sent = docs.select("text").mapInArrow(lean(_tokens(width, num, den, shared)), rows)
     met = sent.repartition(F.when(F.col("kind") < 0, F.col("cls")).otherwise(F.col("value"))).sortWithinPartitions("kind", "value", "cls").mapInArrow(_shared_tokens, rows)
     keys = met.repartition("cls").sortWithinPartitions("cls", "kind", "value").mapInArrow(_prefixes(num, den), "key long, a long, b long")
     keys = staged(keys, at, "keys")
@@ -284,7 +284,7 @@ def _sets(width: int):
 
 
 def _links(num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         """One bin of whole components, or two parts of one large component."""
         out = []
         for _, g in pdf.drop_duplicates(["comp", "part", "cls"]).groupby("comp", sort=False):
@@ -304,6 +304,12 @@ def _links(num: int, den: int):
                 out += [(ids[left[i]], ids[right[j]]) for i, j in traverse(a, b, False, num, den, linked, len(left))]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return compared(pdf)
+        finally:
+            give_back()
+
     return run
 
 
@@ -340,7 +346,7 @@ def linked_classes(docs: DataFrame, width: int, num: int, den: int, bin_tokens:
     """(rows, links): (doc_id, h, n_shingles, cls) of every row of ``docs``, h being the hash of its text, and (cls, comp) of the classes that have a link to another."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    each = staged(docs.mapInArrow(_classes(width), "doc_id long, h long, n_shingles long, cls long"), at, "classes")
+    each = staged(docs.mapInArrow(lean(_classes(width)), "doc_id long, h long, n_shingles long, cls long"), at, "classes")
     cand = candidates(docs, at, width, num, den)
     least = each.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n"))
     members = staged(skew_join(cand, least, "cls").select("cls", "comp", "n", "first.doc_id", "first.h"), at, "members")
@@ -348,7 +354,7 @@ def linked_classes(docs: DataFrame, width: int, num: int, den: int, bin_tokens:
     where = staged(_bins(members, at, num, den, bin_tokens), at, "where")
     side = (F.broadcast(where) if bounded(where, 120) else where).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     texts = docs.join(side, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cls", "comp", "part", "bin", "low", "high", "own")
-    sets = texts.mapInArrow(_sets(width), f"cls long, {_SPOT}, tokens binary")
+    sets = texts.mapInArrow(lean(_sets(width)), f"cls long, {_SPOT}, tokens binary")
     key = [F.col("bin"), F.when(F.col("bin") < 0, F.col("comp")).otherwise(0), F.col("low"), F.col("high")]
     links = sets.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).applyInPandas(_links(num, den), "a long, b long")
     comp = components(links, at, "links").withColumnsRenamed({"node": "cls"})

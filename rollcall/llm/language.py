@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_per, packed, text_batches, unpacked
+from .common import few_per, lean, packed, text_batches, unpacked
 from .grams import presence
 
 WIDTHS, BITS = range(1, 4), 14
@@ -139,7 +139,7 @@ def _predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.coefficients))
     flat = packed(docs)
-    return flat.mapInArrow(_predict(shared), f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return flat.mapInArrow(lean(_predict(shared)), f"row {flat.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir, staged, text_batches
+from .common import bounded, lean, shared_dir, staged, text_batches
 from .words import text_chunks
 
 #: Sources below this share of the bytes take their turns in one queue; so the driver holds at most 512 queues.
@@ -133,7 +133,7 @@ def _tokenise(path: str, end: int, queues: dict[str, int], rest: int):
         last = np.array([end], enc.kind).tobytes()
         for batch in batches:
             sources = batch.column(2).to_pylist()
-            for at, to, texts in text_chunks(batch.column(1), 2_000_000):
+            for at, to, texts in text_chunks(batch.column(1), 1_000_000):
                 ids = [x + last for x in enc.encode([t or "" for t in texts])]
                 q = [queues.get(s, rest) for s in sources[at:to]]
                 n, off = [len(x) // enc.kind.itemsize for x in ids], []
@@ -304,7 +304,7 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
         names = sorted(r[0] for r in by.filter(F.col("b") * LEAST_SHARE >= every).select("source").collect())
     queues = {s: i for i, s in enumerate(names)}
     shape = f"doc_id {dict(docs.dtypes)['doc_id']}, pid int, source string, queue int, off long, n long, ids binary"
-    tokens = staged(docs.mapInArrow(_tokenise(path, end, queues, len(names)), shape), at, "tokens")
+    tokens = staged(docs.mapInArrow(lean(_tokenise(path, end, queues, len(names))), shape), at, "tokens")
 
     part = staged(tokens.groupBy("queue", "source", "pid").agg(F.sum("n").alias("n")), at, "parts")
     totals = {r[0]: r[1] for r in part.groupBy("queue").agg(F.sum("n")).collect()}  # at most LEAST_SHARE + 1 queues
