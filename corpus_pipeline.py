@@ -17,7 +17,7 @@ from rollcall.llm.secrets import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: null texts and texts without a letter go; the score is not tested, so any text with a letter stays."""
+    """Operator 5: null texts, texts without a letter and texts that no learned language claims with a score of 0.55 go."""
     return keep_identified(docs)
 
 

@@ -23,6 +23,9 @@ WIDTHS, BITS = range(1, 4), 14
 #: Bounds of the fit: labelled documents and landmarks per language, and of all languages together; beyond that the languages get fewer
 #: each, LEAST_SAMPLE documents and one landmark at least, the most frequent languages first.
 SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, SAMPLE, LANDMARKS, LEAST_SAMPLE = 400, 32, 6400, 640, 10
+#: A document stays from this score on. The regression has no constant, so a text that shares nothing with what was learned has a value of 0 in
+#: every language, which is a score of 0.5; this asks for a value of 0.1.
+LEAST_SCORE = 0.55
 
 
 @dataclass
@@ -154,7 +157,8 @@ def language_report(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``); all columns stay, whatever they are called."""
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the documents whose language can't be told (``und``, or a score under ``least``: junk, and texts in a language that was not
+    learned); all columns stay, whatever they are called."""
     kept = _predicted(docs, learn(docs.filter(~held_out()))).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return unpacked(kept, docs.columns)

@@ -1,6 +1,7 @@
 """The pipeline against a version that follows each stage by hand on a small corpus."""
 
 import re
+import zlib
 
 import pytest
 from test_llm_operators import check_packing, components_by_hand, hits_by_hand
@@ -33,6 +34,26 @@ def test_language_id(stages):
     assert sorted(r.doc_id for r in rows) == want
 
 
+def test_language_id_rejects_what_no_language_claims(spark):
+    """The score decides: junk with letters and texts in languages that were not learned go, with a label or without."""
+    docs = spark.read.parquet(f"{TABLE}/documents.parquet")
+    texts = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由在尊严和权利上一律平等",
+        "#### 123 456 x 789 $$$ 000",
+        "12 34 56 a " * 30,
+        "kq0zv8x7jw3qxz kzxq vvwk jjqx zzkw qxjv",
+    ]
+    # a row with a label that is not held out would be learned from
+    odd = [(i, t, "en" if zlib.crc32(str(i).encode()) % 4 == 2 else None, "odd", len(t)) for i, t in enumerate(texts, 100_000)]
+    assert {r[2] for r in odd} == {"en", None}
+    got = pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), TABLE)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text)))
+
+
 def test_near_duplicates(stages):
     docs, _, rows = stages[1]
     before = sorted(docs.collect(), key=lambda r: r.doc_id)
