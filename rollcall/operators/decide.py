@@ -129,8 +129,11 @@ def moderation_queue(registry: DataFrame, quarantine: DataFrame, page: int = 1,
 
 
 def promote(df: DataFrame, verdicts: DataFrame, min_conf: float = 0.7) -> DataFrame:
-    """``df`` (id, website, social_site) with website set where a site was kept with enough confidence and none is served; ``examined`` marks rows with a verdict (DEC-15)."""
-    v = distinct_on(verdicts.filter("platform = 'website'"), ["id"], [F.desc("confidence"), F.col("url")]).select("id", F.col("url").alias("_u"), F.col("verdict").alias("_v"), F.col("confidence").alias("_c"))
+    """``df`` (id, website, social_site) with website set where a site was kept with enough confidence and none is served; ``examined`` marks rows with a verdict (DEC-15).
+
+    Of verdicts of one confidence and url the first by ``position`` counts, in whatever order the rows come.
+    """
+    v = distinct_on(verdicts.filter("platform = 'website'"), ["id"], [F.desc("confidence"), F.col("url"), F.col("position")]).select("id", F.col("url").alias("_u"), F.col("verdict").alias("_v"), F.col("confidence").alias("_c"))
     out = df.join(v, "id", "left")
     free = F.nullif(F.coalesce("website", F.lit("")), F.lit("")).isNull() & F.nullif(F.coalesce("social_site", F.lit("")), F.lit("")).isNull()
     ok = free & (F.col("_v") == "keep") & (F.col("_c") >= min_conf)

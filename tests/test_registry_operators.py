@@ -251,3 +251,12 @@ def test_listing_query_against_brute_force(spark):
                 names.append((page, t, words[0][0]))
     assert names
     assert sorted(map(tuple, QUERIES["DEC-21"](spark, DATA).collect()), key=repr) == crossed_by_hand(names, registry)
+
+
+def test_tied_verdicts_count_by_position(spark):
+    rows = [(i, "website", f"https://u{i % 2}.org", p, 0.9, verdict) for p, verdict in ((7, "drop"), (2, "keep"), (5, "quarantine")) for i in range(40)]
+    v = spark.createDataFrame(rows, "id int, platform string, url string, position int, confidence double, verdict string")
+    df = spark.range(40).selectExpr("cast(id AS int) AS id", "cast(null AS string) AS website", "'' AS social_site")
+    for tied in (v.orderBy("position"), v.orderBy(F.desc("position")), v.repartition(7)):
+        assert {r.website for r in decide.promote(df, tied).filter("promoted").collect()} == {"https://u0.org", "https://u1.org"}
+        assert decide.promote(df, tied).filter("promoted AND examined").count() == 40
