@@ -101,6 +101,20 @@ def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def on_sphere(lng: str, lat: str, name: str) -> dict[str, Column]:
+    """The place of a point on the unit sphere as columns ``name``x, y and z."""
+    x, y = F.radians(lng), F.radians(lat)
+    return {f"{name}x": F.cos(y) * F.cos(x), f"{name}y": F.cos(y) * F.sin(x), f"{name}z": F.sin(y)}
+
+
+def within(km: float, earth_km: float, a: str, b: str, exact: Column) -> Column:
+    """``exact`` <= km, a distance by ``haversine``, which is worked out only for pairs whose straight line (``on_sphere``) leaves it open; rounding is far below the margins."""
+    line = 2 * math.sin(min(km / earth_km, math.pi) / 2)
+    square = reduce(Column.__add__, [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"])
+    sure, open_ = max(line * (1 - 1e-9) - 1e-14, 0.0) ** 2, (line * (1 + 1e-9) + 1e-14) ** 2
+    return (square <= open_) & ((square < sure) | (exact <= km))
+
+
 def distance_m(lng: float, lat: float, radius_m: float = 6_371_000.0) -> Column:
     """Metres on the sphere from a point (JN-6)."""
     return haversine(F.col("lng"), F.col("lat"), F.lit(lng), F.lit(lat), radius_m)
@@ -163,8 +177,10 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.
         left = left.join(small(boxes), ["cx", "cy"], "left").filter(F.col("part").isNull() | (beside & above)).drop("west", "east", "south", "north")
         left = left.withColumns({"part": whole, "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))}).drop("salts")
         key += ["part", "salt"]
-    met = left.join(right, key).withColumn("dist_km", haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat"), earth_km))
-    return met.filter(F.col("dist_km") <= km).drop(*key)
+    left, right = left.withColumns(on_sphere("a_lng", "a_lat", "_a")), right.withColumns(on_sphere("b_lng", "b_lat", "_b"))
+    dist = haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat"), earth_km)
+    met = left.join(right, key).filter(within(km, earth_km, "_a", "_b", dist))
+    return met.withColumn("dist_km", dist).drop(*key, *[f"_{side}{c}" for side in "ab" for c in "xyz"])
 
 
 def split_cells(rows: DataFrame, most: int) -> DataFrame:

@@ -27,10 +27,48 @@ def upcoming(events: Column, now: Column) -> Column:
     return F.filter(events, lambda e: e["start"] >= now)
 
 
+def _bits(words: Column) -> Column:
+    """A set of words as 64 bits: sets without a common bit share no word."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+
+
+def _own(min_len: int, stop) -> Column:
+    """The long name tokens, city tokens removed."""
+    return F.filter(F.array_except(tokens(F.col("name"), stop), tokens(F.col("city"), stop)), lambda t: F.length(t) >= min_len)
+
+
+def own_words(df: DataFrame, min_len: int = 5, stop=STOPWORDS) -> DataFrame:
+    """``df`` (name, city) with the long name tokens, city tokens removed, instead."""
+    return df.withColumn("_own", _own(min_len, stop)).withColumn("_own_bits", _bits(F.col("_own"))).drop("name", "city")
+
+
+def text_words(df: DataFrame, stop=STOPWORDS) -> DataFrame:
+    """``df`` (text) with the tokens of the text instead."""
+    return df.withColumn("_words", tokens(F.col("text"), stop)).withColumn("_word_bits", _bits(F.col("_words"))).drop("text")
+
+
+def share_words(pairs: DataFrame, min_common: int = 2) -> DataFrame:
+    """``pairs`` of ``own_words`` and ``text_words`` with ``matched``: at least ``min_common`` words (1 or more) in common."""
+    matched = (F.col("_own_bits").bitwiseAND(F.col("_word_bits")) != 0) & (overlap(F.col("_own"), F.col("_words")) >= min_common)
+    return pairs.withColumn("matched", matched).drop("_own", "_own_bits", "_words", "_word_bits")
+
+
 def name_in_text(pairs: DataFrame, min_common: int = 2, min_len: int = 5, stop=STOPWORDS) -> DataFrame:
     """``pairs`` (name, city, text) with ``matched``: enough long name tokens, city tokens removed, in the text (JN-9)."""
-    own = F.filter(F.array_except(tokens(F.col("name"), stop), tokens(F.col("city"), stop)), lambda t: F.length(t) >= min_len)
-    return pairs.withColumn("matched", overlap(own, tokens(F.col("text"), stop)) >= min_common)
+    return pairs.withColumn("matched", overlap(_own(min_len, stop), tokens(F.col("text"), stop)) >= min_common)
+
+
+def _sides(entities: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the radius join; words are taken from each row once, not from each pair."""
+    a = entities.select(F.col("id").alias("a_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), "name", "city")
+    b = events.select(F.col("uid").alias("b_id"), F.col("lng").alias("b_lng"), F.col("lat").alias("b_lat"), "text")
+    return own_words(a), text_words(b)
+
+
+def named_events(entities: DataFrame, events: DataFrame, km: float = 12.0) -> DataFrame:
+    """(a_id, b_id, dist_km, matched) of all events within the radius of every entity, ``matched`` as in ``name_in_text`` (JN-9)."""
+    return share_words(within_radius(*_sides(entities, events), km)).select("a_id", "b_id", "dist_km", "matched")
 
 
 def assign_agenda(pairs: DataFrame, cap: int = 6) -> DataFrame:
@@ -41,5 +79,4 @@ def assign_agenda(pairs: DataFrame, cap: int = 6) -> DataFrame:
 
 def agendas(entities: DataFrame, events: DataFrame, km: float = 12.0, cap: int = 6) -> DataFrame:
     """The agenda of every entity: events within the radius, name matches first."""
-    near = within_radius(entities.select(F.col("id").alias("a_id"), F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), "name", "city"), events.select(F.col("uid").alias("b_id"), F.col("lng").alias("b_lng"), F.col("lat").alias("b_lat"), "text"), km)
-    return assign_agenda(name_in_text(near), cap)
+    return assign_agenda(named_events(entities, events, km), cap)
