@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import within_radius
 from ..functions.text import STOPWORDS, overlap, tokens
+from ..sources.shared import written
 
 
 def normalize_events(raw: DataFrame) -> DataFrame:
@@ -77,6 +78,22 @@ def assign_agenda(pairs: DataFrame, cap: int = 6) -> DataFrame:
     return pairs.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= cap).select("a_id", "pos", "b_id", "matched", (F.floor(F.col("dist_km") * 10 + 0.5) / 10).alias("dist"))
 
 
+def contenders(entities: DataFrame, events: DataFrame, km: float = 12.0, cap: int = 6, closer: float = 4.0) -> DataFrame:
+    """(a_id, b_id, dist_km, matched): of the events within the radius, all that may stand in the entity's agenda.
+
+    The agenda of the events within a ``closer``-th of the radius is made first. Where it is full, its last event is a bound: an event that comes
+    after it can't be among the first ``cap`` of the whole radius. Where it isn't, every event within the radius stays.
+    """
+    a, b = _sides(entities, events)
+    last = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("matched"), "dist_km"))
+    near = share_words(within_radius(a, b, km / closer)).select("a_id", "dist_km", "matched")
+    bound = near.withColumn("_r", last).filter(F.col("_r") <= cap).filter(F.col("_r") == cap)  # the first filter keeps what is sorted small
+    bound = written(bound.select("a_id", (F.col("dist_km") * (1 + 1e-9) + 1e-9).alias("_far"), F.col("matched").alias("_only")))
+    met = share_words(within_radius(a.join(bound, "a_id", "left"), b, km))
+    close = F.col("_far").isNull() | (F.col("dist_km") <= F.col("_far"))
+    return met.filter(F.when(F.coalesce("_only", F.lit(False)), F.col("matched") & close).otherwise(close | F.col("matched"))).select("a_id", "b_id", "dist_km", "matched")
+
+
 def agendas(entities: DataFrame, events: DataFrame, km: float = 12.0, cap: int = 6) -> DataFrame:
     """The agenda of every entity: events within the radius, name matches first."""
-    return assign_agenda(named_events(entities, events, km), cap)
+    return assign_agenda(contenders(entities, events, km, cap), cap)

@@ -39,6 +39,14 @@ def test_agendas_are_those_of_all_pairs(spark, km, n_events):
     assert got == want and len(want) > 20
 
 
+def test_few_of_many_pairs_are_ranked(spark, monkeypatch):
+    a, b = made(spark, 5, 3000)
+    seen, keep = [], agenda.assign_agenda
+    monkeypatch.setattr(agenda, "assign_agenda", lambda pairs, cap=6: seen.append(pairs.count()) or keep(pairs, cap))
+    agenda.agendas(a, b, 30.0).count()
+    assert seen[0] * 5 < brute(a, b, 30.0).count()
+
+
 @pytest.mark.parametrize("name", ["JN-9", "WIN-8"])
 def test_words_are_not_taken_from_pairs(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
