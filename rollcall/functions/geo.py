@@ -146,10 +146,10 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, earth_km: float = 6371.
         return F.least(F.floor(across(lng, row)).cast("long"), cells(row) - 1)
 
     row = lambda lat: F.floor(lat / step).cast("long")
-    near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    left = a.filter(located("a_lng", "a_lat")).withColumn("cy", F.explode(F.transform(near, lambda d: d + row(F.col("a_lat")))))
-    around = F.array_distinct(F.transform(near, lambda d: F.pmod(column(F.col("a_lng"), F.col("cy")) + d, cells(F.col("cy")))))
-    left = left.withColumn("cx", F.explode(around))
+    near = lambda at: [at + i for i in (-1, 0, 1)]
+    left = a.filter(located("a_lng", "a_lat")).withColumn("cy", F.explode(F.array(*near(row(F.col("a_lat"))))))
+    around = F.array_distinct(F.array(*[F.pmod(x, F.col("_n")) for x in near(F.col("_x"))]))
+    left = left.withColumns({"_n": cells(F.col("cy")), "_x": column(F.col("a_lng"), F.col("cy"))}).withColumn("cx", F.explode(around)).drop("_n", "_x")
     right = b.filter(located("b_lng", "b_lat")).withColumn("cy", row(F.col("b_lat"))).withColumn("cx", column(F.col("b_lng"), F.col("cy")))
 
     hot = written(right.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > most))
